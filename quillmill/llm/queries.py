@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, url_filter
+from . import line_quality, media, mixing, packing, pii, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -21,7 +21,51 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_mix_sources)}
+def vocabulary() -> str:
+    """Where the public tokenizer's file lies; the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.sniff(media.media_column(table(spark, sf_dir, "documents")), "blob", "declared"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_quality_rules,
+        op3_mix_sources,
+        op5_best_fit_packing,
+        op6_pii,
+        op7_line_quality,
+        op8_media_columns,
+        op9_toxicity,
+        op10_simhash,
+    )
+}
 
 #: Queries whose rows DuckDB SQL can express.
 ORACLE_SQL = {
