@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Every query by name, with its SQL."""
+
+from . import compiled, documents, served  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
