@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, media, mixing, packing, pii, quality_rules, simhash, toxicity, url_filter
+from . import line_quality, media, mixing, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -58,6 +62,7 @@ QUERIES = {
         op1_url_filter,
         op2_quality_rules,
         op3_mix_sources,
+        op4_suffix_dedup,
         op5_best_fit_packing,
         op6_pii,
         op7_line_quality,
