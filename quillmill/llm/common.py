@@ -35,6 +35,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(spark: SparkSession, rows: list[tuple[str, float]], names: str) -> DataFrame:
+    """A small table written out as SQL VALUES, so that no Python runs to make it. rows: a string and a number each."""
+    listed = ", ".join(f"('{a.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', {float(b)!r}D)" for a, b in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({names})")
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_chars, materialise, words
+from .common import count_chars, materialise, values, words
 
 WINDOW = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -112,7 +112,7 @@ def learn(labelled: DataFrame, max_rules: int = 4, max_conditions: int = 3, cuts
     if any(m is None or m[0] is None for m in (marks, marks_good)):
         return []
     spark = labelled.sparkSession
-    thresholds = spark.createDataFrame(sorted({(k, float(v)) for m in (marks, marks_good) for k in FEATURES for v in m[k]}), "feature string, at double")
+    thresholds = values(spark, sorted({(k, float(v)) for m in (marks, marks_good) for k in FEATURES for v in m[k]}), "feature, at")
     rules: list[Rule] = []
     left = rows
     for _ in range(max_rules):

@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, values
 
 #: (action, host, path)
 RULES = (
@@ -54,7 +54,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
                 end = ("example.com", "example.net", "example.org", "com", "info")[(i + 2 * j) % 5]
                 path = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/", "/index.html")[(2 * i + j) % 6].format(31 * i % 977)
                 rows.append((f"http://{sub}{host}.{end}{path}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+    return values(spark, rows, "url, label")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
