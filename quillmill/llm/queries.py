@@ -96,4 +96,16 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target, epochs + (rest > 0 AND upto - size / 2.0::DOUBLE <= rest)::BIGINT AS copies,
                size * (epochs + (rest > 0 AND upto - size / 2.0::DOUBLE <= rest)::BIGINT) AS taken
         FROM p""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        c AS (SELECT doc_id, n, off, substr(h, 2 * off + 1, 612) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n, 256)) AS off FROM d)),
+        p AS (SELECT doc_id, h, n, off, unnest(range(least(256, n - off))) AS j FROM c),
+        w AS (SELECT doc_id, off + j AS i, CASE WHEN off + j + 50 <= n THEN substr(h, 2 * j + 1, 100) END AS w, substr(h, 2 * j + 1, 2) AS b FROM p),
+        f AS (SELECT w, min(doc_id) AS first_id FROM w WHERE w IS NOT NULL GROUP BY w),
+        m AS (SELECT w.doc_id, w.i, w.b, coalesce(f.first_id < w.doc_id, false) AS hit FROM w LEFT JOIN f ON w.w = f.w),
+        r AS (SELECT doc_id, i, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM r),
+        g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+        SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
 }
