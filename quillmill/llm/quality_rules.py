@@ -112,7 +112,9 @@ def learn(labelled: DataFrame, max_rules: int = 4, max_conditions: int = 3, cuts
     if any(m is None or m[0] is None for m in (marks, marks_good)):
         return []
     spark = labelled.sparkSession
-    thresholds = values(spark, sorted({(k, float(v)) for m in (marks, marks_good) for k in FEATURES for v in m[k]}), "feature, at")
+    marked = {k: sorted({float(v) for m in (marks, marks_good) for v in m[k]}) for k in FEATURES}
+    cut = [(k, v) for k, vs in marked.items() for v in sorted({*vs, *((a + b) / 2 for a, b in zip(vs, vs[1:], strict=False))})]
+    thresholds = values(spark, cut, "feature, at")
     rules: list[Rule] = []
     left = rows
     for _ in range(max_rules):
@@ -121,7 +123,8 @@ def learn(labelled: DataFrame, max_rules: int = 4, max_conditions: int = 3, cuts
         totals = at.agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).first()
         p0, n0 = totals.p, totals.n
         while p0 >= min_support and n0 and len(rule) < max_conditions:
-            best = max(((_gain(p, n, p0, n0), k, op, v, p, n) for k, op, v, p, n in _candidates(at, thresholds) if p >= min_support), default=(0.0,))
+            found = ((_gain(p, n, p0, n0), k, op, v, p, n) for k, op, v, p, n in _candidates(at, thresholds) if p >= min_support)
+            best = max(found, key=lambda x: (round(x[0], 9), x[3] if x[2] == ">" else -x[3], x[1]), default=(0.0,))  # of equals the one that drops least
             if best[0] <= 1e-9:
                 break
             _, k, op, v, p0, n0 = best
