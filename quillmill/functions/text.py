@@ -124,3 +124,53 @@ def person_slug(name: Column) -> Column:
 def wikilink_target(link: Column) -> Column:
     """F23."""
     return F.trim(F.substring_index(link, "|", 1))
+
+
+def strict_frontmatter(text: Column) -> tuple[Column, Column]:
+    """Only --- at the very start, alone on its line, and a closing one; the body is stripped."""
+    pattern = r"(?s)\A---\n(.*?)\n---\n"
+    found = F.regexp_like(text, F.lit(pattern))
+    return F.when(found, F.regexp_extract(text, pattern, 1)).otherwise(""), F.trim(F.when(found, F.regexp_replace(text, pattern, "")).otherwise(text))
+
+
+def document_frontmatter(text: Column) -> tuple[Column, Column]:
+    """As split_frontmatter, but comments in front are skipped if a header with a field follows them."""
+    bare = F.regexp_replace(text, r"(?s)\A(?:<!--.*?-->[ \t]*\r?\n(?:[ \t]*\r?\n)*)+", "")
+    head, body = split_frontmatter(bare)
+    own_head, own_body = split_frontmatter(text)
+    revealed = head.rlike(r"(?m)^[A-Za-z_][\w-]*[ \t]*:")
+    return F.when(revealed, head).otherwise(own_head), F.when(revealed, body).otherwise(own_body)
+
+
+def header_field(header: Column, name: str) -> Column:
+    """A scalar field of a header, quotes removed; null without it."""
+    found = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)
+    return F.when(found != "", found)
+
+
+def title(text: Column, path_stem: Column) -> Column:
+    """The header's title, else the first top heading, else the file's stem. A byte order mark is ignored."""
+    clean = F.regexp_replace(text, "^\ufeff", "")
+    head, body = split_frontmatter(clean)
+    heading = F.regexp_extract(body, r"(?m)^#[ \t]+(.+?)[ \t]*$", 1)
+    return F.coalesce(header_field(head, "title"), F.when(heading != "", heading), path_stem)
+
+
+def transcript_header(body: Column) -> tuple[Column, Column, Column]:
+    """F8: title, time and rest of a transcript whose head is headings, quotes and blank lines."""
+    head = F.regexp_extract(body, r"\A((?:[ \t]*(?:[#>][^\n]*)?\n)*)", 1)
+    name = F.regexp_extract(head, r"(?m)^#+[ \t]*(.+?)[ \t]*$", 1)
+    time = F.regexp_extract(head, r"(?m)^>.*?(\d{1,2}:\d{2}(?:[ \t]*-[ \t]*\d{1,2}:\d{2})?)", 1)
+    return name, time, F.substring(body, F.length(head) + 1, F.length(body))
+
+
+def labelled_lines(**parts: Column) -> Column:
+    """'label: value' lines of what is neither null nor empty."""
+    return F.concat_ws("\n", *(F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k.replace('_', ' ')}: "), v)) for k, v in parts.items()))
+
+
+def string_list(answer: Column, most: int = 3) -> Column:
+    """A model's JSON list: its strings, at most so many; whatever else it says gives none."""
+    items = F.try_variant_get(F.try_parse_json(answer), "$", "array<variant>")
+    strings = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    return F.slice(F.coalesce(strings, F.array().cast("array<string>")), 1, most)

@@ -127,9 +127,29 @@ def pack_batches(lines: DataFrame, budget: int, group: str, order: list[str]) ->
     return numbered.select(group, F.explode(F.arrays_zip("rows", "b")).alias("z")).select(group, *(F.col(f"z.rows.{c}").alias(c) for c in order), F.col("z.b").alias("batch"))
 
 
-def halving_fit(sizes: Column, budget: int) -> Column:
+def halving_fit(sizes: Column, budget: Column | int) -> Column:
     """The largest of n, n/2, n/4 ... leading items whose joined length stays within budget; 0 if not even one does."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
     n = F.size(sizes)
     tries = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.floor(n / F.pow(F.lit(2), k)).cast("int"))
     fits = F.filter(tries, lambda m: (m > 0) & (F.aggregate(F.slice(sizes, F.lit(1), m), F.lit(0), lambda a, x: a + x + 1) - 1 <= budget))
     return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+
+
+def fit_fields(fields: dict[str, tuple[Column, bool]], budget: int) -> dict[str, Column]:
+    """F16: text and list fields in order of priority; each takes what it can of what the ones before it leave. Texts are cut, lists halved.
+
+    fields: columns, each with whether it is a list (array<string>) or a text; a list's items count one more character each, for what joins them.
+    """
+    left, out = F.lit(budget), {}
+    for name, (value, is_list) in fields.items():
+        if is_list:
+            value = F.coalesce(value, F.array().cast("array<string>"))
+            kept = F.slice(value, F.lit(1), halving_fit(F.transform(value, F.length), left))
+            used = F.aggregate(kept, F.lit(0), lambda a, x: a + F.length(x) + 1)
+        else:
+            kept = F.substring(F.coalesce(value, F.lit("")), F.lit(1), F.greatest(left, F.lit(0)))
+            used = F.length(kept)
+        out[name] = kept
+        left = left - used
+    return out

@@ -19,7 +19,7 @@ TEXT_SUFFIXES = (
 ).split()
 #: Directories never entered.
 IGNORED_DIRS = (
-    ".git .hg .svn node_modules .venv venv __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build .idea .vscode .kaas .next target"
+    ".git .hg .svn node_modules .venv venv __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build .idea .vscode .next target"
 ).split()
 #: Upload limits in bytes and entries.
 MAX_FILE, MAX_RICH_FILE, MAX_ZIP_FILE, MAX_ZIP_ENTRIES, MAX_ZIP_TOTAL = 1_048_576, 10_485_760, 5_242_880, 200, 31_457_280

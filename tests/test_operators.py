@@ -267,3 +267,33 @@ def test_unsourced(spark):
     names = spark.createDataFrame([("a", "Shedder"), ("a", "syncx.Limit"), ("a", "syncx.Auth"), ("b", "Gone")], "article string, name string")
     sources = spark.createDataFrame([("a", "Shedding uses SYNCX and a limit"), ("b", "nothing")], "article string, text string")
     assert {tuple(r) for r in grounding.unsourced(names, sources).collect()} == {("a", "Shedder"), ("a", "syncx.Auth"), ("b", "Gone")}
+
+
+# ---- headers
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("---\ntitle: 'A b'\n---\n# X", "A b"), ("text\n# H1 \n", "H1"), ("plain", "stem"), ("﻿# B", "B"), ("---\nother: 1\n---\n## no\n# yes", "yes")],
+)
+def test_title(spark, raw, want):
+    assert one(spark, text.title(F.col("t"), F.lit("stem")), t=raw) == want
+
+
+def test_frontmatter_dialects(spark):
+    commented = "<!-- a -->\n<!-- b\n c -->\n\n---\nk: v\n---\nbody"
+    h, b = text.document_frontmatter(F.col("t"))
+    assert (one(spark, h, t=commented), one(spark, b, t=commented)) == ("k: v\n", "body")
+    prose = "<!-- a -->\n\n---\nno field here\n---\nbody"
+    assert one(spark, b, t=prose) == prose
+    sh, sb = text.strict_frontmatter(F.col("t"))
+    assert (one(spark, sh, t="---\nk: v\n---\n\n body "), one(spark, sb, t="---\nk: v\n---\n\n body ").strip()) == ("k: v", "body")
+    assert one(spark, sh, t=" ---\nk: v\n---\n") == ""
+
+
+def test_transcript_header(spark):
+    n, t, rest = text.transcript_header(F.col("t"))
+    raw = "# Weekly\n> on 10:00 - 11:30 here\n\nfirst\n# later"
+    assert (one(spark, n, t=raw), one(spark, t, t=raw), one(spark, rest, t=raw)) == ("Weekly", "10:00 - 11:30", "first\n# later")
+    assert one(spark, text.labelled_lines(topic=F.lit("x"), no=F.lit(None).cast("string"), meeting_time=F.lit("1"))) == "topic: x\nmeeting time: 1"
+    assert one(spark, text.string_list(F.lit('["a", 1, "b", "c", "d"]'))) == ["a", "b", "c"] and one(spark, text.string_list(F.lit("{}"))) == []
