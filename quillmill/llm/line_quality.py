@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2500, max_line
     return fit([t for _, _, t in rows], good)
 
 
-def score(docs: DataFrame, model: Model | float, batch_chars: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, model: Model | float, batch_chars: int = 600_000) -> DataFrame:
     """doc_id, score (probability of being good)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ class Encoder:
     new words are encoded. Other texts are encoded as they are.
     """
 
-    def __init__(self, path: str, max_words: int = 800_000) -> None:
+    def __init__(self, path: str, max_words: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -316,7 +316,7 @@ def default_crf() -> Crf:
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def find(texts: list[str], crf: Crf, chars: int = 1_000_000) -> Iterator[list[Span]]:
+def find(texts: list[str], crf: Crf, chars: int = 400_000) -> Iterator[list[Span]]:
     """For each text the base spans, by kind as listed and start, then those that the CRF adds: none overlaps a base span."""
     first = 0
     while first < len(texts):

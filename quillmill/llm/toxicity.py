@@ -54,7 +54,7 @@ class Model:
 class Counts:
     """Counts of vocabulary terms in texts; remembers the terms of up to max_words chunks."""
 
-    def __init__(self, vocabulary: dict[str, int], max_words: int = 400_000) -> None:
+    def __init__(self, vocabulary: dict[str, int], max_words: int = 200_000) -> None:
         self.vocabulary, self.max_words = vocabulary, max_words
         self.known: dict[str, bytes] = {}
 
