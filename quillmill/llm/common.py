@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,28 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs: Spark deletes them once their plans are collected as garbage.
+
+    The last job's plan is still held by the event that tells its end, so one more small job comes first.
+    """
+    gc.collect()
+    spark.range(1).count()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def values(spark: SparkSession, rows: list[tuple[str, float]], names: str) -> DataFrame:

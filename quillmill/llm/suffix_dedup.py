@@ -5,9 +5,10 @@ that can't matter are kept out first, exactly:
 
 1. Anchors. Every 16-byte string has a hash; in each window of ``width`` bytes the least one is the window's anchor. Equal
    windows have equal anchors, so only anchors that two documents share can lie in a repeated window. About 6 % of the
-   positions are anchors; which are shared is an aggregation by hash.
-2. Blocks. A shared anchor's block is the text that its windows can reach. Equal blocks are one row from then on, with the
-   least id that has it; blocks are dealt by their anchor's hash, so all occurrences of a repeated window meet.
+   positions are anchors; which are shared is found by hash, in buckets of about a million.
+2. Blocks. A shared anchor's block is the text that its windows can reach. Equal blocks are one row from then on, known by
+   two hashes, with the least id that has it; blocks are dealt by their anchor's hash, so all occurrences of a repeated window
+   meet. Blocks whose surroundings are like no other's are done; of the others the bytes are fetched, once for all copies.
 3. Difference-cover suffix sorting of every bucket of blocks: suffixes at positions 1 and 2 modulo 3 are sorted by triples, the
    triples' names are sorted recursively, the remaining suffixes are merged in, and neighbours in the suffix array are compared
    by their first ``width`` bytes. Runs that agree get the least id; windows that a smaller document has are marked.
@@ -24,14 +25,16 @@ result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, free_shuffles, materialise
 
 WIDTH, GRAM = 50, 16
 _LAST = (1 << 63) - 1
@@ -102,16 +105,73 @@ def _portions(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, in
         yield first, len(sizes)
 
 
-def anchor_rows(rows: DataFrame, width: int) -> DataFrame:
+_PACK = ("h", "rid", "at", "seen", "rh", "rrid", "rat")
+
+
+def _pack(bucket: int, *arrays: np.ndarray) -> tuple:
+    return (bucket, *(x.tobytes() for x in arrays))
+
+
+def packed_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Anchors by bucket of their hash, some thousand in a row as little-endian arrays: 16-byte records cost less packed than as rows.
+
+    h, rid, at: anchors that one text of a portion has. An anchor that several texts of a portion have is known to be shared:
+    its places (rh, rrid, rat) need no judging, and of its hash one copy (seen) goes to the bucket, for other portions. So a
+    bucket gets at most one copy a portion of what is common, however common it is.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, none4 = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
+            rids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for a, b in _portions([len(t) for t in texts]):
                 owner, at, h = anchors(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[a:b][owner] if len(owner) else owner, pa.int64()), pa.array(at.astype(np.int32))], ["h", "rid", "at"])
-
-    return rows.select("rid", "text").mapInArrow(run, "h long, rid long, at int")
+                if not len(h):
+                    continue
+                rid, at = rids[a:b][owner], at.astype(np.int32)
+                order = np.lexsort((rid, h))
+                h, rid, at = h[order], rid[order], at[order]
+                head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                other = np.concatenate([[True], (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])])
+                common = np.add.reduceat(other.astype(np.int64), head) > 1
+                spread = np.repeat(common, np.diff(np.concatenate([head, [len(h)]])))
+                out = [_pack(int(rid[0] % buckets), none, none, none4, none, h[spread], rid[spread], at[spread])] if spread.any() else []
+                seen = h[head][common]
+                alone = ~spread
+                h, rid, at = h[alone], rid[alone], at[alone]
+                place, seen_place = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64), (seen.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order, seen_order = np.argsort(place, kind="stable"), np.argsort(seen_place, kind="stable")
+                h, rid, at, place, seen, seen_place = h[order], rid[order], at[order], place[order], seen[seen_order], seen_place[seen_order]
+                for k in np.unique(np.concatenate([place, seen_place])).tolist():
+                    i, j = np.searchsorted(place, [k, k + 1])
+                    x, y = np.searchsorted(seen_place, [k, k + 1])
+                    out.append(_pack(k, h[i:j], rid[i:j], at[i:j], seen[x:y], none, none, none4))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", *_PACK])
+
+    return rows.select("rid", "text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _PACK))
+
+
+def shared_places(packed: DataFrame) -> DataFrame:
+    """(h, rid, at) of the anchors that two rows share."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        get = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32 if c in ("at", "rat") else np.int64)
+        h, rid, at, seen = (get(c) for c in ("h", "rid", "at", "seen"))
+        order = np.lexsort((rid, h))
+        h, rid, at = h[order], rid[order], at[order]
+        keep = np.zeros(0, bool)
+        if len(h):
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            other = np.concatenate([[True], (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])])
+            shared = (np.add.reduceat(other.astype(np.int64), head) > 1) | np.isin(h[head], seen)
+            keep = np.repeat(shared, np.diff(np.concatenate([head, [len(h)]])))
+        h, rid, at = (np.concatenate([x[keep], get(c)]) for x, c in ((h, "rh"), (rid, "rrid"), (at, "rat")))
+        order = np.lexsort((at, rid))  # by row: such columns are written in a fraction of the space
+        return pa.table({"h": h[order], "rid": rid[order], "at": at[order]})
+
+    return packed.groupBy("bucket").applyInArrow(judge, "h long, rid long, at int")
 
 
 # ---- difference-cover suffix sorting
@@ -189,65 +249,114 @@ def marks(blocks: list[bytes], least: np.ndarray, width: int = WIDTH) -> list[in
 
 # ---- blocks
 
+def _listed(batch: pa.RecordBatch, column: int, *fields: str) -> tuple[list[int], list[list]]:
+    """Offsets and fields of a column of lists of structs, without a Python object for each struct."""
+    lists = batch.column(column)
+    return lists.offsets.to_pylist(), [lists.values.field(f).to_pylist() for f in fields]
+
+
+def occurrence_rows(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """A window holds its anchor's 16 bytes and half of its other bytes at least on one side, so blocks whose sides are both unlike all others have no equal window.
 
-def block_rows(rows: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """An occurrence a row: anchor hash, key of the block, the block, rid, ord and where it starts. shared: h, rid, at."""
-    reach = width - GRAM
-    per_row = shared.groupBy("rid").agg(F.collect_list(F.struct("at", "h")).alias("a"))  # bounded by the row's own text
+    A shared anchor a row: its hash h, the hash of its block (key), of the bytes at its left and right (-1 where the text ends), rid, ord, and where the block lies."""
+    reach, half = width - GRAM, (width - GRAM + 1) // 2
+    per_row = places.groupBy("rid").agg(F.collect_list(F.struct("at", "h")).alias("a"))  # bounded by the row's own text
+    names = ["h", "key", "lo", "hi", "rid", "ord", "start", "n"]
+    types = [pa.int64()] * 6 + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "key", "block", "rid", "ord", "start"]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        digest, crc = xxhash.xxh64_intdigest, zlib.crc32
         for batch in batches:
             out: list[tuple] = []
-            for rid, order, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            offsets, (ats, hs) = _listed(batch, 3, "at", "h")
+            for i, (rid, order, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 raw = text.encode("utf-8", "surrogatepass")
-                for x in found:
-                    start = max(0, x["at"] - reach)
-                    block = raw[start : x["at"] + width]
-                    if len(block) >= width:
-                        out.append((x["h"], hashlib.md5(block).digest(), block, rid, order, start))
-                if len(out) >= 20_000:
+                size = len(raw)
+                for j in range(offsets[i], offsets[i + 1]):
+                    at = ats[j]
+                    start, end = max(0, at - reach), min(size, at + width)
+                    if end - start >= width:
+                        key = digest(raw[start:end], at - start)  # the anchor's place is part of what a block is
+                        lo = crc(raw[at - half : at + GRAM]) if at >= half else -1
+                        hi = crc(raw[at : at + GRAM + half]) if at + GRAM + half <= size else -1
+                        out.append((hs[j], key - (1 << 64) if key >> 63 else key, lo, hi, rid, order, start, end - start))
+                if len(out) >= 50_000 or (out and i + 1 == batch.num_rows):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     joined = rows.select("rid", "ord", "text").join(per_row, "rid").select("rid", "ord", "text", "a")
-    return joined.mapInArrow(run, "h long, key binary, block binary, rid long, ord long, start int")
+    return joined.mapInArrow(run, "h long, key long, lo long, hi long, rid long, ord long, start int, n int")
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Of a bucket's blocks those that share what lies left or right of their anchor with another block."""
+    h = table.column("h").to_numpy()
+    keep = np.zeros(len(h), bool)
+    for side in ("lo", "hi"):
+        x = table.column(side).to_numpy()
+        mixed = (h ^ (x * np.int64(0x1E3779B97F4A7C15))).astype(np.int64)
+        _, kind, times = np.unique(mixed, return_inverse=True, return_counts=True)
+        keep |= (times[kind] > 1) & (x >= 0)
+    return table.select(["bucket", "h", "key", "least", "rid", "start", "n"]).filter(pa.array(keep))
 
 
-def verdicts(blocks: DataFrame, width: int, per_bucket: int = 12_000, heavy: int = 6_000) -> DataFrame:
-    """(key, least, mask) of distinct blocks (h, key, block, least) that share their anchor with another; others have no mark."""
+def block_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The blocks (bucket, h, key, least, rid, start, n) with their bytes, each taken from one row that has it."""
+    fields = ["bucket", "h", "key", "least", "start", "n"]
+    per_row = chosen.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, columns = _listed(batch, 1, *fields)
+            starts, sizes = columns[4:]
+            blocks = []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass")
+                blocks += [raw[starts[j] : starts[j] + sizes[j]] for j in range(offsets[i], offsets[i + 1])]
+            part = slice(offsets[0], offsets[-1])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[part], pa.int64()) for c in columns[:4]), pa.array(blocks, pa.binary())], [*fields[:4], "block"])
+
+    return rows.select("rid", "text").join(per_row, "rid").select("text", "a").mapInArrow(run, "bucket long, h long, key long, least long, block binary")
+
+
+def verdicts(rows: DataFrame, blocks: DataFrame, width: int, per_bucket: int = 12_000, heavy: int = 6_000) -> DataFrame:
+    """(h, key, mask): the windows, as bits, of distinct blocks (h, key, lo, hi, least, rid, start, n) that a smaller id has too; blocks without any are left out."""
     sizes = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = materialise(blocks.join(sizes, "h"))
-    total = grouped.count()
-    buckets = max(1, -(-total // per_bucket))
-    light = grouped.where(F.col("n") <= heavy).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    buckets = max(1, -(-(total or 0) // per_bucket))
+    light, many = blocks, blocks.limit(0)
+    if (most or 0) > heavy:
+        common = materialise(sizes.where(F.col("n") > heavy).select("h"))
+        light, many = blocks.join(common, "h", "left_anti"), blocks.join(common, "h", "left_semi")
+    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("long")
+    schema = "bucket long, h long, key long, least long, rid long, start int, n int"
+    chosen = light.select(bucket.alias("bucket"), "h", "key", "least", "lo", "hi", "rid", "start", "n").groupBy("bucket").applyInArrow(_candidates, schema)
+    chosen = chosen.union(many.select(F.lit(-1).cast("long"), "h", "key", "least", "rid", "start", "n"))
+    chosen = _step(chosen)
+    texts = _step(block_texts(rows, chosen), chosen)
 
     def sort(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy()
         order = np.argsort(h, kind="stable")
         cuts = [0]
-        for i in np.flatnonzero(np.diff(h[order])).tolist():  # a bucket may hold more than one task should sort at once
+        for i in np.flatnonzero(np.diff(h[order])).tolist():  # a bucket may hold more than one string should
             if i + 1 - cuts[-1] >= per_bucket:
                 cuts.append(i + 1)
-        keys, masks = [], []
+        hits, masks = [], []
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            part = table.take(pa.array(order[a:b]))
-            found = marks(part.column("block").to_pylist(), part.column("least").to_numpy(), width)
+            part = order[a:b]
+            found = marks(table.column("block").take(pa.array(part)).to_pylist(), table.column("least").to_numpy()[part], width)
             hit = [i for i, m in enumerate(found) if m]
-            keys += part.column("key").take(pa.array(hit, pa.int64())).to_pylist()
+            hits += part[hit].tolist()
             masks += [found[i] for i in hit]
-        return pa.table({"key": pa.array(keys, pa.binary()), "mask": pa.array(masks, pa.int64())})
+        return table.select(["h", "key"]).take(pa.array(hits, pa.int64())).append_column("mask", pa.array(masks, pa.int64()))
 
-    sorted_ = light.select("bucket", "h", "key", "block", "least").groupBy("bucket").applyInArrow(sort, "key binary, mask long")
-    many = grouped.where(F.col("n") > heavy).select("key", "least", "block")
+    sorted_ = texts.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "h long, key long, mask long")
     offsets = F.sequence(F.lit(0), F.length("block") - width)
-    windows = many.select("key", "least", F.posexplode(F.transform(offsets, lambda i: F.substring(F.col("block"), i + 1, F.lit(width)))).alias("i", "w"))
-    windows = windows.select("key", "least", "i", F.unhex(F.md5("w")).alias("w"))
+    windows = texts.where("bucket < 0").select("h", "key", "least", F.posexplode(F.transform(offsets, lambda i: F.substring(F.col("block"), i + 1, F.lit(width)))).alias("i", "w"))
+    windows = windows.select("h", "key", "least", "i", F.unhex(F.md5("w")).alias("w"))
     first = windows.groupBy("w").agg(F.min("least").alias("first"))
-    marked = windows.join(first, "w").where("first < least").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    marked = windows.join(first, "w").where("first < least").groupBy("h", "key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     return sorted_.union(marked)
 
 
@@ -284,14 +393,24 @@ def intervals(pieces: list[dict], width: int) -> list[tuple[int, int]]:
     return out
 
 
-def spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+def _step(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Writes df, then lets go of the shuffle files behind it and of the tables that were made for it alone."""
+    out = materialise(df)
+    for table in done:
+        discard(table)
+    free_shuffles(df.sparkSession)
+    return out
+
+
+def spans(rows: DataFrame, width: int = WIDTH, bucket_bytes: int = 16_000_000) -> DataFrame:
     """(rid, pieces): for every row with something to remove, structs start, length, mask; length 0 means that the mask says which windows go."""
-    found = anchor_rows(rows, width)
-    shared = found.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("h")
-    occurrences = materialise(block_rows(rows, found.join(materialise(shared), "h"), width))
-    blocks = materialise(occurrences.groupBy("key").agg(F.min("ord").alias("least"), F.first("h").alias("h"), F.first("block").alias("block")))
-    judged = blocks.select("key", "least").join(materialise(verdicts(blocks, width)), "key", "left")
-    hits = occurrences.select("key", "rid", "ord", "start", F.length("block").alias("n")).join(judged, "key")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    places = _step(shared_places(packed_anchors(rows, width, max(1, -(-size // bucket_bytes)))))
+    occurrences = _step(occurrence_rows(rows, places, width), places)
+    one = [F.first(c).alias(c) for c in ("lo", "hi", "rid", "start", "n")]  # equal blocks: any occurrence will do
+    blocks = _step(occurrences.groupBy("h", "key").agg(F.min("ord").alias("least"), *one))
+    judged = blocks.select("h", "key", "least").join(_step(verdicts(rows, blocks, width)), ["h", "key"], "left")
+    hits = occurrences.select("h", "key", "rid", "ord", "start", "n").join(judged, ["h", "key"])
     again = F.col("ord") > F.col("least")
     hits = hits.where(again | F.col("mask").isNotNull())
     piece = F.struct("start", F.when(again, F.col("n")).otherwise(0).alias("length"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))

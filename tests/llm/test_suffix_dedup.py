@@ -74,6 +74,14 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_buckets_and_portions(spark, monkeypatch):
+    old, cut = suffix_dedup.spans, suffix_dedup._portions
+    monkeypatch.setattr(suffix_dedup, "spans", lambda rows, width: old(rows, width, bucket_bytes=3000))
+    monkeypatch.setattr(suffix_dedup, "_portions", lambda sizes: cut(sizes, 2000))
+    rows = made(random.Random(11))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_null_and_repeated_ids(spark):
     rows = made(random.Random(7))[:60] + [(None, "n" * 60), (None, "n" * 60), (5, "m" * 70), (5, "m" * 70), (6, "m" * 70 + "n" * 60), (5, "k" * 55)]
     assert run(spark, rows) == brute(rows)
@@ -84,7 +92,7 @@ def test_heavy_anchors_take_the_other_way(spark, monkeypatch):
     line = "".join(rng.choices("abcdefgh", k=60))
     rows = [(d, "".join(rng.choices("klmnop", k=80)) + line + "".join(rng.choices("klmnop", k=80))) for d in range(120)]
     old = suffix_dedup.verdicts
-    monkeypatch.setattr(suffix_dedup, "verdicts", lambda b, w: old(b, w, per_bucket=30, heavy=10))
+    monkeypatch.setattr(suffix_dedup, "verdicts", lambda r, b, w: old(r, b, w, per_bucket=30, heavy=10))
     assert run(spark, rows) == brute(rows)
 
 
