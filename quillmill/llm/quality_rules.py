@@ -124,7 +124,8 @@ def learn(labelled: DataFrame, max_rules: int = 4, max_conditions: int = 3, cuts
         p0, n0 = totals.p, totals.n
         while p0 >= min_support and n0 and len(rule) < max_conditions:
             found = ((_gain(p, n, p0, n0), k, op, v, p, n) for k, op, v, p, n in _candidates(at, thresholds) if p >= min_support)
-            best = max(found, key=lambda x: (round(x[0], 9), x[3] if x[2] == ">" else -x[3], x[1]), default=(0.0,))  # of equals the one that drops least
+            # thresholds of one feature are comparable, those of two are not: of equals the feature is fixed first, then what drops least
+            best = max(found, key=lambda x: (round(x[0], 9), x[1], x[2], x[3] if x[2] == ">" else -x[3]), default=(0.0,))
             if best[0] <= 1e-9:
                 break
             _, k, op, v, p0, n0 = best
