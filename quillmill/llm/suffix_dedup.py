@@ -357,7 +357,7 @@ def verdicts(rows: DataFrame, blocks: DataFrame, width: int, per_bucket: int = 1
     windows = windows.select("h", "key", "least", "i", F.unhex(F.md5("w")).alias("w"))
     first = windows.groupBy("w").agg(F.min("least").alias("first"))
     marked = windows.join(first, "w").where("first < least").groupBy("h", "key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    return sorted_.union(marked)
+    return _step(sorted_.union(marked), texts)
 
 
 def _cut(raw: bytes, pieces: list, width: int) -> tuple[int, int, str]:
@@ -409,12 +409,13 @@ def spans(rows: DataFrame, width: int = WIDTH, bucket_bytes: int = 16_000_000) -
     occurrences = _step(occurrence_rows(rows, places, width), places)
     one = [F.first(c).alias(c) for c in ("lo", "hi", "rid", "start", "n")]  # equal blocks: any occurrence will do
     blocks = _step(occurrences.groupBy("h", "key").agg(F.min("ord").alias("least"), *one))
-    judged = blocks.select("h", "key", "least").join(_step(verdicts(rows, blocks, width)), ["h", "key"], "left")
+    found = verdicts(rows, blocks, width)
+    judged = blocks.select("h", "key", "least").join(found, ["h", "key"], "left")
     hits = occurrences.select("h", "key", "rid", "ord", "start", "n").join(judged, ["h", "key"])
     again = F.col("ord") > F.col("least")
     hits = hits.where(again | F.col("mask").isNotNull())
     piece = F.struct("start", F.when(again, F.col("n")).otherwise(0).alias("length"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return hits.groupBy("rid").agg(F.collect_list(piece).alias("pieces"))
+    return _step(hits.groupBy("rid").agg(F.collect_list(piece).alias("pieces")), occurrences, blocks, found)  # gone before the texts are dealt
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
