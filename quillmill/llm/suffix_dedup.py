@@ -25,7 +25,6 @@ result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,32 +226,39 @@ def marks(blocks: list[bytes], least: np.ndarray, width: int = WIDTH) -> list[in
     owner = np.repeat(np.arange(len(blocks)), lengths + 1)
     whole = order + width <= ends[owner[order]]
     order = order[whole]
-    out = [0] * len(blocks)
     if not len(order):
-        return out
-    # neighbours in the suffix array that agree on their first letters
-    eight = np.ndarray((max(0, len(text) - 1),), np.int64, text.tobytes(), 0, (8,))
+        return [0] * len(blocks)
+    # neighbours in the suffix array that agree on their first letters; no end lies in a whole window, so bytes will do, eight at once
+    eight = np.ndarray((len(text),), np.uint64, text.astype(np.uint8).tobytes() + bytes(8), 0, (1,))
     same = np.ones(len(order) - 1, bool)
-    for k in range(width):
+    for k in [*range(0, width - 8, 8), width - 8]:
         live = np.flatnonzero(same)
-        if not len(live):
-            break
         same[live] = eight[order[live] + k] == eight[order[live + 1] + k]
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     first = np.minimum.reduceat(least[owner[order]], head)
     group = np.cumsum(np.concatenate([[0], ~same]))
-    for i in np.flatnonzero(first[group] < least[owner[order]]).tolist():
-        b = int(owner[order[i]])
-        out[b] |= 1 << int(order[i] - starts[b])
-    return out
+    hit = order[first[group] < least[owner[order]]]
+    # at most 48 different bits a block: their sum is exact in doubles
+    bits = np.exp2(hit - starts[owner[hit]])
+    return np.bincount(owner[hit], bits, len(blocks)).astype(np.int64).tolist()
 
 
 # ---- blocks
 
-def _listed(batch: pa.RecordBatch, column: int, *fields: str) -> tuple[list[int], list[list]]:
-    """Offsets and fields of a column of lists of structs, without a Python object for each struct."""
+def _listed(batch: pa.RecordBatch, column: int, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of a column of lists of structs, as arrays; a null list is empty."""
     lists = batch.column(column)
-    return lists.offsets.to_pylist(), [lists.values.field(f).to_pylist() for f in fields]
+    return lists.offsets.to_numpy(), [lists.values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _side_hashes(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash below 2^32 of the ``length`` bytes from each of the places on."""
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ eight[at + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0x165667B19E3779F9) >> np.uint64(32)).astype(np.int64)
 
 
 def occurrence_rows(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -262,27 +268,31 @@ def occurrence_rows(rows: DataFrame, places: DataFrame, width: int) -> DataFrame
     reach, half = width - GRAM, (width - GRAM + 1) // 2
     per_row = places.groupBy("rid").agg(F.collect_list(F.struct("at", "h")).alias("a"))  # bounded by the row's own text
     names = ["h", "key", "lo", "hi", "rid", "ord", "start", "n"]
-    types = [pa.int64()] * 6 + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, crc = xxhash.xxh64_intdigest, zlib.crc32
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out: list[tuple] = []
+            rids, ords = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             offsets, (ats, hs) = _listed(batch, 3, "at", "h")
-            for i, (rid, order, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                raw = text.encode("utf-8", "surrogatepass")
-                size = len(raw)
-                for j in range(offsets[i], offsets[i + 1]):
-                    at = ats[j]
-                    start, end = max(0, at - reach), min(size, at + width)
-                    if end - start >= width:
-                        key = digest(raw[start:end], at - start)  # the anchor's place is part of what a block is
-                        lo = crc(raw[at - half : at + GRAM]) if at >= half else -1
-                        hi = crc(raw[at : at + GRAM + half]) if at + GRAM + half <= size else -1
-                        out.append((hs[j], key - (1 << 64) if key >> 63 else key, lo, hi, rid, order, start, end - start))
-                if len(out) >= 50_000 or (out and i + 1 == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
+            texts = batch.column(2).to_pylist()
+            for a, b in _portions([len(t) for t in texts]):
+                raws = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
+                data = b"".join(raws)
+                sizes = np.array([len(r) for r in raws])
+                owner = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+                at, h = ats[offsets[a] : offsets[b]].astype(np.int64), hs[offsets[a] : offsets[b]]
+                start, end = np.maximum(0, at - reach), np.minimum(sizes[owner], at + width)
+                fits = end - start >= width
+                owner, at, h, start, end = (x[fits] for x in (owner, at, h, start, end))
+                base = (np.cumsum(sizes) - sizes)[owner]
+                # the anchor's place is part of what a block is
+                key = np.array([digest(data[i:j], k) for i, j, k in zip((base + start).tolist(), (base + end).tolist(), (at - start).tolist(), strict=True)], np.uint64).astype(np.int64)
+                lo, hi = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+                left, right = at >= half, at + GRAM + half <= sizes[owner]
+                lo[left] = _side_hashes(data, (base + at)[left] - half, GRAM + half)
+                hi[right] = _side_hashes(data, (base + at)[right], GRAM + half)
+                cols = [h, key, lo, hi, rids[a:b][owner], ords[a:b][owner], start.astype(np.int32), (end - start).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     joined = rows.select("rid", "ord", "text").join(per_row, "rid").select("rid", "ord", "text", "a")
     return joined.mapInArrow(run, "h long, key long, lo long, hi long, rid long, ord long, start int, n int")
@@ -308,7 +318,7 @@ def block_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, columns = _listed(batch, 1, *fields)
-            starts, sizes = columns[4:]
+            offsets, starts, sizes = offsets.tolist(), columns[4].tolist(), columns[5].tolist()
             blocks = []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -360,37 +370,23 @@ def verdicts(rows: DataFrame, blocks: DataFrame, width: int, per_bucket: int = 1
     return _step(sorted_.union(marked), texts)
 
 
-def _cut(raw: bytes, pieces: list, width: int) -> tuple[int, int, str]:
-    """(bytes removed, maximal runs, digest of the rest)."""
-    ends = sorted(pieces)
-    removed = runs = at = 0
-    digest = hashlib.sha256()
-    i = 0
-    while i < len(ends):
-        a, b = ends[i]
-        while i + 1 < len(ends) and ends[i + 1][0] <= b:
-            i += 1
-            b = max(b, ends[i][1])
-        digest.update(raw[at:a])
-        removed, runs, at = removed + b - a, runs + 1, b
-        i += 1
-    digest.update(raw[at:])
-    return removed, runs, digest.hexdigest()
-
-
-def intervals(pieces: list[dict], width: int) -> list[tuple[int, int]]:
-    out = []
-    for p in pieces:
-        if p["length"]:
-            out.append((p["start"], p["start"] + p["length"]))
-        else:
-            mask, i = p["mask"], p["start"]
-            while mask:
-                if mask & 1:
-                    out.append((i, i + width))
-                mask >>= 1
-                i += 1
-    return out
+def runs_of(owner: np.ndarray, start: np.ndarray, length: np.ndarray, mask: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of the maximal runs that pieces cover, in order. A piece without a length has the windows of its mask."""
+    base = np.cumsum(sizes + 1) - (sizes + 1)  # a byte between texts keeps their runs apart
+    start = base[owner] + start
+    whole = length > 0
+    bits, at = mask[~whole], start[~whole]
+    ones = lambda x: np.nonzero(np.unpackbits(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    of, first = ones(bits & ~(bits << 1))  # neighbouring windows are one interval
+    _, last = ones(bits & ~(bits >> 1))
+    begin = np.concatenate([start[whole], at[of] + first])
+    end = np.concatenate([start[whole] + length[whole], at[of] + last + width])
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    head = np.flatnonzero(np.concatenate([[True] * (len(begin) > 0), begin[1:] > end[:-1]]))
+    begin, end = begin[head], end[np.append(head[1:], len(end)) - 1] if len(head) else end
+    text = np.searchsorted(base, begin, "right") - 1
+    return text, begin - base[text], end - base[text]
 
 
 def _step(df: DataFrame, *done: DataFrame) -> DataFrame:
@@ -408,14 +404,15 @@ def spans(rows: DataFrame, width: int = WIDTH, bucket_bytes: int = 16_000_000) -
     places = _step(shared_places(packed_anchors(rows, width, max(1, -(-size // bucket_bytes)))))
     occurrences = _step(occurrence_rows(rows, places, width), places)
     one = [F.first(c).alias(c) for c in ("lo", "hi", "rid", "start", "n")]  # equal blocks: any occurrence will do
-    blocks = _step(occurrences.groupBy("h", "key").agg(F.min("ord").alias("least"), *one))
+    blocks = _step(occurrences.groupBy("h", "key").agg(F.min("ord").alias("least"), (F.count(F.lit(1)) > 1).alias("again"), *one))
     found = verdicts(rows, blocks, width)
-    judged = blocks.select("h", "key", "least").join(found, ["h", "key"], "left")
+    judged = blocks.select("h", "key", "least", "again").join(found, ["h", "key"], "left").where("again OR mask IS NOT NULL")
+    judged = _step(judged.select("h", "key", "least", "mask"), blocks, found)  # a table: Spark can split the join with a block that stands everywhere
     hits = occurrences.select("h", "key", "rid", "ord", "start", "n").join(judged, ["h", "key"])
     again = F.col("ord") > F.col("least")
     hits = hits.where(again | F.col("mask").isNotNull())
     piece = F.struct("start", F.when(again, F.col("n")).otherwise(0).alias("length"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return _step(hits.groupBy("rid").agg(F.collect_list(piece).alias("pieces")), occurrences, blocks, found)  # gone before the texts are dealt
+    return _step(hits.groupBy("rid").agg(F.collect_list(piece).alias("pieces")), occurrences, judged)  # gone before the texts are dealt
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -430,16 +427,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gone = intervals(pieces or [], width)
-                row = (len(raw), *_cut(raw, gone, width))
-                if with_text:
-                    keep = np.ones(len(raw), bool)
-                    for a, b in gone:
-                        keep[a:b] = False
-                    row = (*row, np.frombuffer(raw, np.uint8)[keep].tobytes())
-                out.append(row)
+            offsets, fields = _listed(batch, 2, "start", "length", "mask")
+            texts = batch.column(1).to_pylist()
+            for a, b in _portions([len(t) for t in texts]):
+                raws = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
+                owner = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+                found = runs_of(owner, *(x[offsets[a] : offsets[b]].astype(np.int64) for x in fields), np.array([len(r) for r in raws]), width)
+                cuts = np.searchsorted(found[0], np.arange(b - a + 1)).tolist()
+                begins, ends = found[1].tolist(), found[2].tolist()
+                for i, raw in enumerate(raws):
+                    begin, end = begins[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]
+                    kept = b"".join([raw[x:y] for x, y in zip([0, *end], [*begin, len(raw)], strict=True)]) if begin else raw
+                    out.append((len(raw), len(raw) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
             cols = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
