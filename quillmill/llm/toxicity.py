@@ -1,13 +1,15 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features are words and word beginnings of three to eight letters (compounding languages hide words at the front of longer
-ones), counted in whole texts. P(grade <= k) = sigmoid(theta_k - w.x): all thresholds share w, and theta is kept ordered. The
-score is the expected grade.
+ones), counted in windows of ``2 * STEP`` chunks that overlap by half and cover the whole text. P(grade <= k) =
+sigmoid(theta_k - w.x): all thresholds share w, and theta is kept ordered. The score is the expected grade, and a text has
+that of its worst window, so that what stands around a toxic passage cannot outweigh it, however long.
 
 Labels say toxic or not; grades come from them: 0 is not toxic, and toxic documents are graded 1 to 3 by thirds of how dense
-their telling terms are. The terms are chosen by the significance of their log odds. Training reads a bounded sample
+their telling terms are. The terms are chosen by the significance of their log odds. A toxic document is trained on by the window
+in which its telling terms are the most significant, one that is not toxic by all its windows. Training reads a bounded sample
 (``max_toxic`` and ``max_clean`` labelled rows, by hashed id); document frequencies of terms are counted by Spark, and only
-the chosen terms (at most ``max_terms``) and their counts in the sample reach the driver. Scoring is one narrow pass.
+the chosen terms (at most ``max_terms``) and their counts in those windows reach the driver. Scoring is one narrow pass.
 
 Defined results: a null text counts as empty and gets the score of a text without any telling term. Repeated rows score
 alike. Without labelled rows of both classes nothing is toxic and all severities are 0. Extra columns are ignored.
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRADES = 4
+STEP = 100
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 SCORES = "severity double, p_toxic double, grade int, toxic boolean"
 
@@ -52,7 +55,7 @@ class Model:
 
 
 class Counts:
-    """Counts of vocabulary terms in texts; remembers the terms of up to max_words chunks."""
+    """Counts of vocabulary terms in the windows of texts; remembers the terms of up to max_words chunks."""
 
     def __init__(self, vocabulary: dict[str, int], max_words: int = 200_000) -> None:
         self.vocabulary, self.max_words = vocabulary, max_words
@@ -66,7 +69,8 @@ class Counts:
             ids = [vocabulary[t] for t in terms(c) if t in vocabulary]
             self.known[c] = np.array(ids, np.int32).tobytes() if ids else b""
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window, term, count) of the terms met, in order of window, and how many chunks each window has (one window at least)."""
         chunks = text.lower().split()
         missing = set(chunks).difference(self.known)
         if missing:
@@ -74,8 +78,13 @@ class Counts:
             if len(missing) != len(set(chunks)) and not set(chunks) <= self.known.keys():
                 self._learn(set(chunks))
         known = self.known
-        ids = np.frombuffer(b"".join([known[c] for c in chunks]), np.int32)
-        return np.unique(ids, return_counts=True)
+        steps = [b"".join([known[c] for c in chunks[i : i + STEP]]) for i in range(0, len(chunks), STEP)]
+        last = max(0, len(steps) - 2)
+        step, ids = np.repeat(np.arange(len(steps)), [len(s) // 4 for s in steps]), np.frombuffer(b"".join(steps), np.int32)
+        first, second = step <= last, step >= 1
+        keys, n = np.unique(np.concatenate([step[first], step[second] - 1]) * len(self.vocabulary) + np.concatenate([ids[first], ids[second]]), return_counts=True)
+        starts = np.arange(last + 1) * STEP
+        return *np.divmod(keys, max(1, len(self.vocabulary))), n, np.minimum(len(chunks), starts + 2 * STEP) - starts
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
@@ -85,7 +94,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", (F.col("toxic") > 0).alias("toxic"), "text")
 
 
-def _vocabulary(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int, least_z: float = 2.5) -> dict[str, int]:
+def _vocabulary(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int, least_z: float = 2.5) -> tuple[dict[str, int], np.ndarray]:
+    """The telling terms, numbered, and their significance."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -99,7 +110,7 @@ def _vocabulary(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int, l
     a, b, c, d = F.col("a") + 0.5, n_toxic - F.col("a") + 0.5, F.col("c") + 0.5, n_clean - F.col("c") + 0.5
     z = F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     rows = counted.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    return {r.term: i for i, r in enumerate(rows)}
+    return {r.term: i for i, r in enumerate(rows)}, np.array([r.z for r in rows])
 
 
 def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_terms: int, ridge: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +148,20 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         if not sizes.get(True) or not sizes.get(False):
             return None
-        vocabulary = _vocabulary(sample, sizes[True], sizes[False], max_terms)
+        vocabulary, z = _vocabulary(sample, sizes[True], sizes[False], max_terms)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counts(vocabulary)
             for batch in batches:
-                found = [counts.of(t) for t in batch.column(2).to_pylist()]
-                n = [len(t.split()) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(n, pa.int64()), pa.array([i.tolist() for i, _ in found], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int64()))], ["id", "toxic", "n", "ids", "counts"])
-
-        rows = sorted(sample.mapInArrow(features, "id string, toxic boolean, n long, ids array<long>, counts array<long>").collect())
+                found = []
+                for key, toxic, text in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    window, ids, n, sizes = counts.of(text)
+                    only = [int(np.bincount(window, np.log1p(n) * z[ids], len(sizes)).argmax())] if toxic else range(len(sizes))
+                    ends = np.searchsorted(window, np.arange(len(sizes) + 1))
+                    found += [(key, toxic, w, int(sizes[w]), ids[ends[w] : ends[w + 1]].tolist(), n[ends[w] : ends[w + 1]].tolist()) for w in only]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["id", "toxic", "w", "n", "ids", "counts"])
+
+        rows = sorted(sample.mapInArrow(features, "id string, toxic boolean, w long, n long, ids array<long>, counts array<long>").collect())
     finally:
         sample.unpersist()
     x = [(np.array(r.ids, np.int64), np.array(r.counts, np.float64)) for r in rows]
@@ -171,8 +186,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
             total = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column(at).to_pylist()):
                 if text:
-                    ids, n = counts.of(text)
-                    total[i] = float(np.log1p(n) @ model.weights[ids]) if len(ids) else 0.0
+                    window, ids, n, sizes = counts.of(text)
+                    total[i] = np.bincount(window, np.log1p(n) * model.weights[ids], len(sizes)).max()
             p = model.distribution(total)
             added = [pa.array(p @ np.arange(GRADES)), pa.array(1 - p[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(1 - p[:, 0] >= threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*columns, "severity", "p_toxic", "grade", "toxic"])

@@ -271,6 +271,34 @@ def test_toxicity_without_a_class(spark, docs):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_passages_in_very_long_documents(spark):
+    # terms with negative weights add up in a long text; what stands around a passage must not outweigh it
+    mild = [f"mild{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    model = toxicity.Model({t: i for i, t in enumerate(["vile", *mild])}, np.array([3.0] + [-1.0] * 200), np.array([2.0, 3.0, 4.0]))
+    plain, passage = ("aword " * 30_000).split(), ["vile"] * 4
+    spoken = (mild * 300)[:60_000]
+    texts = {0: passage, 1: plain, 2: spoken}
+    for i, at in enumerate((0, 95, 100, 29_997, 59_996)):
+        texts[3 + i] = spoken[:at] + plain[:250] + passage + plain[:250] + spoken[at:]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string"), model).collect()}
+    assert [k for k in texts if got[k].toxic] == [0, 3, 4, 5, 6, 7]
+    assert len({got[k].severity for k in (0, 3, 4, 5, 6, 7)}) == 1
+
+
+def test_toxic_documents_inside_joined_clean_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    alone = toxicity.score(docs, model).join(labels.withColumnRenamed("toxic", "label").select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()
+    clean = [r.text for r in alone if not r.label and not r.toxic and r.text]
+    caught = [r.text for r in alone if r.label and r.toxic and len(r.text.split()) <= 200][:10]
+    rnd = random.Random(5)
+    around = [" ".join(rnd.sample(clean, 75)) for _ in range(2 * len(caught))]
+    rows = [(i, f"{a} {t} {b}") for i, (a, t, b) in enumerate(zip(around[::2], caught, around[1::2], strict=True))] + [(100 + i, t) for i, t in enumerate(around)]
+    toxic = {r.doc_id for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).where("toxic").collect()}
+    assert len(caught) >= 5 and sum(i < 100 for i in toxic) >= 0.8 * len(caught) and sum(i >= 100 for i in toxic) <= 0.2 * len(around)
+
+
 # ---- SimHash
 
 
