@@ -85,28 +85,28 @@ def cluster(pairs: DataFrame, sets: DataFrame, component: DataFrame, cap: int =
     return sets.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def elect(titles: DataFrame, component: DataFrame, threshold: float = 0.7) -> DataFrame:
+def elect(titles: DataFrame, component: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
     """First writer wins. Items (id, tokens) in order of id; one is kept unless it overlaps an already kept one.
 
-    Sequential inside a token-connected component (id, root), parallel across; items of different components share no word.
+    Equal token sets stand or fall with the first of them, so only firsts are paired. Each round keeps the sets that no
+    undecided earlier one overlaps and drops those these overlap; its result is checkpointed. A chain in which each set overlaps
+    just the next takes a round for every second link. component is not needed any more and not read.
     """
-    rows = titles.join(component, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        target = []
-        frame = frame.sort_values("id")
-        for i, tokens in zip(frame["id"].tolist(), frame["tokens"].tolist(), strict=True):
-            words, best, at = set(tokens), threshold - 1e-12, i
-            for j, other in kept:
-                if words and other and len(words & other) / min(len(words), len(other)) > best:
-                    best, at = len(words & other) / min(len(words), len(other)), j
-            if at == i:
-                kept.append((i, words))
-            target.append(at)
-        return pd.DataFrame({"id": frame["id"].astype("int64"), "merged_into": pd.Series(target, index=frame.index, dtype="int64")})
-
-    out = rows.groupBy("root").applyInPandas(walk, "id long, merged_into long")
+    _ensure_checkpoint_dir(titles.sparkSession)
+    rows = titles.select("id", F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
+    firsts = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("first")).checkpoint()
+    pairs = overlap_pairs(firsts.select(F.col("first").alias("id"), "tokens"), threshold).checkpoint()
+    left, lost = pairs.select("i", "j"), pairs.select("j").limit(0)
+    while not left.isEmpty():
+        held = left.select("i").distinct().join(left.select(F.col("j").alias("i")), "i", "left_anti")
+        out = left.join(held, "i", "left_semi").select("j").distinct().checkpoint()
+        left = left.join(out, "j", "left_anti").join(out.toDF("i"), "i", "left_anti").checkpoint()
+        lost = lost.union(out).checkpoint()
+    ends = pairs.select(F.col("i").alias("first"), F.col("j").alias("to"), "overlap").union(pairs.select("j", "i", "overlap"))
+    near = ends.join(lost.toDF("first"), "first", "left_semi").join(lost.toDF("to"), "to", "left_anti").groupBy("first", "overlap").agg(F.min("to").alias("to"))
+    best = near.groupBy("first").agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("less"), "to"))).alias("near"))
+    earlier = F.get(F.filter("near", lambda x: x["to"] < F.col("id")), F.lit(0))["to"]
+    out = rows.join(firsts.join(best, "first", "left"), "tokens", "left").select("id", F.when(F.col("near").isNotNull(), earlier).otherwise(F.coalesce("first", "id")).alias("merged_into"))
     return out.select("id", (F.col("id") == F.col("merged_into")).alias("kept"), "merged_into")
 
 

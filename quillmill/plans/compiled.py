@@ -68,8 +68,7 @@ def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_elect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = _titles(spark, sf_dir)
-    return overlap.elect(titles, overlap.tokens_components(titles)).select(F.col("id").alias("doc_id"), "kept", "merged_into")
+    return overlap.elect(_titles(spark, sf_dir)).select(F.col("id").alias("doc_id"), "kept", "merged_into")
 
 
 # ---- chunks and budgets

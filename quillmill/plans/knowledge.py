@@ -76,7 +76,7 @@ def dedup_titles(ops: DataFrame, threshold: float = 0.7) -> DataFrame:
     """J10, W11 over the created titles: a title that overlaps an earlier one merges into its article."""
     created = ops.where("action = 'create'").select("path", "title").dropDuplicates(["path"])
     numbered = _kept(created.select(F.xxhash64("path").alias("id"), "path", text.title_words(F.col("title")).alias("tokens")))
-    elected = overlap.elect(numbered.select("id", "tokens"), overlap.tokens_components(numbered), threshold)
+    elected = overlap.elect(numbered.select("id", "tokens"), threshold=threshold)
     target = elected.join(numbered.select("id", "path"), "id").join(numbered.select(F.col("id").alias("merged_into"), F.col("path").alias("into")), "merged_into").where("NOT kept").select("path", "into")
     joined = ops.join(target, "path", "left")
     moved = F.col("into").isNotNull()

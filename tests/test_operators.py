@@ -127,6 +127,24 @@ def test_election(spark):
     assert got == {0: (True, 0), 1: (False, 0), 2: (True, 2), 3: (False, 0)}
 
 
+def test_election_of_one_large_component(spark):
+    rng = random.Random(3)
+    rows = [[], *(rng.sample("abcdefghijklmnop", rng.choice([1, 2, 3, 4, 4, 4])) for _ in range(300)), []]
+    rows += [rows[9], rows[40][::-1], rows[200]]
+    kept, want = [], {}
+    for i, words in enumerate(map(set, rows)):
+        shares = [(len(words & rest) / min(len(words), len(rest)), -j) for j, rest in kept if words and rest]
+        best = max(shares, default=(0, 0))
+        want[i] = (best[0] < 0.7, i if best[0] < 0.7 else -best[1])
+        if best[0] < 0.7:
+            kept.append((i, words))
+    df = sets(spark, *rows)
+    got = overlap.elect(df, overlap.tokens_components(df))
+    assert {r.id: (r.kept, r.merged_into) for r in got.collect()} == want
+    # no component is handed to one task
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
 # ---- chunks
 
 
