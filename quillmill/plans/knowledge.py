@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths, text
@@ -53,15 +53,29 @@ def extract(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = N
 def classify(found: DataFrame, existing: DataFrame, endpoint: ModelEndpoint, per_prompt: int = 500) -> tuple[DataFrame, DataFrame]:
     """Operations (rel_path, action, path, type, title), and rejected paths.
 
-    A prompt shows the articles whose titles share words with the document's topics, at most per_prompt of them.
+    A prompt shows per_prompt of the articles whose titles share words with the document's topics, those that overlap them most
+    first; more articles take more prompts. A document merges into what any prompt chose. What a document with several prompts
+    creates is said by one more, which shows all that was chosen, since an article for it may have stood in any of them.
     """
     items = found.select(F.col("rel_path").alias("id"), F.filter(F.flatten(F.transform("topics", text.title_words)), lambda w: w != "").alias("tokens"))
     titles = existing.select(F.col("path").alias("id"), text.title_words(F.col("title")).alias("tokens"))
-    shared = items.select("id", F.explode(F.array_distinct("tokens")).alias("w")).join(titles.select(F.col("id").alias("path"), F.explode("tokens").alias("w")), "w")
-    menus = shared.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("path")), 1, per_prompt).alias("catalog"))
-    rows = found.join(menus.withColumnRenamed("id", "rel_path"), "rel_path", "left").select("rel_path", "topics", F.coalesce("catalog", F.array().cast("array<string>")).alias("catalog"))
-    answers = _kept(call(rows, endpoint, "classify", ["rel_path"], "rel_path string"))
-    c = answers.select("rel_path", F.from_json("answer", _CLASSES).alias("c"))
+    words = items.select("id", F.array_distinct("tokens").alias("tokens"))
+    shared = words.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w")).join(titles.select(F.col("id").alias("path"), F.size("tokens").alias("m"), F.explode("tokens").alias("w")), "w")
+    scored = shared.groupBy("id", "path").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("overlap"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "path"))
+    ranked = scored.select(F.col("id").alias("rel_path"), "path", rank.alias("rank")).withColumn("part", F.floor((F.col("rank") - 1) / per_prompt))
+    menus = ranked.groupBy("rel_path", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("catalog"))
+    none = F.array().cast("array<string>")
+    rows = found.select("rel_path", "topics").join(menus, "rel_path", "left").select("rel_path", F.coalesce("part", F.lit(0)).alias("part"), "topics", F.coalesce("catalog", none).alias("catalog"))
+    asked = _kept(call(rows, endpoint, "classify", ["rel_path", "part"], "rel_path string, part long"))
+    parsed = asked.select("rel_path", "part", F.from_json("answer", _CLASSES).alias("c"))
+    several = parsed.where("part > 0").select("rel_path").distinct()
+    chosen = parsed.join(several, "rel_path", "left_semi").groupBy("rel_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("c.merge_into", none))))).alias("catalog"))
+    last = _kept(call(found.select("rel_path", "topics").join(chosen, "rel_path").select("rel_path", "topics", "catalog"), endpoint, "classify", ["rel_path"], "rel_path string"))
+    said = F.from_json("answer", _CLASSES)
+    merged = chosen.select("rel_path", F.col("catalog").alias("into")).join(last.select("rel_path", said.alias("c")), "rel_path")
+    single = parsed.join(several, "rel_path", "left_anti").select("rel_path", "c")
+    c = single.unionByName(merged.select("rel_path", F.struct(F.array_union("into", F.coalesce("c.merge_into", none)).alias("merge_into"), F.col("c.create_new").alias("create_new")).alias("c")))
     merges = c.select("rel_path", F.explode("c.merge_into").alias("path")).select("rel_path", F.lit("merge").alias("action"), "path", paths.type_of(F.col("path")).alias("type"), paths.title_of(F.col("path")).alias("title"))
     creates = c.select("rel_path", F.explode("c.create_new").alias("n")).select("rel_path", F.lit("create").alias("action"), "n.path", "n.type", "n.title")
     ops = merges.unionByName(creates)

@@ -147,3 +147,18 @@ def test_knowledge_base(spark, sf_dir):
     again = knowledge.extract(kb.raw, OfflineEndpoint(), kb.extractions)
     assert again.count() == 40
     assert knowledge.prune(kb, kb.catalog.limit(1)).count() == len(entries) - 1
+
+
+def test_classify_shows_every_candidate(spark):
+    # the right article comes last by path among those that share a word, and its overlap is not the greatest
+    topics = spark.createDataFrame([("raw/a.md", ["zeta", "common", "word"]), ("raw/b.md", ["fresh", "common"]), ("raw/c.md", ["alone"])], "rel_path string, topics array<string>")
+    rows = [(f"wiki/concept/a{i:02}.md", "Common word") for i in range(12)] + [("wiki/concept/zeta.md", "Zeta one two three")]
+    existing = spark.createDataFrame(rows, "path string, title string")
+    for per_prompt in (3, 500):
+        ops, rejects = knowledge.classify(topics, existing, OfflineEndpoint(), per_prompt)
+        assert {(r.rel_path, r.action, r.path) for r in ops.collect()} == {
+            ("raw/a.md", "merge", "wiki/concept/zeta.md"),
+            ("raw/b.md", "create", "wiki/concept/fresh.md"),
+            ("raw/c.md", "create", "wiki/concept/alone.md"),
+        }
+        assert rejects.count() == 0
