@@ -19,9 +19,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,76 +34,94 @@ CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only can be encoded word by word: no combining marks, no unusual white space or controls, and lower-casing keeps the length.
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
-_ENDINGS = ".,;:!?#%$&*|"
-_ENCODERS: dict[str, Encoder] = {}
+#: Special tokens are looked for in a text as it stands, before anything is lower-cased; all begin like this.
+_SPECIAL = "<|"
+#: Fixed value: what the tokenizer encodes on its own, and how it marks the last token of each.
+_UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_LAST = "</w>"
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and which of its ids end a unit."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    ends = np.zeros(out.get_vocab_size(), bool)
+    ends[[i for token, i in out.get_vocab().items() if token.endswith(_LAST)]] = True
+    return out, ends
 
 
 class Encoder:
     """Token ids of texts as bytes (unsigned 32-bit, little-endian). Remembers the ids of up to max_words words.
 
-    The tokenizer drops white space and never joins what white space parts, so plain texts are looked up word by word; only
-    new words are encoded. Other texts are encoded as they are.
+    The tokenizer cuts a text into units (runs of letters, single digits, runs of signs) and encodes each on its own. Plain texts
+    are cut into words by Arrow, each different word of a portion is looked up or put together of its units once, and the ids of all
+    its occurrences are gathered in numpy. Other texts, and those that may hold a special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, max_words: int = 400_000) -> None:
+        self.tokenizer, self.ends = _tokenizer(path)
         self.max_words = max_words
-
-    def _direct(self, words: list[str], block: int = 500) -> None:
-        """Encodes words a block at a time; tokens belong to the word in which they start."""
-        for at in range(0, len(words), block):
-            part = words[at : at + block]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(found.ids, "<u4").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = (np.searchsorted([a for a, _ in found.offsets], begins, "left") * 4).tolist()
-            self.known.update((w, raw[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
-
-    def learn(self, missing: set[str]) -> None:
-        """Punctuation after a letter or digit starts a token of its own, so a word is learned once for all its endings."""
-        known, parts, alone = self.known, {}, set()
-        for word in missing:
-            core = word.rstrip(_ENDINGS)
-            if len(core) < len(word) and core and core[-1].isalnum():
-                parts[word] = (core, word[len(core) :])
-            else:
-                alone.add(word)
-        alone.update(x for pair in parts.values() for x in pair)
-        self._direct([w for w in alone if w not in known])
-        known.update((word, known[a] + known[b]) for word, (a, b) in parts.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str], block: int = 500) -> None:
+        apart = [_UNIT.findall(w) for w in words]
+        units = self.units
+        new = list({u for us in apart for u in us if u not in units})
+        blocks = [new[i : i + block] for i in range(0, len(new), block)]
+        for part, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(p) for p in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            raw = ids.tobytes()
+            units.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        self.known.update((w, units[us[0]] if len(us) == 1 else b"".join([units[u] for u in us])) for w, us in zip(words, apart, strict=True))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > self.max_words:
-            self.known.clear()
-        get = self.known.get
-        split = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
-        found = [words and [get(w) for w in words] for words in split]
-        missing: set[str] = set()
-        for words, parts in zip(split, found, strict=True):
-            if parts and None in parts:
-                missing.update([w for w, p in zip(words, parts, strict=True) if p is None])
+            self._forget()
+        known = self.known
+        missing = [w for w in words if w not in known]
         if missing:
-            self.learn(missing)
-        out = []
-        for text, words, parts in zip(texts, split, found, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([get(w) for w in words] if None in parts else parts))
-        return out
+            self._learn(missing)
+        parts = [known[w] for w in words]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        times = n[code]
+        upto = np.cumsum(times)
+        at = np.repeat((np.cumsum(n) - n)[code] - (upto - times), times) + np.arange(int(times.sum()))
+        raw = ids[at].tobytes()
+        ends = (4 * np.concatenate([[0], upto])[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _whole(self, text: str, most: int = 200_000) -> bytes:
+        """Any text, in stretches so that one call's tokens stay few: cut at white space before plain characters, where nothing is joined."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + most)
+            end = cut.start() if cut else len(text)
+            out.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, "<u4").tobytes())
+            at = end
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if _SPECIAL not in t and _PLAIN.fullmatch(t)]
+        found = dict(zip(plain, self._plain([texts[i] for i in plain]), strict=True)) if plain else {}
+        return [found[i] if i in found else self._whole(t) for i, t in enumerate(texts)]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+_CUT = re.compile(r"[ \n][a-zA-Z0-9]")
 
 
-def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -115,24 +136,23 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     """One row a piece: doc_id, piece, start, length, ids_crc32, and on request the ids themselves as bytes."""
     end = np.array([end_id], "<u4").tobytes()
     schema = PIECES.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}") + (", ids binary" if with_ids else "")
-    id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
+    fields = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = Encoder(vocabulary)  # what it remembers goes with the task
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in _portions(texts):
-                rows = []
-                for name, raw in zip(names[a:b], own.encode(texts[a:b]), strict=True):
+                owner, rows = [], []
+                for i, raw in enumerate(own.encode(texts[a:b]), a):
                     raw += end
                     for j in range(0, len(raw), 4 * capacity):
                         part = raw[j : j + 4 * capacity]
-                        rows.append((name, j // (4 * capacity), j // 4, len(part) // 4, zlib.crc32(part), part))
-                cols = list(zip(*rows, strict=True))
-                types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                n = 5 + with_ids
-                fields = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], fields)
+                        owner.append(i)
+                        rows.append((j // (4 * capacity), j // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], fields)
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 

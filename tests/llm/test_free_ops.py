@@ -13,7 +13,7 @@ import xxhash
 from quillmill.llm import line_quality, media, packing, pii, queries, simhash, toxicity
 from quillmill.llm.components import connected_components
 
-ODD = [None, "", " \n\t ", "one", "İstanbul  x\x1cy", "<|endoftext|> don't", "ß" * 9, "word " * 6000, "#" * 20000, "same text", "same text", "a\x85b ½ ²"]
+ODD = [None, "", " \n\t ", "one", "İstanbul  x\x1cy", "<|endoftext|> don't", "a<|startoftext|>b <|ENDOFTEXT|>.", "ß" * 9, "word " * 6000, "#" * 20000, "same text", "same text", "a\x85b ½ ²"]
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,6 @@ def test_packing_against_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
     want = Counter()
     for d, text in rows_of(docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
