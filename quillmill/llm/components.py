@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the least of u and its neighbours. The least is aggregated before the join, one row a node."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(least, "u")
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the least of u and its neighbours; and the table (u, m). As a table it leaves Spark free to split the join at a node with very many edges."""
+    least = materialise(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    return edges.join(least, "u"), least
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,17 +24,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e)
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both, least = _with_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct())
+        discard(e, least)
         # small star: everything not larger than u, and u itself, goes to the least of them
-        least = _with_least(large)
-        small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        small = materialise(small.where("u <> v").distinct())
+        joined, least = _with_least(large)
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        e = materialise(small.where("u <> v").distinct())
+        discard(large, least)
         # done when every node has one parent, and no parent has one
-        stars = small.groupBy("u").count()
-        tall = small.select("v").distinct().join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        e = small
+        stars = e.groupBy("u").count()
+        tall = e.select("v").distinct().join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         if stars.where("count > 1").isEmpty() and tall.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
     raise RuntimeError("components did not settle")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import connected_components
 
 RADIUS = 2
@@ -102,8 +102,9 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, s
     if radius != 2:
         raise ValueError("meeting points are made for a radius of 2")
     rows = materialise(chains(distinct, segments, radius))
-    sizes = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialise(rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # tables: Spark can split a join with them
     counted = materialise(rows.join(sizes, ["start", "key"]))
+    discard(rows, sizes)
     few = counted.where(F.col("n") <= small).select("start", "key", "fp")
     a, b = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
     near = (F.col("v") < F.col("u")) & _within(F.col("start"), F.col("u").bitwiseXOR(F.col("v")), segments, radius)
@@ -111,15 +112,19 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, s
     many = counted.where(F.col("n") > small).select("fp").distinct()
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
     met = materialise(many.select("fp", F.explode(around).alias("at")))
-    least = met.groupBy("at").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "v")
+    least = materialise(met.groupBy("at").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "v"))
     meeting = met.join(least, "at").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.union(meeting).distinct()
+    out = materialise(pairs.union(meeting).distinct())
+    discard(counted, met, least)
+    return out
 
 
 def roots_of(prints: DataFrame, segments: int = SEGMENTS, small: int = 64) -> DataFrame:
     """(fp, root) for every distinct fingerprint of prints; root is the same for all that links join."""
     distinct = materialise(prints.select("fp").distinct())
-    roots = connected_components(links(distinct, segments, small=small))
+    edges = links(distinct, segments, small=small)
+    roots = connected_components(edges)
+    discard(edges)
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -127,20 +132,31 @@ def classes(prints: DataFrame, segments: int = SEGMENTS, small: int = 64) -> Dat
     """prints: doc_id and fp, materialised. Adds component_id, the least doc_id that links reach."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = materialise(first.join(roots_of(prints, segments, small), "fp"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = materialise(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_fp = joined.join(least, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, as it was: that of the least doc_id, null last; of rows alike in id and text, one."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    prints = materialise(fingerprints(keyed, ("doc_id", "_text_hash")))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("h"))
-    first = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")).join(roots_of(prints), "fp"))
-    stay = first.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_hash"] == stay["_h"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """One document of each component, as it was: that of the least doc_id, null last; of rows alike in id and text, one. Texts are shuffled once."""
+    mark, n = _unused(docs, "_text_hash"), _unused(docs, "_alike")
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    prints = materialise(fingerprints(keyed, ("doc_id", mark)))
+    alike = prints.groupBy("fp", "doc_id", mark).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(mark).alias("h"), "n")
+    first = materialise(alike.groupBy("fp").agg(F.min(order).alias("first")).join(roots_of(prints), "fp"))
+    stay = materialise(first.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"), F.col("f.n").alias(n)))
+    discard(prints, first)
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed[mark] == stay["_h"])).select(*(keyed[f"`{c}`"] for c in keyed.columns), n)
+    many = F.col(n) > 1
+    out = found if stay.where(many).isEmpty() else found.where(~many).union(found.where(many).dropDuplicates(["doc_id", mark]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
