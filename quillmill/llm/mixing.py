@@ -4,9 +4,11 @@ Each document gets the exponential key -ln(u) / w, u from a hash of its id and w
 Sources get targets by weight, each at most ``max_epochs`` times what it holds. A source whose target is e whole epochs and a
 rest gives each document e times; the rest is filled with the documents of smallest keys, prefix-summed to the budget.
 
-No source is ever sorted as a whole, so a source that holds a third of all rows is no bottleneck: keys fall into buckets of
-about ``bucket_rows`` documents, bucket totals are prefix-summed, and only the one bucket in which a source's budget ends is
-put in order. What the driver handles is nothing; what is kept per source is one row.
+No source is ever sorted as a whole, so a source that holds a third of all rows is no bottleneck. The key at which a source's
+budget ends is searched by zooming in: the range of its keys is cut into ``CUTS`` equal parts, their sizes are aggregated and
+prefix-summed, and the part in which the budget ends is the next range, until it holds at most ``bucket_rows`` documents; only
+those are put in order. This holds whatever the keys' distribution, takes about one pass for every factor of ``CUTS``, and
+hands the driver one number a pass. What is kept per source is one row; windows over all sources run on such rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others. Rows that agree in key and
 id share one fate. Empty tables give empty results. Reruns agree, since keys depend on ids alone.
@@ -19,9 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_chars, materialise, words
+from .common import count_chars, discard, materialise, words
 
 CYCLE = (5.0, 2.0, 1.0)
+CUTS = 4096
 
 
 def quality_weight(text: Column) -> Column:
@@ -70,55 +73,75 @@ def targets(rows: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle:
     return per.withColumn("epochs", epochs).select("source", "source_size", "n_rows", "target", "epochs", (F.col("target") - epochs * F.col("source_size")).alias("rest"))
 
 
-def thresholds(rows: DataFrame, per: DataFrame, bucket_rows: int = 512) -> DataFrame:
-    """per with (last_key, last_id): documents up to it fill the rest of the source's budget; null where none do.
+def _of_sources(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows with the columns of their source in per, a table, so that Spark can split the join at a large source."""
+    return rows.join(per.withColumnRenamed("source", "_src"), rows["source"].eqNullSafe(F.col("_src"))).drop("_src")
+
+
+def last_range(rows: DataFrame, per: DataFrame, bucket_rows: int = 512, cuts: int = CUTS) -> DataFrame:
+    """Per source with a rest to fill: lo, hi, the keys between which its budget ends; base, the size of all documents before lo; and n, the documents from lo to hi."""
+    known = materialise(per.where("rest > 0").select("source", "rest"))
+    ends = materialise(_of_sources(rows, known).groupBy("source").agg(F.first("rest").alias("rest"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.lit(0.0).alias("base"), F.count(F.lit(1)).alias("n")))
+    discard(known)
+    before = Window.partitionBy("source").orderBy("part")
+    while not ends.where((F.col("n") > bucket_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+        inside = _of_sources(rows, ends.drop("n")).where("key BETWEEN lo AND hi")
+        part = F.least(F.floor((F.col("key") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * cuts), F.lit(cuts - 1))
+        sums = inside.withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).groupBy("source", "part").agg(
+            F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("rest").alias("rest"), F.first("base").alias("base")
+        )
+        sums = sums.withColumn("upto", F.col("base") + F.sum("size").over(before))
+        first = sums.where("upto >= rest").groupBy("source").agg(F.min_by(F.struct("rest", "lo", "hi", (F.col("upto") - F.col("size")).alias("base"), "n"), "part").alias("e"))
+        old, ends = ends, materialise(first.select("source", "e.*"))
+        discard(old)
+    return ends
+
+
+def thresholds(rows: DataFrame, per: DataFrame, bucket_rows: int = 512, cuts: int = CUTS) -> DataFrame:
+    """per with lo, last_key and last_id: documents of keys below lo, or up to (last_key, last_id), fill the rest of the source's budget; last_key is null where lo says all.
 
     A document at which the sum passes the budget is taken if that brings the sum nearer to it.
     """
-    n = F.ceil(F.col("n_rows") / bucket_rows)
-    spread = F.least(F.floor((1 - F.exp(-F.col("key"))) * n), n - 1).cast("long")  # grows with the key
-    same = rows["source"].eqNullSafe(per["source"])
-    joined = rows.join(per, same).drop(rows["source"]).withColumn("bucket", spread)
-    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("rest"))
-    running = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket"))
-    sums = sums.withColumn("upto", running)
-    ends = sums.where((F.col("upto") >= F.col("rest")) & (F.col("rest") > 0)).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("base"))).alias("e"))
-    ends = ends.select(F.col("source").alias("_source"), F.col("e.bucket").alias("_bucket"), F.col("e.base").alias("base"))
-    last = joined.join(ends, joined["source"].eqNullSafe(ends["_source"]) & (joined["bucket"] == ends["_bucket"]))
+    ends = last_range(rows, per, bucket_rows, cuts)
+    last = _of_sources(rows, ends).where("key BETWEEN lo AND hi")
     tied = last.groupBy("source", "key", "doc_id", "rest", "base").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id")) + F.col("base")
     # a prefix is kept while its last document lies with its middle below the budget
     fits = tied.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
     best = fits.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    best = best.select(F.col("source").alias("_source"), F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"))
-    # no document of the bucket fits: all buckets before it do
-    floor = ends.select(F.col("_source").alias("_s2"), F.col("_bucket").alias("last_bucket"))
-    out = per.join(best, per["source"].eqNullSafe(best["_source"]), "left").drop("_source")
-    return out.join(floor, out["source"].eqNullSafe(floor["_s2"]), "left").drop("_s2").withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows))
+    best = best.select("source", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"))
+    return _beside(_beside(per, ends.select("source", "lo")), best)
+
+
+def _beside(per: DataFrame, more: DataFrame) -> DataFrame:
+    return per.join(more.withColumnRenamed("source", "_src"), per["source"].eqNullSafe(F.col("_src")), "left").drop("_src")
 
 
 def copies(rows: DataFrame, per: DataFrame) -> DataFrame:
     """rows with what thresholds() gives of their source, and ``copies``: how often the mix takes each."""
-    same = rows["source"].eqNullSafe(per["source"])
-    df = rows.join(per.withColumnRenamed("source", "_src"), rows["source"].eqNullSafe(F.col("_src"))) if "_src" not in rows.columns else rows.join(per, same)
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1)
-    at_last = (bucket == F.col("last_bucket")) & F.col("last_key").isNotNull() & ((F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (F.coalesce(F.col("doc_id") <= F.col("last_id"), F.col("doc_id").isNull()))))
-    chosen = F.coalesce((F.col("rest") > 0) & ((bucket < F.col("last_bucket")) | at_last), F.lit(False))
-    return df.withColumn("copies", F.col("epochs") + chosen.cast("long")).drop("_src")
+    upto_last = (F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & F.coalesce(F.col("doc_id") <= F.col("last_id"), F.col("doc_id").isNull()))
+    chosen = F.coalesce((F.col("rest") > 0) & ((F.col("key") < F.col("lo")) | upto_last), F.lit(False))
+    return _of_sources(rows, per).withColumn("copies", F.col("epochs") + chosen.cast("long"))
+
+
+def decided(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the mix is decided on, and the decisions, one row a source."""
+    rows = materialise(slim(docs))
+    per = materialise(targets(rows))
+    out = materialise(thresholds(rows, per))
+    discard(per)
+    return rows, out
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of each document."""
-    rows = materialise(slim(docs))
-    per = materialise(thresholds(rows, targets(rows)))
-    return copies(rows, per).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return copies(*decided(docs)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept. Decisions are joined by source, not by document."""
-    rows = materialise(slim(docs))
-    per = materialise(thresholds(rows, targets(rows)))
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
-    keyed = keyed.withColumn("_w", quality_weight(F.col("text"))).select("_doc", "doc_id", "source", sampling_key(F.col("doc_id"), F.col("_w")).alias("key"))
+    rows, per = decided(docs)
+    discard(rows)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "source", sampling_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
     taken = copies(keyed, per).where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return taken.select("_doc.*")

@@ -128,3 +128,23 @@ def test_sampling_prefers_weight(spark):
     per = mixing.thresholds(rows, mixing.targets(rows, share=0.2))
     got = mixing.copies(rows, per).where("copies = 1").selectExpr("count(*) n", "count_if(doc_id % 2 = 0) even").first()
     assert got.n == 4000 and 0.73 < got.even / got.n < 0.83  # four times the weight: 4/5 at first, less as they run out
+
+
+def test_zooming_in_ends_at_few_rows_whatever_the_keys(spark):
+    # weights as small as those of texts full of symbols, and keys that pile up at one place
+    df = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', NULL) AS source", "1 + id % 5 AS size", "IF(id % 7 = 0, 1e-9, IF(id % 2 = 0, 0.09D, 1.0D)) AS w")
+    rows = df.select("doc_id", "source", "size", mixing.sampling_key(df.doc_id, df.w).alias("key")).persist()
+    per = mixing.targets(rows, share=0.9)
+    ends = mixing.last_range(rows, per, bucket_rows=100, cuts=16).collect()
+    assert len(ends) == 2 and all(0 < r.n <= 100 and r.base <= r.rest for r in ends)
+    got = mixing.copies(rows, mixing.thresholds(rows, per, bucket_rows=100, cuts=16)).collect()
+    for source in ("a", None):
+        mine = sorted((r.key, r.doc_id, r["size"], r.copies - r.epochs, r.rest) for r in got if r.source == source)
+        upto, want = 0, []
+        for _, _, size, _, rest in mine:
+            upto += size
+            want.append(int(upto - size / 2 <= rest))
+        assert [c for *_, c, _ in mine] == want
+    rows.unpersist()
+    one = spark.createDataFrame([(i, "s", 3, 0.5) for i in range(50)], "doc_id long, source string, size long, key double")
+    assert mixing.copies(one, mixing.thresholds(one, mixing.targets(one, share=0.5), bucket_rows=4)).where("copies = 1").count() == 25
