@@ -2,7 +2,7 @@
 
 The patterns are matched in linear time and always stand. The CRF finds what has no fixed form (access secrets, identity
 numbers, names after a title); it is trained by gradient on a small labelled table made here, and decodes whole texts by
-Viterbi in numpy batches. Word shapes and hashed identities are computed for all words of a batch at once from code points.
+Viterbi in numpy batches. Word shapes and hashed identities are computed for all words of a batch at once from code points, and take in whole words.
 
 Most words are certain: if no pair of neighbouring labels could make another label better than "outside", the best path goes
 through "outside" there. Such words cut the text into short islands, and Viterbi runs over islands only, padded by length;
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import salts
+
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("outside", "id", "name", "secret")
 
@@ -91,8 +94,6 @@ for _c in range(0x250):
     _ch = chr(_c)
     _KINDS[_c] = 2 if _ch.isupper() else 1 if _ch.isalpha() else 3 if _ch.isdigit() else 4 if _ch in "\"'`" else 5 if _ch in ".," else 6 if _ch in ":=" else 7 if _ch in "-_/" else 8
     _FOLD[_c] = ord(_ch.lower()) if len(_ch.lower()) == 1 else _c
-_DEPTH = 12
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
 class Words:
@@ -115,17 +116,15 @@ class Words:
         kind = np.where(ch < 0x250, _KINDS[low], np.uint64(1))
         heads = np.concatenate([[0], np.cumsum(length)[:-1]])
         offset = np.arange(len(inside)) - np.repeat(heads, length)
-        # shape: kinds with runs collapsed, the first _DEPTH of them
+        # shape: kinds with runs collapsed
         new = np.concatenate([[True], kind[1:] != kind[:-1]])
         new[heads] = True
         order = np.cumsum(new)
         order = order - np.repeat(order[heads], length)
-        kept = new & (order < _DEPTH)
-        shape = np.add.reduceat(np.where(kept, kind * _POWERS[np.minimum(order, _DEPTH)], np.uint64(0)), heads)
-        # identity: folded letters and digits up to a length of 16; hashes wrap around
+        shape = np.add.reduceat(np.where(new, kind * salts(order), np.uint64(0)), heads)
+        # identity: folded letters and digits; hashes wrap around
         folded = np.where(ch < 0x250, _FOLD[low], ch.astype(np.uint64))
-        solid = (kind <= 3) & (offset < 16)
-        word = np.add.reduceat(np.where(solid, folded * _POWERS[np.minimum(offset, 16) + 16], np.uint64(0)), heads)
+        word = np.add.reduceat(np.where(kind <= 3, folded * salts(offset), np.uint64(0)), heads)
         digits = np.add.reduceat((kind == 3).astype(np.int64), heads)
         sizes = np.minimum(np.log2(length).astype(np.uint64), 7) * np.uint64(8) + np.minimum(8 * digits // (length + 1), 7).astype(np.uint64)
         # a word is first if a newline stands between it and the word before
@@ -355,20 +354,21 @@ def _joined(spans: list[Span]) -> str:
 
 
 def spans(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """doc_id, the number of base spans of each kind, the digest of the base spans, and all spans."""
+    """doc_id, the number of base spans of each kind, the digest of the base spans, all spans, and how many the method found of each kind and of all in all."""
     crf = crf or default_crf()
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in LABELS[1:]), "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for found in find(batch.column(1).to_pylist(), crf):
                 base = [s for s in found if s[0] in BASE]
-                rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names)
+                count = Counter(s[0] for s in found)
+                rows.append((*(count[k] for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), *(count[k] for k in LABELS[1:]), len(found)))
+            cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names[1:], cols, strict=True))], names)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in names[1:])
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
