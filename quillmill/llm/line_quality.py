@@ -4,9 +4,10 @@ Every line is labelled good or bad, by features of its own and of the lines befo
 weighted by the lines' lengths, give the document's raw quality, which a logistic curve fitted on the same training rows turns
 into a probability. Lines have no labels of their own: in training they bear their document's.
 
-Training reads a bounded sample: at most ``max_labelled`` labelled documents (by hashed id) outside the held-out fold, and of
-each at most ``max_lines`` consecutive lines. Scoring is one narrow pass over whole texts; line statistics of a batch are
-computed at once in numpy from UTF-8 bytes, and documents go through forward-backward side by side.
+Training reads a bounded sample of labelled documents outside the held-out fold: by hashed id the first ``max_labelled``, as far
+as they have ``max_lines`` lines together. Their texts are whole: line features are made in the tasks, as in scoring, and only
+these reach the driver. Scoring is one narrow pass over whole texts; line statistics of a batch are computed at once in numpy
+from UTF-8 bytes, and documents go through forward-backward side by side.
 
 Defined results: a null text counts as empty and has one empty line. Repeated rows score alike. Without labelled rows of both
 classes every score is the share of good labels (0.5 with no label at all). A null doc_id is not held out. Extra columns are
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salts
+
 # classes of bytes
 _UPPER, _LOWER, _DIGIT, _SPACE, _SYMBOL, _PIPE, _EXCLAIM, _STOP, _OTHER = range(9)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -40,7 +43,8 @@ class Lines:
     first: np.ndarray  # for each document its first line, and the end
 
 
-def line_features(texts: list[str]) -> Lines:
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, OWN) features, the bytes of each line, and for each document its first line, and the end."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
@@ -63,8 +67,7 @@ def line_features(texts: list[str]) -> Lines:
         w_len = w_end - w_start
         inside = np.flatnonzero(~gap)
         offset = np.arange(len(inside)) - np.repeat(np.cumsum(w_len) - w_len, w_len)
-        salt = (np.uint64(0x9E3779B97F4A7C15) * (np.minimum(offset, 63).astype(np.uint64) * np.uint64(2) + np.uint64(1))) >> np.uint64(3)
-        h = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * salt, np.cumsum(w_len) - w_len)
+        h = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * salts(offset), np.cumsum(w_len) - w_len)
         of_doc = owner[line_of]
         before = np.where(np.concatenate([[True], of_doc[1:] != of_doc[:-1]]), np.uint64(0), np.concatenate([h[:1], h[:-1]]))
         pair = h * np.uint64(0xD6E8FEB86659FD93) + before
@@ -93,6 +96,12 @@ def line_features(texts: list[str]) -> Lines:
         distinct_words / wordy, (times[inverse] > 1) & (words > 0), pairs_doc[owner],
     ], axis=1).astype(np.float64)
     own[:, 0] *= lines_in[owner] > 0
+    return own, length, first
+
+
+def beside(own: np.ndarray, length: np.ndarray, first: np.ndarray) -> Lines:
+    """Lines with what their neighbours are like."""
+    n = len(own)
     own = np.concatenate([own, own * own], axis=1)
     is_first = np.zeros(n, bool)
     is_first[first[:-1]] = True
@@ -101,6 +110,10 @@ def line_features(texts: list[str]) -> Lines:
     return Lines(np.concatenate([own, before, after, np.ones((n, 1))], axis=1), length + 1.0, first)
 
 
+def line_features(texts: list[str]) -> Lines:
+    return beside(*own_features(texts))
+
+
 def _softplus_ratio(r: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Log odds of the next label from log odds r of this one, through transitions t[from, to]."""
     return np.logaddexp(t[1, 1] + r, t[0, 1]) - np.logaddexp(t[1, 0] + r, t[0, 0])
@@ -143,7 +156,9 @@ class Model:
     level: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        lines = line_features(texts)
+        return self.of_lines(line_features(texts))
+
+    def of_lines(self, lines: Lines) -> np.ndarray:
         p = marginals(lines.features @ self.weights, lines, self.trans)[0]
         mean = np.add.reduceat(p * lines.weight, lines.first[:-1]) / np.add.reduceat(lines.weight, lines.first[:-1])
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(mean) + self.level, -35, 35)))
@@ -154,8 +169,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(texts: list[str], good: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> Model:
-    lines = line_features(texts)
+def fit(lines: Lines, good: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> Model:
     count = np.diff(lines.first)
     y = np.repeat(good.astype(np.float64), count)
     share = np.clip(good.mean(), 0.02, 0.98)
@@ -173,7 +187,7 @@ def fit(texts: list[str], good: np.ndarray, steps: int = 120, ridge: float = 1e-
         w, t = p[:N_FEATURES], p[N_FEATURES:].reshape(2, 2)
         e = lines.features @ w
         q, f, b = marginals(e, lines, t)
-        g_w = lines.features.T @ ((q - y) * per) / len(texts)
+        g_w = lines.features.T @ ((q - y) * per) / len(good)
         # pairs of neighbouring lines
         left, right = (f + e)[here - 1], (e + b)[here]
         score = np.stack([t[a, c] + a * left + c * right for a in (0, 1) for c in (0, 1)])
@@ -181,12 +195,12 @@ def fit(texts: list[str], good: np.ndarray, steps: int = 120, ridge: float = 1e-
         prob = np.exp(score)
         prob /= prob.sum(axis=0)
         true = np.stack([(y[here - 1] == a) & (y[here] == c) for a in (0, 1) for c in (0, 1)])
-        g_t = ((prob - true) * per[here]).sum(axis=1) / len(texts)
+        g_t = ((prob - true) * per[here]).sum(axis=1) / len(good)
         g = np.concatenate([g_w, g_t]) + ridge * p
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     model = Model(p[:N_FEATURES], p[N_FEATURES:].reshape(2, 2), 1.0, 0.0)
-    x = _logit(model.score(texts))
+    x = _logit(model.of_lines(lines))
     a, c = 1.0, 0.0  # the curve, by Newton steps with a little shrinkage
     for _ in range(30):
         s = 1 / (1 + np.exp(-np.clip(a * x + c, -35, 35)))
@@ -201,18 +215,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2500, max_lines: int = 48, max_line: int = 20_000) -> Model | float:
-    """A model, or the share of good labels if there is but one class. The sample's lines are cut to size before they are gathered."""
+def _portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end]) <= chars):
+            total += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2500, max_lines: int = 200_000, batch_chars: int = 600_000) -> Model | float:
+    """A model, or the share of good labels if there is but one class."""
     few = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(lines) - max_lines, F.lit(0)) + 1).cast("int") + 1
-    cut = F.array_join(F.transform(F.slice(lines, at, max_lines), lambda x: F.substring(x, 1, max_line)), "\n")
-    rows = sorted((r.doc_id, r.quality, r.t) for r in docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", cut.alias("t")).toLocalIterator())
-    good = np.array([q > 0 for _, q, _ in rows], bool)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    sample = sample.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id"), (F.col("quality") > 0).alias("good"), (F.size(F.split("text", "\n", -1))).alias("n"), "text").where(F.col("n") <= max_lines).persist()
+    try:
+        sized = sample.select("h", "id", "n").orderBy("h", "id", "n").collect()  # max_labelled documents, but for repeated ids
+        upto = np.cumsum([r.n for r in sized])
+        last = int(np.searchsorted(upto, max_lines, "right"))
+        taken = sample if last == len(sized) else sample.where(F.struct("h", "id", "n") < F.struct(*(F.lit(x).cast(t) for x, t in zip(sized[last], ("long", "string", "int"), strict=True))))
+
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(4).to_pylist()
+                for a, b in _portions(texts, batch_chars):
+                    own, length, first = own_features(texts[a:b])
+                    lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(length.astype(np.int64)))
+                    flat = pa.ListArray.from_arrays(pa.array((first * OWN).astype(np.int32)), pa.array(own.ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], lists, flat], ["h", "id", "good", "bytes", "own"])
+
+        rows = sorted(taken.mapInArrow(features, "h long, id string, good boolean, bytes array<long>, own array<double>").toLocalIterator(), key=lambda r: (r.h, r.id, r.bytes))
+    finally:
+        sample.unpersist()
+    good = np.array([r.good for r in rows], bool)
     if not len(good) or good.all() or not good.any():
         return float(good.mean()) if len(good) else 0.5
-    return fit([t for _, _, t in rows], good)
+    own = np.concatenate([np.array(r.own).reshape(-1, OWN) for r in rows])
+    first = np.cumsum([0, *(len(r.bytes) for r in rows)])
+    return fit(beside(own, np.concatenate([np.array(r.bytes) for r in rows]), first), good)
 
 
 def score(docs: DataFrame, model: Model | float, batch_chars: int = 600_000) -> DataFrame:
@@ -222,14 +265,8 @@ def score(docs: DataFrame, model: Model | float, batch_chars: int = 600_000) ->
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = np.zeros(len(texts))
-            at = 0
-            while at < len(texts):
-                end, total = at, 0
-                while end < len(texts) and (end == at or total + len(texts[end]) <= batch_chars):
-                    total += len(texts[end])
-                    end += 1
+            for at, end in _portions(texts, batch_chars):
                 out[at:end] = model.score(texts[at:end]) if isinstance(model, Model) else model
-                at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
