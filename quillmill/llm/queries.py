@@ -45,7 +45,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.sniff(media.media_column(table(spark, sf_dir, "documents")), "blob", "declared"))
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
