@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,24 @@ def free_shuffles(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
+def returning(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """What a task does with its batches, after which the memory that Arrow holds for reuse goes back: Python workers live on between tasks."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def salts(places: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a word, mixed so that hashes made of sums of products depend on every letter and its place, however long the word."""
+    x = (np.arange(int(places.max()) + 1 if len(places) else 0, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) | np.uint64(1))[places]
+
+
 def values(spark: SparkSession, rows: list[tuple[str, float]], names: str) -> DataFrame:
     """A small table written out as SQL VALUES, so that no Python runs to make it. rows: a string and a number each."""
     listed = ", ".join(f"('{a.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', {float(b)!r}D)" for a, b in rows)

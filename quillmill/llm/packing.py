@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, returning
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,7 +60,7 @@ class Encoder:
     its occurrences are gathered in numpy. Other texts, and those that may hold a special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 250_000) -> None:
         self.tokenizer, self.ends = _tokenizer(path)
         self.max_words = max_words
         self._forget()
@@ -121,7 +121,7 @@ class Encoder:
 _CUT = re.compile(r"[ \n][a-zA-Z0-9]")
 
 
-def _portions(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -139,6 +139,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     fields = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(vocabulary)  # what it remembers goes with the task
         for batch in batches:

@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import returning
+
 GRADES = 4
 STEP = 100
 LONG = 30
@@ -134,7 +136,7 @@ class Counts:
         return *np.divmod(keys, max(1, len(self.vocabulary))), n, sizes, first_window
 
 
-def _portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each."""
     upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     at = 0
@@ -242,6 +244,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(model.vocabulary)
         for batch in (p for b in batches for p in _portions(b, at)):

@@ -199,7 +199,7 @@ def test_line_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in line_quality.line_quality(docs, labels).collect()} == {0.5}
     texts = [t or "" for _, t in rows_of(docs)]
-    model = line_quality.fit(texts, np.array(["#" not in t for t in texts]), steps=5)
+    model = line_quality.fit(line_quality.line_features(texts), np.array(["#" not in t for t in texts]), steps=5)
     one = np.concatenate([model.score([t]) for t in texts])
     assert np.allclose(one, model.score(texts), atol=1e-9)  # batches don't matter
     assert line_quality.line_quality(docs.limit(0), labels).count() == 0
@@ -209,7 +209,7 @@ def test_line_quality_odd_rows(spark, docs):
 
 
 def test_media_round_trip(docs):
-    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.digests(media.sniff(media.media_column(docs), "blob", "declared")).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.digests(docs).collect())
     want = Counter()
     for d, t in rows_of(docs):
         raw = (t or "").encode()
@@ -246,6 +246,52 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert got[8].kind == "application/gzip" and got[8].corrected and [(e.kind, e.start) for e in got[8].embedded] == [("audio/wav", len(gz))]
 
 
+def slow_wav(b, at):
+    """A plain walk of RIFF chunks."""
+    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+    if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12 or end > len(b):
+        return 0
+    p, seen = at + 12, set()
+    while p + 8 <= end:
+        kind, n = b[p : p + 4], int.from_bytes(b[p + 4 : p + 8], "little")
+        if p + 8 + n > end or (kind == b"fmt " and n < 16):
+            return 0
+        seen.add(kind)
+        p += 8 + n + n % 2
+    return end - at if {b"fmt ", b"data"} <= seen and p in (end, end + 1) else 0
+
+
+def test_wav_chains_against_a_plain_walk():
+    rng = random.Random(6)
+    chunk = lambda kind, n: kind + n.to_bytes(4, "little") + bytes(n + n % 2)
+    valid = 0
+    for _ in range(400):
+        b = b""
+        for _ in range(rng.randint(1, 5)):
+            body = b"WAVE" + b"".join(chunk(rng.choice([b"fmt ", b"data", b"data", b"LIST"]), rng.choice([0, 1, 3, 8, 16, 16, 17])) for _ in range(rng.randint(0, 6)))
+            b += b"RIFF" + (len(body) + rng.choice([0, 0, 0, -1, 1, 30])).to_bytes(4, "little") + body
+        memo = {}
+        for at in (i for i in range(len(b)) if b[i : i + 4] == b"RIFF"):
+            assert media._wav(b, at, memo) == slow_wav(b, at), (b, at)
+            valid += slow_wav(b, at) > 0
+    assert valid > 50
+
+
+def test_megabytes_of_hostile_magic_bytes_take_linear_time():
+    import struct
+    import time
+
+    tail = b"junk\0\0\0\0" * 120_000
+    n = 40_000
+    riff = b"".join(b"RIFF" + struct.pack("<I", (n - i) * 20 - 8 + len(tail) - 3) + b"WAVEfake" + struct.pack("<I", (n - 1 - i) * 20) for i in range(n)) + tail
+    blobs = [b"GIF89a0000\0\0\0!0" * 100_000 + b"\x01" * 500_000, riff, b"\xff\xd8\xff\xc0\x00\x02\xff\xda\x00\x02" * 200_000, b"\x89PNG\r\n\x1a\n" * 150_000, b"BM" * 1_000_000, b"P5 1 1 255" * 200_000, b"P5" + b" " * 2_000_000]
+    automaton = media._automaton()
+    for blob in blobs:
+        began = time.perf_counter()
+        assert media.carve(blob, automaton) == []
+        assert time.perf_counter() - began < 30, blob[:12]
+
+
 # ---- toxicity
 
 
