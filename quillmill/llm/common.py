@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import functools
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: What separates words in every contract: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +37,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the table stands for the shuffles behind it: Spark deletes their files when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -52,18 +56,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished jobs: Spark deletes them once their plans are collected as garbage.
-
-    The last job's plan is still held by the event that tells its end, so one more small job comes first.
-    """
-    gc.collect()
-    spark.range(1).count()
-    time.sleep(0.3)
-    spark._jvm.System.gc()
-    time.sleep(0.3)
-
-
 def returning(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """What a task does with its batches, after which the memory that Arrow holds for reuse goes back: Python workers live on between tasks."""
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, materialise
+from .common import discard, materialise
 
 WIDTH, GRAM = 50, 16
 _LAST = (1 << 63) - 1
@@ -329,20 +329,24 @@ def block_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select("rid", "text").join(per_row, "rid").select("text", "a").mapInArrow(run, "bucket long, h long, key long, least long, block binary")
 
 
+def buckets_of(blocks: DataFrame, per_bucket: int) -> int:
+    """All blocks are dealt, those without a like one too, so all are counted."""
+    return max(1, -(-blocks.count() // per_bucket))
+
+
 def verdicts(rows: DataFrame, blocks: DataFrame, width: int, per_bucket: int = 12_000, heavy: int = 6_000) -> DataFrame:
     """(h, key, mask): the windows, as bits, of distinct blocks (h, key, lo, hi, least, rid, start, n) that a smaller id has too; blocks without any are left out."""
-    sizes = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
-    buckets = max(1, -(-(total or 0) // per_bucket))
-    light, many = blocks, blocks.limit(0)
-    if (most or 0) > heavy:
-        common = materialise(sizes.where(F.col("n") > heavy).select("h"))
+    buckets = buckets_of(blocks, per_bucket)
+    common = materialise(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("h"))
+    light, many = blocks, None
+    if not common.isEmpty():
         light, many = blocks.join(common, "h", "left_anti"), blocks.join(common, "h", "left_semi")
     bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("long")
     schema = "bucket long, h long, key long, least long, rid long, start int, n int"
     chosen = light.select(bucket.alias("bucket"), "h", "key", "least", "lo", "hi", "rid", "start", "n").groupBy("bucket").applyInArrow(_candidates, schema)
-    chosen = chosen.union(many.select(F.lit(-1).cast("long"), "h", "key", "least", "rid", "start", "n"))
-    chosen = _step(chosen)
+    if many is not None:
+        chosen = chosen.union(many.select(F.lit(-1).cast("long"), "h", "key", "least", "rid", "start", "n"))
+    chosen = _step(chosen, *[common] * (many is None))
     texts = _step(block_texts(rows, chosen), chosen)
 
     def sort(table: pa.Table) -> pa.Table:
@@ -361,13 +365,15 @@ def verdicts(rows: DataFrame, blocks: DataFrame, width: int, per_bucket: int = 1
             masks += [found[i] for i in hit]
         return table.select(["h", "key"]).take(pa.array(hits, pa.int64())).append_column("mask", pa.array(masks, pa.int64()))
 
-    sorted_ = texts.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "h long, key long, mask long")
+    found = texts.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "h long, key long, mask long")
+    if many is None:
+        return _step(found, texts)
     offsets = F.sequence(F.lit(0), F.length("block") - width)
     windows = texts.where("bucket < 0").select("h", "key", "least", F.posexplode(F.transform(offsets, lambda i: F.substring(F.col("block"), i + 1, F.lit(width)))).alias("i", "w"))
     windows = windows.select("h", "key", "least", "i", F.unhex(F.md5("w")).alias("w"))
-    first = windows.groupBy("w").agg(F.min("least").alias("first"))
+    first = _step(windows.groupBy("w").agg(F.min("least").alias("first")), common)  # a table: Spark can split the join at a window that stands everywhere
     marked = windows.join(first, "w").where("first < least").groupBy("h", "key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    return _step(sorted_.union(marked), texts)
+    return _step(found.union(marked), texts, first)
 
 
 def runs_of(owner: np.ndarray, start: np.ndarray, length: np.ndarray, mask: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,11 +396,9 @@ def runs_of(owner: np.ndarray, start: np.ndarray, length: np.ndarray, mask: np.n
 
 
 def _step(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Writes df, then lets go of the shuffle files behind it and of the tables that were made for it alone."""
+    """Writes df, then deletes the tables that were made for it alone."""
     out = materialise(df)
-    for table in done:
-        discard(table)
-    free_shuffles(df.sparkSession)
+    discard(*done)
     return out
 
 

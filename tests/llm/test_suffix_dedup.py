@@ -105,3 +105,14 @@ def test_empty_table_and_kept_bytes(spark):
     df = spark.createDataFrame([(1, "q" * 80), (2, "a" + "q" * 80 + "b")], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, with_text=True).collect()} == {1: b"q" * 80, 2: b"ab"}
+
+
+def test_exact_copies_are_dealt_over_many_buckets(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=400)) for _ in range(40)]
+    rows = [(d, t) for d, t in enumerate(texts + texts)]
+    seen, old = [], suffix_dedup.buckets_of
+    monkeypatch.setattr(suffix_dedup, "buckets_of", lambda blocks, per_bucket: (seen.append((blocks.count(), old(blocks, 50))), seen[-1][1])[1])
+    assert run(spark, rows) == brute(rows)
+    (blocks, buckets), = seen
+    assert blocks > 500 and buckets >= blocks / 50  # none of these blocks has a like one
