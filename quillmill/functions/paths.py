@@ -60,3 +60,22 @@ def flattened(rel: Column) -> Column:
     """Directories joined by __, .md appended unless there."""
     flat = F.replace(rel, F.lit("/"), F.lit("__"))
     return F.when(flat.endswith(".md"), flat).otherwise(F.concat(flat, F.lit(".md")))
+
+
+def is_raw(path: Column) -> Column:
+    """Strictly under raw/ once normalised."""
+    return F.coalesce(normalised(path).startswith("raw/"), F.lit(False))
+
+
+#: Suffixes of files that are no text before they are converted.
+RICH = ".pdf .docx .pptx .xlsx .html .htm .epub .rtf".split()
+
+
+def needs_conversion(path: Column) -> Column:
+    """S7, P13."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*RICH)
+
+
+def source_tokens(path: Column) -> Column:
+    """what a source may be called by: its path, and the last part of its name between double underscores."""
+    return F.array_distinct(F.array(path, F.element_at(F.split(stem(path), "__"), -1)))

@@ -174,3 +174,55 @@ def string_list(answer: Column, most: int = 3) -> Column:
     items = F.try_variant_get(F.try_parse_json(answer), "$", "array<variant>")
     strings = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
     return F.slice(F.coalesce(strings, F.array().cast("array<string>")), 1, most)
+
+
+STUB_MARK = "<!-- person-stub -->"
+
+
+def is_stub(page: Column, mark: str = STUB_MARK) -> Column:
+    """A page with a header whose body starts with the mark."""
+    head, body = split_frontmatter(page)
+    return (head != "") & F.regexp_replace(body, r"^\s+", "").startswith(mark)
+
+
+def existing_created(page: Column) -> Column:
+    """when a page that is there was first made; null without a header that says so."""
+    return header_field(split_frontmatter(page)[0], "created")
+
+
+def is_transcript(header: Column) -> Column:
+    """P13."""
+    return F.coalesce((header_field(header, "source") == "meetings") & (header_field(header, "artifact_kind") == "vc_note_transcript"), F.lit(False))
+
+
+def as_text(value: Column) -> Column:
+    """F4."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def sorted_topics(values: Column) -> Column:
+    """Topics of mixed types, as text, each once, in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(values, lambda v: ~F.is_variant_null(v)), lambda v: v.cast("string"))))
+
+
+def user_message(question: Column, context: Column) -> Column:
+    """F32: the question after its reference material; alone without any."""
+    framed = F.concat(F.lit("<reference_material>\n"), context, F.lit("\n</reference_material>\n\n"), question)
+    return F.when(F.coalesce(context, F.lit("")) == "", question).otherwise(framed)
+
+
+def extraction_size(source: Column, fields: dict[str, Column]) -> Column:
+    """characters of an extraction's rendering, uncut: a line for the source and one for each field that is not empty. Lists count as JSON."""
+    total = F.length(source) + len("- Source: \n")
+    for name, value in fields.items():
+        line = F.length(value) + len(f"- {name.replace('_', ' ').title()}: \n")
+        total = total + F.when(value.isNull() | value.isin("", "[]"), 0).otherwise(line)
+    return total
+
+
+def head_of(content: Column, size: int = 1 << 20) -> Column:
+    """The first bytes of a text, no character cut."""
+    whole = F.octet_length(content) <= size
+    cut = F.substring(content.cast("binary"), 1, size)
+    back = F.coalesce(*(F.when(F.is_valid_utf8(F.substring(cut, F.lit(1), F.length(cut) - k)), F.substring(cut, F.lit(1), F.length(cut) - k)) for k in range(4)))
+    return F.when(whole, content).otherwise(back.cast("string"))

@@ -6,7 +6,7 @@ document's lines or one group's catalog lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 16_000
@@ -128,12 +128,35 @@ def pack_batches(lines: DataFrame, budget: int, group: str, order: list[str]) ->
 
 
 def halving_fit(sizes: Column, budget: Column | int) -> Column:
-    """The largest of n, n/2, n/4 ... leading items whose joined length stays within budget; 0 if not even one does."""
+    """The largest of n, n/2, n/4 ... leading items whose joined length stays within budget; 0 if not even one does.
+
+    How many fit is counted once, over at most budget + 1 items, since each takes a character at least with what joins it.
+    """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    n = F.size(sizes)
-    tries = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.floor(n / F.pow(F.lit(2), k)).cast("int"))
-    fits = F.filter(tries, lambda m: (m > 0) & (F.aggregate(F.slice(sizes, F.lit(1), m), F.lit(0), lambda a, x: a + x + 1) - 1 <= budget))
-    return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("room"))
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["total"] + x + 1
+        return F.struct(total.alias("total"), (s["room"] + (total - 1 <= budget).cast("int")).alias("room"))
+
+    room = F.aggregate(F.slice(sizes, F.lit(1), F.greatest(budget, F.lit(0)) + 1), start, step, lambda s: s["room"])
+    tries = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.floor(F.size(sizes) / F.pow(F.lit(2), k)).cast("int"))
+    return F.coalesce(F.get(F.filter(tries, lambda m: m <= room), F.lit(0)), F.lit(0))
+
+
+def halving_fit_groups(lines: DataFrame, group: str, order: str, budget: int) -> DataFrame:
+    """W15 by group, whatever a group's size: group, n_total, n_kept. At most budget + 1 leading lines can matter, since each takes a character at least
+    with what joins it; they are found by a top-k that each task prunes before anything is shuffled, and the count is an aggregate.
+    """
+    sized = lines.select(group, order, F.length("line").alias("n"))
+    total = sized.groupBy(group).agg(F.count(F.lit(1)).alias("n_total"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    first = sized.withColumn("i", rank).where(F.col("i") <= budget + 1)
+    upto = first.select(group, "i", (F.sum(F.col("n") + 1).over(Window.partitionBy(group).orderBy("i")) - 1).alias("upto"))
+    room = upto.where(F.col("upto") <= budget).groupBy(group).agg(F.max("i").alias("room"))
+    tries = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.floor(F.col("n_total") / F.pow(F.lit(2), k)))
+    kept = F.get(F.filter(tries, lambda m: m <= F.coalesce("room", F.lit(0))), F.lit(0))
+    return total.join(room, group, "left").select(group, "n_total", kept.cast("int").alias("n_kept"))
 
 
 def fit_fields(fields: dict[str, tuple[Column, bool]], budget: int) -> dict[str, Column]:

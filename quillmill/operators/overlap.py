@@ -7,43 +7,58 @@ threshold must share one; common words then join no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(sets: DataFrame) -> DataFrame:
-    """(id, token, size, rank): rank 1 is the rarest token of its set."""
+def _ranked(sets: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(id, token, size, rank): rank 1 is the rarest token of its set. frequency is a table, so that Spark can split the join at a common token."""
     rows = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    frequency = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "token"))
     return rows.join(frequency, "token").select("id", "token", "size", rank.alias("rank"))
 
 
-def overlap_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, overlap) with i < j and overlap at least the threshold. sets: id, tokens (distinct).
+def _frequency(*sets: DataFrame) -> DataFrame:
+    _ensure_checkpoint_dir(sets[0].sparkSession)
+    tokens = functools.reduce(DataFrame.union, [s.select(F.explode("tokens").alias("token")) for s in sets])
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).checkpoint()
+
+
+def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that share a token of a's prefix, where a is not the larger.
 
     A pair at the threshold shares c >= threshold * s tokens, s the smaller size. All tokens of the smaller set but c - 1 make
-    its prefix: that has one of the shared tokens, but the larger set must be indexed in full, as its prefix need not. So the
-    prefix side joins the full index, and of equal sizes either may be the prefix.
+    its prefix, the rarest first: that has one of the shared tokens. The larger set must be indexed in full, as its prefix need
+    not have any.
     """
-    ranked = _ranked(sets)
     short = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    a = ranked.where(F.col("rank") <= short).select(F.col("id").alias("a"), F.col("size").alias("na"), "token")
-    b = ranked.select(F.col("id").alias("b"), F.col("size").alias("nb"), "token")
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    candidates = a.join(b, "token").where(smaller).select("a", "b", "na").distinct()
-    full = sets.select("id", "tokens")
-    checked = candidates.join(full.withColumnRenamed("id", "a").withColumnRenamed("tokens", "ta"), "a").join(full.withColumnRenamed("id", "b").withColumnRenamed("tokens", "tb"), "b")
-    overlap = F.size(F.array_intersect("ta", "tb")) / F.col("na")
-    return checked.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), overlap.alias("overlap")).where(F.col("overlap") >= threshold)
-
-
-def best_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """For each new title the existing one it overlaps most; of equals, the earliest. Both: id, tokens."""
-    ex = lambda d, x: d.select(F.col("id").alias(x), F.size("tokens").alias(f"n{x}"), F.explode("tokens").alias("token"))
-    shared = ex(new, "a").join(ex(existing, "b"), "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = shared.select("a", "b", (F.col("c") / F.least("na", "nb")).alias("overlap")).where(F.col("overlap") >= threshold)
+    x = a.where(F.col("rank") <= short).select(F.col("id").alias("a"), F.col("size").alias("na"), "token")
+    y = b.select(F.col("id").alias("b"), F.col("size").alias("nb"), "token")
+    return x.join(y, "token").where("na <= nb").select("a", "b").distinct()
+
+
+def _overlaps(candidates: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, overlap) of the candidates that reach the threshold."""
+    x, y = a.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), b.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    overlap = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
+    return candidates.join(x, "a").join(y, "b").select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
+
+
+def overlap_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, overlap) with i < j and overlap at least the threshold. sets: id, tokens (distinct). Of equal sizes either may be the prefix."""
+    ranked = _ranked(sets, _frequency(sets))
+    found = _candidates(ranked, ranked, threshold).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _overlaps(found, sets, sets, threshold).toDF("i", "j", "overlap")
+
+
+def best_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.7, earlier: bool = False) -> DataFrame:
+    """For each new title the existing one it overlaps most; of equals, the earliest. Both: id, tokens. On request only those of smaller id."""
+    frequency = _frequency(new, existing)
+    a, b = _ranked(new, frequency), _ranked(existing, frequency)
+    found = _candidates(a, b, threshold).union(_candidates(b, a, threshold).select("b", "a")).distinct()
+    scored = _overlaps(found.where("b < a") if earlier else found, new, existing, threshold)
     best = scored.groupBy("a").agg(F.max_by("b", F.struct("overlap", -F.col("b"))).alias("match_id"), F.max("overlap").alias("overlap"))
     return best.select(F.col("a").alias("new_id"), "match_id", "overlap")
 
@@ -57,40 +72,36 @@ def relevance(items: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
     return shared.withColumn("score", score).select(F.col("a").alias("item_id"), rank.alias("rank"), F.col("b").alias("article_id"), "score").where(F.col("rank") <= k)
 
 
-def cluster(pairs: DataFrame, sets: DataFrame, component: DataFrame, cap: int = 8) -> DataFrame:
-    """Groups of at most cap, strongest links first. The cap makes the result depend on order, so a component is handled
-    as a whole; components (id, root) are found beforehand and bound what one task sees.
+def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8) -> DataFrame:
+    """Groups of at most cap, strongest links first: what taking all links in descending order of (overlap, i, j) would
+    give, in rounds. A link that is the strongest at both of its groups can be taken at once, since whatever comes before it in
+    order touches neither. A link between groups that together pass the cap never counts again, as groups only grow.
     """
-    edges = pairs.join(component.select(F.col("id").alias("i"), "root"), "i").select("root", "i", "j", "overlap")
-
-    def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["overlap", "i", "j"], ascending=False)
-        group: dict[int, int] = {}
-        members: dict[int, list[int]] = {}
-        for i, j in zip(frame["i"].tolist(), frame["j"].tolist(), strict=True):
-            for x in (i, j):
-                if x not in group:
-                    group[x], members[x] = x, [x]
-            a, b = group[i], group[j]
-            if a != b and len(members[a]) + len(members[b]) <= cap:
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                for x in members.pop(b):
-                    group[x] = a
-                    members[a].append(x)
-        least = {g: min(m) for g, m in members.items()}
-        return pd.DataFrame({"id": list(group), "group_id": [least[g] for g in group.values()]}, dtype="int64")
-
-    grouped = edges.groupBy("root").applyInPandas(link, "id long, group_id long")
-    return sets.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
-
-
-def elect(titles: DataFrame, component: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    _ensure_checkpoint_dir(pairs.sparkSession)
+    one = F.lit(1)
+    edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).checkpoint()
+    labels = sets.select("id", F.col("id").alias("group_id")).checkpoint()
+    while not edges.isEmpty():
+        best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).checkpoint()
+        chosen = edges.join(best.toDF("a", "s"), ["a", "s"], "left_semi").join(best.toDF("b", "s"), ["b", "s"], "left_semi")
+        joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).checkpoint()
+        moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).checkpoint()
+        labels = labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).checkpoint()
+        for x, n in (("a", "na"), ("b", "nb")):
+            edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
+        edges = edges.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
+        turned = F.col("a") > F.col("b")
+        edges = edges.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
+        edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).checkpoint()
+    return labels
+
+
+def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
     """First writer wins. Items (id, tokens) in order of id; one is kept unless it overlaps an already kept one.
 
     Equal token sets stand or fall with the first of them, so only firsts are paired. Each round keeps the sets that no
     undecided earlier one overlaps and drops those these overlap; its result is checkpointed. A chain in which each set overlaps
-    just the next takes a round for every second link. component is not needed any more and not read.
+    just the next takes a round for every second link.
     """
     _ensure_checkpoint_dir(titles.sparkSession)
     rows = titles.select("id", F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
@@ -110,40 +121,14 @@ def elect(titles: DataFrame, component: DataFrame | None = None, threshold: floa
     return out.select("id", (F.col("id") == F.col("merged_into")).alias("kept"), "merged_into")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root) of the nodes of edges (i, j): labels spread and jump to their own label's label until none changes.
-
-    Every round is checkpointed to the shared folder the session names.
-    """
-    spark = edges.sparkSession
-    _ensure_checkpoint_dir(spark)
-    both = edges.select("i", "j").union(edges.select("j", "i")).toDF("i", "j").distinct().checkpoint()
-    labels = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("root")).toDF("id", "root").checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.toDF("j", "root"), "j").groupBy("i").agg(F.min("root").alias("near"))
-        spread = labels.join(near.toDF("id", "near"), "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
-        jumped = spread.join(labels.toDF("new", "jump"), "new").select("id", F.least("new", "jump").alias("root"), "old").checkpoint()
-        labels = jumped.select("id", "root")
-        if jumped.where("root <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def _ensure_checkpoint_dir(spark) -> None:
+    import re
     import tempfile
 
     if spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     elif not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of their own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
-
-
-def tokens_components(titles: DataFrame) -> DataFrame:
-    """(id, root): items joined through shared words. A word links its items to the least of them, so no pairs are made."""
-    rows = titles.select("id", F.explode("tokens").alias("token"))
-    least = rows.groupBy("token").agg(F.min("id").alias("j"))
-    return components(rows.join(least, "token").where("id <> j").select(F.col("id").alias("i"), "j").distinct())
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
@@ -10,20 +10,27 @@ from quillmill.operators import chunking, compose, grounding, overlap
 
 from .registry import REL_PATH, query, raw_documents, table
 
-_WORDS = r"regexp_extract_all(lower(text), '[^\s]+')"
+_SPLIT = r"[^\x20\x09-\x0D]"
 
 
-def _first_words(n: int) -> Column:
-    return F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, n)
+def _topics(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
+    """(id, tokens): the n most frequent words of five characters and more of each whole text, most frequent first; none for a text without any."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_SPLIT}{{5,}})"), F.lit(1))).alias("w"))
+    counted = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
+    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "w"))).where(F.col("r") <= n)
+    lists = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("tokens"))
+    return docs.select(F.col("doc_id").alias("id")).join(lists, "id", "left").select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
-def _topics(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(_first_words(n)).alias("tokens"))
+_TOPICS = rf"""
+    w0 AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{_SPLIT}{{{{5,}}}}')) AS w FROM documents),
+    w1 AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, w) AS r FROM w0 GROUP BY id, w)""".replace("{{", "{").replace("}}", "}")
 
 
-@query(rf"""
-    WITH t AS (SELECT doc_id AS id, list_distinct(({_WORDS})[1:12]) AS ts FROM documents),
-    x AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM t)
+@query(f"""
+    WITH {_TOPICS},
+    x AS (SELECT id, w, count(*) OVER (PARTITION BY id) AS n FROM w1 WHERE r <= 12)
     SELECT a.id AS i, b.id AS j, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND a.id < b.id
     GROUP BY 1, 2 HAVING count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) >= 0.3""")
 def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,39 +38,37 @@ def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 4), " ")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.title_words(title).alias("tokens"))
+    """A text's title is made of its four most frequent long words."""
+    return _topics(spark, sf_dir, 4).select("id", text.title_words(F.array_join("tokens", " ")).alias("tokens"))
 
 
-_TITLES = r"""
-    t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(array_to_string((regexp_extract_all(text, '[^\s]+'))[1:4], ' '), '[^a-zA-Z0-9\s]', '', 'g')), '\s+'), lambda w: w <> '')) AS ts FROM documents),
-    x AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM t)"""
+_TITLES = rf"""{_TOPICS},
+    x0 AS (SELECT DISTINCT id, regexp_replace(w, '[^a-zA-Z0-9]', '', 'g') AS w FROM w1 WHERE r <= 4),
+    x AS (SELECT id, w, count(*) OVER (PARTITION BY id) AS n FROM x0 WHERE w <> '')"""
 
 
-@query(rf"""
+@query(f"""
     WITH {_TITLES},
-    s AS (SELECT a.id AS new_id, b.id AS match_id, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1, 2)
+    s AS (SELECT a.id AS new_id, b.id AS match_id, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND b.id < a.id GROUP BY 1, 2)
     SELECT new_id, match_id, overlap FROM s WHERE overlap >= 0.7 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, match_id) = 1""")
 def title_dedup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = _titles(spark, sf_dir)
-    return overlap.best_matches(titles.where("id % 2 = 1"), titles.where("id % 2 = 0"))
+    return overlap.best_matches(titles, titles, earlier=True)
 
 
-@query(rf"""
+@query(f"""
     WITH {_TITLES},
-    i AS (SELECT doc_id AS id, list_distinct(({_WORDS})[1:12]) AS ts FROM documents WHERE doc_id % 2 = 1),
-    y AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM i),
-    s AS (SELECT y.id AS item_id, x.id AS article_id, count(*)::DOUBLE / least(any_value(y.n), any_value(x.n)) AS score FROM y JOIN x ON x.w = y.w AND x.id % 10 = 0 GROUP BY 1, 2)
+    y AS (SELECT id, w, count(*) OVER (PARTITION BY id) AS n FROM w1 WHERE r <= 12),
+    s AS (SELECT y.id AS item_id, x.id AS article_id, count(*)::DOUBLE / least(any_value(y.n), any_value(x.n)) AS score FROM y JOIN x ON x.w = y.w GROUP BY 1, 2)
     SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, article_id)::INT AS rank, article_id, score FROM s QUALIFY rank <= 5""")
 def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.relevance(_topics(spark, sf_dir).where("id % 2 = 1"), _titles(spark, sf_dir).where("id % 10 = 0"))
+    return overlap.relevance(_topics(spark, sf_dir), _titles(spark, sf_dir))
 
 
 @query()
 def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _topics(spark, sf_dir)
-    pairs = overlap.overlap_pairs(sets, 0.5)
-    return overlap.cluster(pairs, sets, overlap.components(pairs)).select(F.col("id").alias("doc_id"), "group_id")
+    return overlap.cluster(overlap.overlap_pairs(sets, 0.5), sets).select(F.col("id").alias("doc_id"), "group_id")
 
 
 @query()
@@ -120,8 +125,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = rf"""
     f AS (SELECT doc_id, source, lang, {REL_PATH} AS path, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
-    lines AS (SELECT doc_id, source, path, length('- ' || path || ' — ' || lang || ': ' || CASE WHEN length(flat) <= 150 THEN flat WHEN contains(substr(flat, 1, 150), ' ')
-              THEN regexp_extract(substr(flat, 1, 150), '(?s)^(.*) ', 1) || '…' ELSE substr(flat, 1, 150) END) AS n FROM f)"""
+    g AS (SELECT *, CASE WHEN length(flat) <= 150 THEN flat WHEN contains(substr(flat, 1, 150), ' ') THEN regexp_extract(substr(flat, 1, 150), '(?s)^(.*) ', 1) || '…' ELSE substr(flat, 1, 150) END AS about FROM f),
+    lines AS (SELECT doc_id, source, path, about, length('- ' || path || ' — ' || lang || ': ' || about) AS n FROM g)"""
 
 
 @query(rf"""
@@ -142,15 +147,13 @@ def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
     WITH {_LINES},
-    g AS (SELECT source, list(n ORDER BY doc_id) AS ns FROM lines GROUP BY source),
-    k AS (SELECT source, ns, len(ns) AS n, unnest(range(0, 32)) AS k FROM g),
+    q AS (SELECT source, list(n ORDER BY doc_id) AS ns FROM lines GROUP BY source),
+    k AS (SELECT source, ns, len(ns) AS n, unnest(range(0, 32)) AS k FROM q),
     m AS (SELECT source, ns, n, k, floor(n / pow(2, k))::INT AS m FROM k),
     fit AS (SELECT source, n, k, m FROM m WHERE m > 0 AND list_sum(list_transform(ns[1:m], lambda x: x + 1)) - 1 <= 2000)
-    SELECT g.source, len(g.ns)::INT AS n_total, coalesce(arg_min(m, k), 0)::INT AS n_kept FROM g LEFT JOIN fit USING (source) GROUP BY ALL""")
+    SELECT q.source, len(q.ns) AS n_total, coalesce(arg_min(m, k), 0)::INT AS n_kept FROM q LEFT JOIN fit USING (source) GROUP BY ALL""")
 def halving_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.length("line").alias("n")))).alias("r"))
-    sizes = F.transform("r", lambda x: x["n"])
-    return rows.select("source", F.size("r").alias("n_total"), chunking.halving_fit(sizes, 2000).alias("n_kept"))
+    return chunking.halving_fit_groups(_lines(spark, sf_dir), "source", "doc_id", 2000)
 
 
 @query("""
@@ -166,13 +169,17 @@ def fanout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH e AS (SELECT source, doc_id, {REL_PATH} AS ref, substr(text, 1, 40) AS summary, list_distinct(({_WORDS})[1:3]) AS topics FROM documents)
-    SELECT source, array_to_string(list_sort(list_distinct(flatten(list(topics)))), ',') AS topics, array_to_string(list(ref ORDER BY doc_id), ',') AS refs, length(string_agg(summary, chr(10) ORDER BY doc_id))::INT AS summary_chars
-    FROM e GROUP BY source""")
+    WITH {_TOPICS}, {_LINES},
+    e AS (SELECT l.doc_id, l.path AS ref, l.about, a.w AS article, list_sort(list(t.w)) AS topics FROM lines l JOIN w1 a ON a.id = l.doc_id AND a.r = 1 JOIN w1 t ON t.id = l.doc_id AND t.r <= 3 GROUP BY ALL)
+    SELECT article, array_to_string(list_sort(list_distinct(flatten(list(topics)))), ',') AS topics, array_to_string(list(ref ORDER BY doc_id), ',') AS refs, length(string_agg(about, chr(10) ORDER BY doc_id))::INT AS summary_chars
+    FROM e GROUP BY article""")
 def combine_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = raw_documents(spark, sf_dir).select("source", "doc_id", F.col("rel_path").alias("ref"), F.substring("text", 1, 40).alias("summary"), F.array_distinct(_first_words(3)).alias("topics"))
-    out = compose.combine(e, "source", ["doc_id"])
-    return out.select("source", F.array_join("topics", ",").alias("topics"), F.array_join("refs", ",").alias("refs"), F.length("summary").alias("summary_chars"))
+    """An article for each leading topic, combined of the documents that have it."""
+    topics = _topics(spark, sf_dir, 3).select(F.col("id").alias("doc_id"), F.col("tokens").alias("topics")).where(F.size("topics") > 0)
+    docs = raw_documents(spark, sf_dir).select("doc_id", F.col("rel_path").alias("ref"), text.flatten(F.col("text"), 150).alias("summary"))
+    e = docs.join(topics, "doc_id").withColumn("article", F.get("topics", F.lit(0)))
+    out = compose.combine(e, "article", ["doc_id"])
+    return out.select("article", F.array_join("topics", ",").alias("topics"), F.array_join("refs", ",").alias("refs"), F.length("summary").alias("summary_chars"))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:

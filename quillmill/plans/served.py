@@ -43,12 +43,13 @@ def truncate_with_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH r AS (SELECT doc_id, {REL_PATH} AS path, substr(text, 1, 30) AS t FROM documents WHERE doc_id % 3 = 0)
-    SELECT doc_id % 50 AS question, string_agg('### d' || doc_id || ' (/' || path || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id) AS context FROM r GROUP BY 1""")
+    WITH r AS (SELECT doc_id, {REL_PATH} AS path, CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000 - {len(text.NOTICE)}) || chr(10) || chr(10) || '{text.NOTICE[2:]}' ELSE text END AS t FROM documents)
+    SELECT doc_id // 6 AS question, sha256(string_agg('### d' || doc_id || ' (/' || path || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM r GROUP BY 1""")
 def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_documents(spark, sf_dir).where("doc_id % 3 = 0")
-    rows = rows.select((F.col("doc_id") % 50).alias("question"), F.col("doc_id").alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("rel_path").alias("path"), F.substring("text", 1, 30).alias("text"))
-    return retrieval.article_context(rows, "question")
+    """Six articles a question, as retrieval gives; of the context its digest."""
+    rows = raw_documents(spark, sf_dir)
+    rows = rows.select(F.floor(F.col("doc_id") / 6).alias("question"), F.col("doc_id").alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("rel_path").alias("path"), "text")
+    return retrieval.article_context(rows, "question").select("question", F.sha2("context", 256).alias("digest"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id ELSE source || '__' || doc_id END AS title FROM documents")
@@ -58,18 +59,24 @@ def catalog_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.titled(rows, held).select("doc_id", "title")
 
 
-_PEOPLE = [(0, "Ada Src", ["src0", "SRC1"]), (1, "Bo Src", ["src2", "src1"]), (2, "Cy O'Src", ["Src3"])]
+_NAME = r"[^\x00-\x20\[\]|]{9,}"
+_PEOPLE = f"""
+    links AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAME}')) AS link FROM documents),
+    people AS (SELECT lower(link) AS alias, upper(lower(link)) AS canonical FROM links GROUP BY ALL ORDER BY count(*) DESC, alias LIMIT 40)"""
 
 
-@query("""
-    WITH l AS (SELECT doc_id, unnest(['SRC' || doc_id % 5 || '|shown', 'src' || doc_id % 7 || ' ', 'ada src']) AS link FROM documents WHERE doc_id % 4 <> 0),
-    a(alias, canonical) AS (VALUES ('ada src', 'Ada Src'), ('src0', 'Ada Src'), ('bo src', 'Bo Src'), ('src2', 'Bo Src'), ('src1', 'Bo Src'), ('cy o''src', 'Cy O''Src'), ('src3', 'Cy O''Src'))
-    SELECT canonical, count(*) AS mentions, count(DISTINCT doc_id) AS n_sources FROM l JOIN a ON alias = lower(trim(string_split(link, '|')[1])) GROUP BY 1""")
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """documents with their long words as wikilinks, and as people the forty words that stand in most links."""
+    docs = table(spark, sf_dir, "documents")
+    articles = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.regexp_replace(F.regexp_replace("text", r"[\[\]]", " "), f"({_NAME})", "[[$1]]").alias("text"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({_NAME})"), F.lit(1))).alias("w")).select(F.lower("w").alias("alias"))
+    top = words.groupBy("alias").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "alias").limit(40)
+    return articles, top.select(F.lit(0).alias("ord"), F.upper("alias").alias("canonical"), F.array("alias").alias("aliases"))
+
+
+@query(f"WITH {_PEOPLE} SELECT canonical, count(*) AS mentions, count(DISTINCT doc_id) AS n_sources FROM links JOIN people ON alias = lower(link) GROUP BY 1")
 def people_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    body = F.concat(F.lit("see [[SRC"), (d % 5).cast("string"), F.lit("|shown]] and [[src"), (d % 7).cast("string"), F.lit(" ]], [[ada src]]"))
-    articles = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select(d.cast("string").alias("path"), body.alias("text"))
-    return retrieval.mentions(articles, spark.createDataFrame(_PEOPLE, "ord int, canonical string, aliases array<string>"))
+    return retrieval.mentions(*_linked(spark, sf_dir))
 
 
 @query(r"""
@@ -148,15 +155,15 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.ledger(tasks.resolve_prices(calls), ["model"])
 
 
-_MODELS = ["claude-opus-4-6", "claude-sonnet-4-20250514", "x.y.OPUS.z", "my-haiku", "gpt-4o", "gpt-4o-mini", "acme/gpt-4o", "", "claude-opus-4"]
-
-
 @query("""
-    SELECT * FROM (VALUES ('claude-opus-4-6', 5.0::DOUBLE, 25.0::DOUBLE, true), ('claude-sonnet-4-20250514', 3.0, 15.0, true), ('x.y.OPUS.z', 5.0, 25.0, true), ('my-haiku', 1.0, 5.0, true), ('gpt-4o', 2.5, 10.0, true),
-        ('gpt-4o-mini', 2.5, 10.0, true), ('acme/gpt-4o', 2.5, 10.0, true), ('', 0.0, 0.0, false), ('claude-opus-4', 5.0, 25.0, true)) t(model, input, output, priced)""")
+    WITH m AS (SELECT DISTINCT CASE p_partkey % 8 WHEN 0 THEN 'claude-opus-4-6' WHEN 1 THEN 'claude-sonnet-4-' || p_size WHEN 2 THEN p_brand || '.OPUS' WHEN 3 THEN 'my-haiku-' || p_size WHEN 4 THEN 'gpt-4o' WHEN 5 THEN 'acme/gpt-4o-' || p_size WHEN 6 THEN p_brand ELSE '' END AS model FROM part),
+    f AS (SELECT model, CASE WHEN contains(lower(model), 'gpt-4o') THEN [2.5, 10.0] WHEN contains(lower(model), 'opus') THEN [5.0, 25.0] WHEN contains(lower(model), 'sonnet') THEN [3.0, 15.0] WHEN contains(lower(model), 'haiku') THEN [1.0, 5.0] END AS p FROM m)
+    SELECT model, coalesce(p[1], 0)::DOUBLE AS input, coalesce(p[2], 0)::DOUBLE AS output, p IS NOT NULL AS priced FROM f""")
 def price_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([(m,) for m in _MODELS], "model string")
-    return tasks.resolve_prices(models, [("gpt-4o", 2.5, 10.0)])
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    model = F.when(k == 0, "claude-opus-4-6").when(k == 1, F.concat(F.lit("claude-sonnet-4-"), size)).when(k == 2, F.concat("p_brand", F.lit(".OPUS"))).when(k == 3, F.concat(F.lit("my-haiku-"), size))
+    model = model.when(k == 4, "gpt-4o").when(k == 5, F.concat(F.lit("acme/gpt-4o-"), size)).when(k == 6, F.col("p_brand")).otherwise("")
+    return tasks.resolve_prices(table(spark, sf_dir, "part").select(model.alias("model")).distinct(), [("gpt-4o", 2.5, 10.0)])
 
 
 @query("""

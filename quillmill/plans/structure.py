@@ -118,15 +118,14 @@ def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH w AS (SELECT doc_id, substr(text, 1, 50) AS summary, (regexp_extract_all(lower(text), '[^\s]+'))[1:16] AS ws FROM documents),
-    l AS (SELECT doc_id, summary, ws, 120 - length(summary) AS room FROM w),
-    t AS (SELECT doc_id, summary, ws, room, k, floor(len(ws) / pow(2, k))::INT AS m FROM (SELECT *, unnest(range(0, 32)) AS k FROM l)),
-    f AS (SELECT doc_id, max(m) AS kept FROM t WHERE m > 0 AND list_sum(list_transform(ws[1:m], lambda x: length(x) + 1)) - 1 <= room GROUP BY 1)
-    SELECT doc_id, length(summary)::INT AS summary_chars, coalesce(kept, 0)::INT AS topics FROM l LEFT JOIN f USING (doc_id)""")
+    WITH w AS (SELECT doc_id, length(text) AS total, list_distinct(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS d, list_sort(d) AS ws FROM documents),
+    t AS (SELECT doc_id, ws, floor(len(ws) / pow(2, k))::INT AS m FROM (SELECT *, unnest(range(0, 32)) AS k FROM w)),
+    f AS (SELECT doc_id, max(m) AS kept FROM t WHERE m > 0 AND list_sum(list_transform(ws[1:m], lambda x: length(x) + 1)) - 1 <= 600 GROUP BY 1)
+    SELECT doc_id, coalesce(kept, 0)::INT AS topics, least(total, greatest(600 - coalesce(list_sum(list_transform(ws[1:coalesce(kept, 0)], lambda x: length(x) + 1)), 0), 0))::INT AS summary_chars FROM w LEFT JOIN f USING (doc_id)""")
 def fit_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, 16)
-    kept = chunking.fit_fields({"summary": (F.substring("text", 1, 50), False), "topics": (words, True)}, 120)
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(kept["summary"]).alias("summary_chars"), F.size(kept["topics"]).alias("topics"))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    kept = chunking.fit_fields({"topics": (words, True), "summary": (F.col("text"), False)}, 600)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(kept["topics"]).alias("topics"), F.length(kept["summary"]).alias("summary_chars"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own ' || doc_id ELSE 'raw head' END AS file_title FROM documents")

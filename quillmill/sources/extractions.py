@@ -66,13 +66,17 @@ def persist(extractions: DataFrame, path: str) -> None:
     whole.select(*SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Intact extractions, and the others with a reason. A record that fails counts as absent, never as empty."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
+def fault() -> Column:
+    """Why a record is not intact, null if it is: an unknown version, a section missing, or one whose count disagrees."""
     reason = F.when(~F.col("schema_version").eqNullSafe(VERSION), "unknown version")
     for k in LISTS:
         reason = reason.when(F.col(k).isNull(), f"section {k} missing").when(~F.size(k).eqNullSafe(F.col(f"counts.{k}")), f"count of {k} disagrees")
-    judged = rows.withColumn("reason", reason)
+    return reason
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Intact extractions, and the others with a reason. A record that fails counts as absent, never as empty."""
+    judged = spark.read.schema(SCHEMA).parquet(path).withColumn("reason", fault())
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL").select("source", "reason")
 
 

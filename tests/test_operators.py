@@ -116,14 +116,28 @@ def test_relevance(spark):
 
 def test_cluster_cap(spark):
     df = sets(spark, *["xyz"] * 10)
-    pairs = overlap.overlap_pairs(df, 0.3)
-    got = overlap.cluster(pairs, df, overlap.components(pairs), cap=4).groupBy("group_id").count().collect()
+    got = overlap.cluster(overlap.overlap_pairs(df, 0.3), df, cap=4).groupBy("group_id").count().collect()
     assert sum(r["count"] for r in got) == 10 and max(r["count"] for r in got) <= 4
 
 
+def test_clusters_are_those_of_links_taken_in_order(spark):
+    rng = random.Random(8)
+    pairs = sorted({(rng.choice([0.5, 0.6, 0.75, 1.0]), *sorted(rng.sample(range(120), 2))) for _ in range(300)}, reverse=True)
+    group = {i: {i} for i in range(125)}
+    for _, i, j in pairs:
+        if group[i] is not group[j] and len(group[i]) + len(group[j]) <= 6:
+            group[i] |= group[j]
+            for x in group[j]:
+                group[x] = group[i]
+    edges = spark.createDataFrame([(i, j, o) for o, i, j in pairs], "i long, j long, overlap double").dropDuplicates(["i", "j", "overlap"])
+    got = overlap.cluster(edges, spark.range(125), cap=6)
+    assert {r.id: r.group_id for r in got.collect()} == {i: min(g) for i, g in group.items()}
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_election(spark):
     df = sets(spark, ["foo", "bar"], ["foo", "bar"], ["else"], ["foo", "bar", "baz"])
-    got = {r.id: (r.kept, r.merged_into) for r in overlap.elect(df, overlap.tokens_components(df)).collect()}
+    got = {r.id: (r.kept, r.merged_into) for r in overlap.elect(df).collect()}
     assert got == {0: (True, 0), 1: (False, 0), 2: (True, 2), 3: (False, 0)}
 
 
@@ -139,7 +153,7 @@ def test_election_of_one_large_component(spark):
         if best[0] < 0.7:
             kept.append((i, words))
     df = sets(spark, *rows)
-    got = overlap.elect(df, overlap.tokens_components(df))
+    got = overlap.elect(df)
     assert {r.id: (r.kept, r.merged_into) for r in got.collect()} == want
     # no component is handed to one task
     assert "InPandas" not in got._jdf.queryExecution().toString()
@@ -270,15 +284,20 @@ def test_breaker(spark):
 # ---- grounding
 
 
-@pytest.mark.parametrize(
-    ("line", "name"),
-    [
+def test_leading_name(spark):
+    cases = [
         ("| `MaxConns` | x |", "MaxConns"), ("|---|:--|", ""), ("- `func NewServer(c Conf) *Server`", "NewServer"), ("- `func (s *Srv) Start()`", "Start"), ("- **bold** text", ""), ("- Auth word", ""),
         ("- rest.Config: x", "rest.Config"), ("- e.g. x", ""), ("- 30s", ""), ("- [[Link]]", ""), ("- `/usr/bin/x`", ""), ("1. snake_case,", "snake_case"), ("| | `B2` |", "B2"), ("prose MaxConns", ""), ("- `Map[K, V]`", "Map"), ("* **`Auth`**", "Auth"),
-    ],
-)
-def test_leading_name(line, name):
-    assert grounding.leading_name(line) == name
+        ("  - `return nil`", ""), ("| 10.5ms | x |", ""), ("- `type Conf struct`", "Conf"), ("- (`x`)", ""), ("", ""), ("- `x`", ""), ("|  plain cell | `Other` |", ""),
+    ]
+    df = spark.createDataFrame(cases, "line string, name string").withColumn("got", grounding.leading_name(F.col("line")))
+    assert [(r.line, r.got) for r in df.collect()] == cases
+
+
+def test_named_items(spark):
+    text = "- `First`\n```\n- `Fenced`\n```\n| `Second_one` | x |\n- `First`\n~~~\n- `Open`"
+    got = grounding.named_items(spark.createDataFrame([("a", text), ("b", "")], "article string, text string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "First", 1), ("a", "Second_one", 5)}
 
 
 def test_unsourced(spark):
