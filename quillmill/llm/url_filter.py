@@ -97,7 +97,11 @@ def fit(labelled: DataFrame, buckets: int = 1 << 14, ridge: float = 0.001) -> Pi
         HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets, binary=True),
         LogisticRegression(regParam=ridge, maxIter=40, aggregationDepth=2),
     ]
-    return Pipeline(stages=stages).fit(with_features(labelled.select("url", "label"), "url").coalesce(1).cache())
+    rows = with_features(labelled.select("url", "label"), "url").coalesce(1).persist()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def judge(pages: DataFrame, model: PipelineModel, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
