@@ -53,53 +53,67 @@ def _tokenizer(path: str) -> tuple:
 
 
 class Encoder:
-    """Token ids of texts as bytes (unsigned 32-bit, little-endian). Remembers the ids of up to max_words words.
+    """Token ids of texts as bytes (unsigned 32-bit, little-endian). Remembers the ids of up to max_words words, in flat arrays.
 
     The tokenizer cuts a text into units (runs of letters, single digits, runs of signs) and encodes each on its own. Plain texts
-    are cut into words by Arrow, each different word of a portion is looked up or put together of its units once, and the ids of all
-    its occurrences are gathered in numpy. Other texts, and those that may hold a special token, go to the tokenizer as they are.
+    are cut into words by Arrow; the different words of a portion that are not yet known are put together of their units, the
+    units not yet known are encoded, and the ids of all occurrences are gathered in numpy. Other texts, and those that may hold
+    a special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, max_words: int = 250_000) -> None:
+    def __init__(self, path: str, max_words: int = 500_000) -> None:
         self.tokenizer, self.ends = _tokenizer(path)
         self.max_words = max_words
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self.units: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str], block: int = 500) -> None:
-        apart = [_UNIT.findall(w) for w in words]
-        units = self.units
-        new = list({u for us in apart for u in us if u not in units})
-        blocks = [new[i : i + block] for i in range(0, len(new), block)]
-        for part, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(p) for p in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
-            raw = ids.tobytes()
-            units.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-        self.known.update((w, units[us[0]] if len(us) == 1 else b"".join([units[u] for u in us])) for w, us in zip(words, apart, strict=True))
+        self.words = pa.array([""], pa.large_string())
+        self.ids, self.n = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _add(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand, -1 for those not known."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and how many each has."""
+        n = self.n[at]
+        upto = np.cumsum(n)
+        return self.ids[np.repeat((np.cumsum(self.n) - self.n)[at] - (upto - n), n) + np.arange(int(n.sum()))], n
+
+    def _learn(self, words: pa.Array, block: int = 500) -> None:
+        apart = [_UNIT.findall(w) for w in words.to_pylist()]
+        coded = pa.array([u for us in apart for u in us], pa.large_string()).dictionary_encode()
+        units = coded.dictionary
+        new = units.filter(pa.array(self._find(units) < 0))
+        listed = new.to_pylist()
+        if listed:
+            found = self.tokenizer.encode_batch_fast([" ".join(listed[i : i + block]) for i in range(0, len(listed), block)], add_special_tokens=False)
+            ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
+            self._add(new, ids, np.diff(np.concatenate([[-1], np.flatnonzero(self.ends[ids])])))
+        # the words that are more than one unit, put together
+        many = np.fromiter(map(len, apart), np.int64, len(apart))
+        unit = self._find(units)[coded.indices.to_numpy(zero_copy_only=False)]
+        mixed = many > 1
+        ids, n = self._gather(unit[np.repeat(mixed, many)])
+        per = many[mixed]
+        self._add(words.filter(pa.array(mixed)), ids, np.add.reduceat(n, np.cumsum(per) - per) if len(per) else n)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > self.max_words:
+        if len(self.words) > self.max_words:
             self._forget()
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if missing:
-            self._learn(missing)
-        parts = [known[w] for w in words]
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        times = n[code]
-        upto = np.cumsum(times)
-        at = np.repeat((np.cumsum(n) - n)[code] - (upto - times), times) + np.arange(int(times.sum()))
-        raw = ids[at].tobytes()
-        ends = (4 * np.concatenate([[0], upto])[split.offsets.to_numpy()]).tolist()
+        at = self._find(coded.dictionary)
+        if (at < 0).any():
+            self._learn(coded.dictionary.filter(pa.array(at < 0)))
+            at = self._find(coded.dictionary)
+        ids, n = self._gather(at[coded.indices.to_numpy(zero_copy_only=False)])
+        raw = ids.tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _whole(self, text: str, most: int = 200_000) -> bytes:
@@ -121,7 +135,7 @@ class Encoder:
 _CUT = re.compile(r"[ \n][a-zA-Z0-9]")
 
 
-def _portions(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[str], chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, t in enumerate(texts):
         total += len(t)
