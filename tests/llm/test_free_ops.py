@@ -422,3 +422,31 @@ def test_one_of_each_keeps_the_least_id(docs):
     assert kept.columns == docs.columns and sum(got.values()) == len(groups)
     least = {k: min((n, d or 0) for n, d, _ in v) for k, v in groups.items()}
     assert Counter(d for d, _ in got.elements()) == Counter(None if n else d for n, d in least.values())
+
+
+def test_counts_of_what_the_method_finds(spark):
+    rows = {r.doc_id: r for r in pii.spans(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    planted = {d for d, t in texts.items() if re.search(r'token = "[0-9a-f]{32,}"', t)}
+    assert len(planted) > 5 and sum(rows[d].n_secret > 0 for d in planted) >= 0.9 * len(planted)
+    for d, r in rows.items():
+        kinds = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_id, r.n_name, r.n_secret, r.n_spans) == (*(kinds[k] for k in ("email", "ip", "card", "phone", "id", "name", "secret")), sum(kinds.values()))
+    bare = [d for d, t in texts.items() if not plain_spans(t) and d not in planted]
+    assert sum(rows[d].n_spans > 0 for d in bare) <= 0.01 * len(bare)
+
+
+def test_words_of_any_length_are_read_to_their_end():
+    long = "ab1-" * 5000
+    one, other = pii.Words(f"{long}x {long}y"), line_quality.own_features([f"{long}x {long}y", f"{long}x {long}x"])[0]
+    assert (one.features[0] != one.features[1]).any()
+    assert other[0, 10] == 1.0 and other[1, 10] == 0.5  # distinct words of a line
+
+
+def test_training_on_whole_documents_within_a_bound(spark):
+    rows = [(i, ("good words here\n" if i % 2 else "# $ %\n") * (1 + i % 50), "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    model = line_quality.train(docs, labels, max_labelled=300, max_lines=2000)
+    got = line_quality.score(docs, model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) > 590

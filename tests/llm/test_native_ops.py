@@ -148,3 +148,11 @@ def test_zooming_in_ends_at_few_rows_whatever_the_keys(spark):
     rows.unpersist()
     one = spark.createDataFrame([(i, "s", 3, 0.5) for i in range(50)], "doc_id long, source string, size long, key double")
     assert mixing.copies(one, mixing.thresholds(one, mixing.targets(one, share=0.5), bucket_rows=4)).where("copies = 1").count() == 25
+
+
+def test_quality_rules_on_labels_not_learned_from(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, labels.where("doc_id % 3 <> 0")).collect()}
+    held = [(got[r.doc_id], r.quality > 0) for r in labels.where("doc_id % 3 = 0").collect()]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.85 * len(held)

@@ -26,3 +26,21 @@ def test_stages(spark, sf_dir):
     assert not any(pii.base_spans(r.text) for r in seen["personal_data"].collect())
     assert set(ids["packing"]) == set(ids["mixing"])
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect()) == Counter(tuple(r) for r in seen["packing"].drop("sequence_id", "offset").collect())
+
+
+def test_odd_rows_pass_through_every_stage(spark, sf_dir):
+    kind = "doc_id long, text string, source string, toxic string, key int, _text_hash long, ids string, sequence_id int, bucket int, n long"
+    clean = "calm words about gardens and rivers that nobody minds at all "
+    rows = [(i, t, s, "mine", 1, 2, "x", 3, 4, 5) for i, (t, s) in enumerate([(None, None), ("", "a"), ("  \n", "a"), (clean + "one two", "b"), (clean + "one two", "b"), ("x" * 300_000, "c"), ("mail a.b@c.de now please " + clean, None), ("汉字" * 5000, "d")])]
+    rows += [rows[3], (None, "no id here but words enough to stay", "b", None, None, None, None, None, None, None)]
+    for made in (rows, []):
+        docs = spark.createDataFrame(made, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, materialise(stage(spark, docs, sf_dir))
+            if name != "packing":
+                assert docs.schema == before.schema, name
+                assert docs.count() == before.count() or name in ("near_duplicates", "mixing"), name
+        got = docs.collect()
+        assert bool(got) == bool(made) and all(len(r.ids) == 4 * r.length for r in got)
+        if made:
+            assert {r.doc_id for r in got} >= {3, 5, 6, 7, None}
