@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from quillmill.functions import paths
 LISTS = ("concepts", "entities", "decisions", "action_items", "claims", "enumerations")
 
 
+def field(name: str) -> Callable[[Column], Column]:
+    """Takes a field of a struct, for use with transform()."""
+    return lambda x: x[name]
+
+
 def combine(extractions: DataFrame, key: str, order: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
     """A3, A5: one record a key: summaries joined in order, topics as a sorted set, lists concatenated, refs in order."""
     rows = F.sort_array(F.collect_list(F.struct(*order, "ref", "summary", "topics", *lists)))
@@ -21,7 +26,7 @@ def combine(extractions: DataFrame, key: str, order: Sequence[str], lists: Seque
         F.array_join(F.transform("r", lambda x: x["summary"]), "\n").alias("summary"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x["topics"], F.array().cast("array<string>")))))).alias("topics"),
         F.transform("r", lambda x: x["ref"]).alias("refs"),
-        *(F.flatten(F.transform("r", lambda x, f=f: F.coalesce(x[f], F.array()))).alias(f) for f in lists),
+        *(F.flatten(F.filter(F.transform("r", field(f)), F.isnotnull)).alias(f) for f in lists),
     )
 
 
@@ -114,22 +119,41 @@ def apply_patches(articles: DataFrame, today: str) -> DataFrame:
 
 
 def kept_sections(article: str, topics: set[str], budget: int) -> str:
-    """All headings stay; bodies are filled in by topic overlap while they fit, and come out in their old order."""
-    parts: list[list[str]] = [[]]
+    """All headings stay, as far as they fit; bodies are filled in by topic overlap while there is room, and come out in their old order.
+
+    A heading costs what joins it too, a body its own characters. What stands before the first heading is a body under an empty one.
+    """
+    heads, bodies = [""], [[]]
     for line in article.split("\n"):
         if line.startswith("## "):
-            parts.append([])
-        parts[-1].append(line)
-    if not parts[0]:
-        parts.pop(0)
-    heads = [p[0] if p[0].startswith("## ") else "" for p in parts]
-    words = [set(h.lower().replace("-", " ").replace("#", " ").split()) for h in heads]
+            heads.append(line)
+            bodies.append([])
+        else:
+            bodies[-1].append(line)
+    texts = ["\n".join(b) for b in bodies]
+    first = 0 if bodies[0] else 1
+    used, fitting = 0, []
+    for i in range(first, len(heads)):
+        used += len(heads[i]) + 1
+        if used > budget:
+            return "\n".join(heads[j] for j in fitting)
+        fitting.append(i)
     wanted = {w for t in topics for w in t.lower().replace("-", " ").split()}
-    room = budget - sum(len(h) + 1 for h in heads)
-    taken = set()
-    for i in sorted(range(len(parts)), key=lambda i: -len(words[i] & wanted)):
-        body = "\n".join(parts[i][1:] if heads[i] else parts[i])
-        if len(body) + 1 <= room:
+    telling = {i: len(wanted.intersection(heads[i].lower().replace("#", "").split())) for i in fitting}
+    room, taken = budget - used, set()
+    for i in sorted(fitting, key=lambda i: -telling[i]):
+        if room > 0 and len(texts[i]) <= room:
             taken.add(i)
-            room -= len(body) + 1
-    return "\n".join("\n".join(p) if i in taken else heads[i] for i, p in enumerate(parts) if i in taken or heads[i])
+            room -= len(texts[i])
+    return "\n".join(x for i in fitting for x in ([heads[i]] if i else []) + ([texts[i]] if i in taken and bodies[i] else []))
+
+
+def cut_by_sections(articles: DataFrame, budget: int) -> DataFrame:
+    """articles (text, topics and other columns), those longer than the budget cut by kept_sections(). Row work in Arrow batches."""
+
+    def run(frames):
+        for f in frames:
+            f["text"] = [kept_sections(t, set(ts), budget) if len(t) > budget else t for t, ts in zip(f["text"], f["topics"], strict=True)]
+            yield f
+
+    return articles.mapInPandas(run, articles.schema)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths, text
-from quillmill.operators import catalog, compose, gates, overlap, retrieval
-from quillmill.operators.overlap import _ensure_checkpoint_dir
-from quillmill.sources import extractions
+from quillmill.operators import catalog, chunking, compose, gates, overlap, retrieval, state
 
+from . import extraction, merging
+from .extraction import kept as _kept
 from .model import ModelEndpoint, call
 
 _CLASSES = "merge_into ARRAY<STRING>, create_new ARRAY<STRUCT<path:STRING, type:STRING, title:STRING>>"
@@ -30,21 +30,16 @@ class KnowledgeBase:
     rejects: DataFrame  # ref, reason
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def extract(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, prompt_version: str = "p1") -> DataFrame:
-    """Extractions of documents whose recorded one is missing or stale; the others keep theirs. Chunks longer than a prompt are cut first (M6, A5)."""
+def extract(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, prompt_version: str = "p1", limit: int = chunking.LIMIT) -> DataFrame:
+    """Extractions of documents whose recorded one is missing or stale; the others keep theirs. Texts longer than a prompt are cut, and the answers folded."""
     todo = raw
     if known is not None:
         recorded = known.select("rel_path", F.col("source_checksum").alias("checksum"), F.col("prompt_version"), F.col("extract_model"))
         gated = gates.extract_gate(raw.select("rel_path", "checksum"), recorded, {"extract_model": F.lit(endpoint.name), "prompt_version": F.lit(prompt_version)})
         todo = raw.join(gated.where("reason <> ''").select("rel_path"), "rel_path", "left_semi")
-    answers = call(todo.select("rel_path", "checksum", "text"), endpoint, "extract", ["rel_path", "checksum"], "rel_path string, checksum string")
-    parsed = extractions.from_model(_kept(answers))
-    new = parsed.select("rel_path", F.col("checksum").alias("source_checksum"), F.lit(endpoint.name).alias("extract_model"), F.lit(prompt_version).alias("prompt_version"), "summary", "topics", "concepts", "bad_answer")
+    found = extraction.extracted(todo.select("rel_path", "text"), endpoint, limit)
+    new = todo.select("rel_path", F.col("checksum").alias("source_checksum")).join(found, "rel_path")
+    new = new.select("rel_path", "source_checksum", F.lit(endpoint.name).alias("extract_model"), F.lit(prompt_version).alias("prompt_version"), *extraction.FIELDS, "bad_answer")
     if known is None:
         return new
     return known.join(new.select("rel_path"), "rel_path", "left_anti").join(raw.select("rel_path"), "rel_path", "left_semi").select(*new.columns).unionByName(new)
@@ -97,50 +92,80 @@ def dedup_titles(ops: DataFrame, threshold: float = 0.7) -> DataFrame:
     return joined.select("rel_path", F.when(moved, "merge").otherwise(F.col("action")).alias("action"), F.coalesce("into", "path").alias("path"), "type", "title")
 
 
-def write(ops: DataFrame, found: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
-    """A3, A10, M8: one article a path, composed of all its documents."""
+def write(ops: DataFrame, found: DataFrame, endpoint: ModelEndpoint, existing: DataFrame | None = None) -> DataFrame:
+    """A3, A10, M8, M9: one article a path: a new one composed of all its documents, one that is there merged with them.
+
+    existing: path, title, type, text, sources. Articles that no operation names stay as they are.
+    """
     rows = ops.join(found.select("rel_path", "summary", "topics"), "rel_path").withColumn("ref", F.col("rel_path"))
-    whole = compose.combine(rows, "path", ["rel_path"])
+    whole = _kept(compose.combine(rows, "path", ["rel_path"]))
     head = ops.groupBy("path").agg(F.min_by("title", F.struct(F.when(F.col("action") == "create", 0).otherwise(1), "rel_path")).alias("title"), F.min("type").alias("type"))
-    made = _kept(call(whole.join(head, "path"), endpoint, "write", ["path", "title", "type", "refs"], "path string, title string, type string, refs array<string>"))
-    return made.where("error IS NULL").select("path", "title", "type", text.strip_fence(F.col("answer")).alias("text"), F.col("refs").alias("sources"))
+    fresh = whole if existing is None else whole.join(existing.select("path"), "path", "left_anti")
+    made = _kept(call(fresh.join(head, "path"), endpoint, "write", ["path", "title", "type", "refs"], "path string, title string, type string, refs array<string>"))
+    new = made.where("error IS NULL").select("path", "title", "type", text.strip_fence(F.col("answer")).alias("text"), F.col("refs").alias("sources"))
+    if existing is None:
+        return new
+    merged = _kept(merging.merge_into_articles(existing.select("path", "text"), whole, endpoint))
+    changed = existing.drop("text").join(merged.select("path", "text"), "path").join(whole.select("path", "refs"), "path")
+    changed = changed.select("path", "title", "type", "text", F.array_union("sources", "refs").alias("sources"))
+    return new.unionByName(changed).unionByName(existing.select(*new.columns).join(merged.select("path"), "path", "left_anti"))
 
 
 def compile_kb(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, existing: DataFrame | None = None) -> KnowledgeBase:
-    """raw: rel_path, text. Extraction, classification, title dedup, writing and the catalog."""
+    """raw: rel_path, text. Extraction, classification, title dedup, writing and merging, and the catalog. existing: the articles there are (path, title, type, text, sources)."""
     spark = raw.sparkSession
     raw = raw.select("rel_path", "text", text.checksum(F.col("text")).alias("checksum"))
     found = _kept(extract(raw, endpoint, known))
-    existing = existing if existing is not None else spark.createDataFrame([], "path string, title string")
-    ops, rejects = classify(found.where("NOT bad_answer"), existing, endpoint)
-    articles = write(_kept(dedup_titles(ops)), found, endpoint)
+    titles = existing if existing is not None else spark.createDataFrame([], "path string, title string")
+    ops, rejects = classify(found.where("NOT bad_answer"), titles, endpoint)
+    articles = write(_kept(dedup_titles(ops)), found, endpoint, existing)
     body = text.split_frontmatter(F.col("text"))[1]
     entries = articles.select("path", "title", text.summary(F.lit(None).cast("string"), body, 150).alias("summary"))
     bad = found.where("bad_answer").select(F.col("rel_path").alias("ref"), F.lit("unreadable answer").alias("reason"))
     return KnowledgeBase(raw, found, articles, entries, rejects.unionByName(bad))
 
 
+_PARTS = 64
+
+
 def _catalog_column(kb: KnowledgeBase) -> DataFrame:
     """The catalog as one row a batch of lines that fits a prompt."""
-    lines = kb.catalog.select("path", text.catalog_line(F.col("path"), F.col("title"), F.col("summary")).alias("line"), F.pmod(F.xxhash64("path"), F.lit(64)).alias("part"))
-    from quillmill.operators import chunking
-
+    lines = kb.catalog.select("path", text.catalog_line(F.col("path"), F.col("title"), F.col("summary")).alias("line"), F.pmod(F.xxhash64("path"), F.lit(_PARTS)).alias("part"))
     packed = chunking.pack_batches(lines, 40_000, "part", ["path"]).where("batch IS NOT NULL").join(lines.select("path", "line"), "path")
     return packed.groupBy("part", "batch").agg(F.array_sort(F.collect_list(F.array("path", "line"))).alias("catalog"))
 
 
+def _asked_of_catalog(kb: KnowledgeBase, questions: DataFrame) -> DataFrame:
+    """A row for each question and each prompt's worth of the catalog: every question reads all of it. Questions are dealt to the catalog's parts, and meet its prompts there by an equi join."""
+    rows = questions.select("question", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).cast("long").alias("part"))
+    return rows.join(_catalog_column(kb), "part").select("question", (F.col("part") * 1_000_000 + F.col("batch")).alias("batch"), "catalog")
+
+
 def retrieve(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint, k: int = 6) -> DataFrame:
-    """Question, rank, path, title. questions: question."""
-    rows = questions.crossJoin(_catalog_column(kb).select("catalog"))  # every question reads the whole catalog, prompt by prompt
-    answers = _kept(call(rows.withColumn("k", F.lit(k)), endpoint, "select", ["question"], "question string"))
+    """Question, rank, path, title. questions: question. A prompt that fails chooses nothing."""
+    answers = _kept(call(_asked_of_catalog(kb, questions).withColumn("k", F.lit(k)), endpoint, "select", ["question"], "question string"))
     chosen = answers.select("question", F.coalesce(F.from_json("answer", "array<string>"), F.array().cast("array<string>")).alias("paths"))
     merged = chosen.groupBy("question").agg(F.flatten(F.array_sort(F.collect_list("paths"))).alias("paths"))
     return retrieval.titled(catalog.selected(merged, kb.catalog, k), kb.catalog)
 
 
+def rewrite(questions: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
+    """Questions (question, history) with asked, what they say without their history. Without history that is the question, and no model is called; so too where a call fails."""
+    blank = F.coalesce(F.trim("history"), F.lit("")) == ""
+    answers = _kept(call(questions.where(~blank).select("question", "history"), endpoint, "rewrite", ["question", "history"], "question string, history string"))
+    said = answers.where("error IS NULL AND trim(answer) <> ''").select("question", "history", F.trim("answer").alias("asked"))
+    return questions.join(said, ["question", "history"], "left").withColumn("asked", F.coalesce("asked", "question"))
+
+
 def ask(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint) -> tuple[DataFrame, DataFrame]:
-    """Answers (question, answer) and their citations."""
-    found = _kept(retrieve(kb, questions, endpoint))
+    """Answers (question, text) and their citations. questions: question, and history if there is one."""
+    if "history" in questions.columns:
+        rewritten = _kept(rewrite(questions, endpoint).select("question", "asked"))
+        hits = retrieve(kb, rewritten.select(F.col("asked").alias("question")).distinct(), endpoint)
+        found = _kept(rewritten.join(hits.withColumnRenamed("question", "asked"), "asked").drop("asked"))
+        questions = questions.select("question")
+    else:
+        found = _kept(retrieve(kb, questions, endpoint))
     context = found.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "title"))).alias("a"))
     rows = questions.join(context, "question", "left").select("question", F.transform(F.coalesce("a", F.array().cast("array<struct<rank:int,path:string,title:string>>")), lambda x: F.array(x["path"], x["title"])).alias("articles"))
     answers = _kept(call(rows, endpoint, "answer", ["question"], "question string")).select("question", F.col("answer").alias("text"))
@@ -148,9 +173,11 @@ def ask(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint) -> tup
 
 
 def derive(kb: KnowledgeBase, topic: str, endpoint: ModelEndpoint) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents behind the articles of a topic, those copied with a matching extraction, and what was skipped."""
+    """Documents behind the articles of a topic, those copied with a matching extraction, and what was skipped. All that any prompt chose counts; a prompt without an answer is an error."""
     spark = kb.raw.sparkSession
-    chosen = retrieve(kb, spark.createDataFrame([(topic,)], "question string"), endpoint, k=1000)
+    asked = _asked_of_catalog(kb, spark.range(1).select(F.lit(topic).alias("question")))
+    answers = _kept(call(asked, endpoint, "filter", ["batch"], "batch long"))
+    chosen = state.selected_batches(answers.select("batch", F.from_json("answer", "array<string>").alias("paths")), kb.catalog)[0]
     picked = kb.articles.join(chosen.select("path"), "path", "left_semi")
     refs = catalog.resolve_documents(picked, kb.raw)
     docs = kb.raw.join(refs.where("status = 'ok'").select(F.col("ref").alias("rel_path")), "rel_path", "left_semi")

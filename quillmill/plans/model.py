@@ -35,10 +35,34 @@ class OfflineEndpoint:
         return re.findall(r"[^\W\d_]{5,}", text.lower())
 
     def _extract(self, p: dict) -> str:
-        common = [w for w, _ in sorted(Counter(self._words(p["text"])).items(), key=lambda x: (-x[1], x[0]))[:5]]
+        common = self._topics(p["text"])
         summary = re.split(r"(?<=[.!?])\s", p["text"].strip(), maxsplit=1)[0][:200]
         return json.dumps({"summary": summary, "topics": common, "concepts": [{"title": w.capitalize(), "summary": summary} for w in common[:2]]})
 
+    def _summarize(self, p: dict) -> str:
+        return re.split(r"(?<=[.!?])\s", p["text"].strip(), maxsplit=1)[0][:400] + " " + " ".join(self._topics(p["text"]))
+
+    def _topics(self, text: str) -> list[str]:
+        return [w for w, _ in sorted(Counter(self._words(text)).items(), key=lambda x: (-x[1], x[0]))[:5]]
+
+    def _merge_summaries(self, p: dict) -> str:
+        return " ".join(p["text"].split("\n---\n"))
+
+    def _extract_group(self, p: dict) -> str:
+        return self._extract(p)
+
+    def _merge(self, p: dict) -> str:
+        return f"{p['text'].rstrip()}\n\n## Update from {', '.join(p['refs'])}\n\n{p['summary']}\n"
+
+    def _merge_diff(self, p: dict) -> str:
+        return json.dumps({"patches": [{"action": "new_section", "after": "", "heading": f"## Update from {', '.join(p['refs'])}", "content": p["summary"]}]})
+
+    def _rewrite(self, p: dict) -> str:
+        return f"{p['question']} {' '.join(self._topics(p['history']))}"
+
+    def _filter(self, p: dict) -> str:
+        return self._select({**p, "k": len(p["catalog"])})
+
     def _classify(self, p: dict) -> str:
         topic = (p["topics"] or ["misc"])[0]
         path = f"wiki/concept/{topic}.md"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmill.functions import text
+from quillmill.operators import state
 
 
 def arrivals(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -30,12 +31,7 @@ def compile_stream(docs: DataFrame, state_path: str, out_path: str, work: Callab
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         sums = batch.withColumn("checksum", text.checksum(F.col("text"))).dropDuplicates(["rel_path", "checksum"])
-        try:
-            done = spark.read.parquet(state_path).where(F.col("batch") != number).select("rel_path", "checksum")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = sums.limit(0).select("rel_path", "checksum")
+        done = state.load(spark, state_path, "rel_path string, checksum string, batch int").where(F.col("batch") != number).select("rel_path", "checksum")
         fresh = sums.join(done, ["rel_path", "checksum"], "left_anti").persist()
         try:
             work(fresh).write.mode("overwrite").parquet(f"{out_path}/batch={number}")

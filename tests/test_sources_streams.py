@@ -149,6 +149,31 @@ def test_knowledge_base(spark, sf_dir):
     assert knowledge.prune(kb, kb.catalog.limit(1)).count() == len(entries) - 1
 
 
+def test_merged_articles_keep_their_text_and_long_ones_are_cut(spark):
+    docs = spark.createDataFrame([("raw/a.md", "zebra " * 30 + "end."), ("raw/b.md", "\n".join(f"walrus line {i} of a long text." for i in range(2000)))], "rel_path string, text string")
+    first = knowledge.compile_kb(docs.where("rel_path = 'raw/a.md'"), OfflineEndpoint())
+    old = first.articles.collect()
+    existing = first.articles.unionByName(spark.createDataFrame([("wiki/concept/other.md", "Other", "concept", "untouched", ["raw/z.md"])], first.articles.schema))
+    kb = knowledge.compile_kb(docs.where("rel_path = 'raw/b.md'").unionByName(spark.createDataFrame([("raw/c.md", "zebra zebra again")], docs.schema)), OfflineEndpoint(), existing=existing)
+    got = {r.path: r for r in kb.articles.collect()}
+    assert set(got) == {old[0].path, "wiki/concept/other.md", "wiki/concept/walrus.md"} and got["wiki/concept/other.md"].text == "untouched"
+    merged = got[old[0].path]
+    assert merged.text.startswith(old[0].text.rstrip()) and "Update from raw/c.md" in merged.text and set(merged.sources) == {"raw/a.md", "raw/c.md"}
+    assert kb.extractions.where("rel_path = 'raw/b.md'").first().topics
+
+
+def test_history_is_read_before_a_question_is_asked(spark):
+    class Counting(OfflineEndpoint):
+        def complete(self, task, payload):
+            if task == "rewrite" and payload["history"] == "boom":
+                raise RuntimeError("no answer")
+            return super().complete(task, payload)
+
+    rows = [("what of it", "user: tell me of walruses"), ("plain", None), ("broken", "boom"), ("blank", " ")]
+    out = {r.question: r.asked for r in knowledge.rewrite(spark.createDataFrame(rows, "question string, history string"), Counting()).collect()}
+    assert out == {"what of it": "what of it walruses", "plain": "plain", "broken": "broken", "blank": "blank"}
+
+
 def test_classify_shows_every_candidate(spark):
     # the right article comes last by path among those that share a word, and its overlap is not the greatest
     topics = spark.createDataFrame([("raw/a.md", ["zeta", "common", "word"]), ("raw/b.md", ["fresh", "common"]), ("raw/c.md", ["alone"])], "rel_path string, topics array<string>")
