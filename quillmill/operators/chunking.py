@@ -1,14 +1,21 @@
-"""Cutting and fitting text to budgets: ordered folds inside a row, no Python.
+"""Cutting and fitting text to budgets.
 
-A reset that depends on the running total is no window function; `aggregate` over an ordered array is. What is folded is one
-document's lines or one group's catalog lines.
+A reset that depends on the running total is no window function. Where one document's lines are folded, `aggregate` over an ordered
+array does it inside a row; a group's lines, of which there is no end, are folded range by range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import ensure_checkpoint_dir
+
 LIMIT = 16_000
 
 
@@ -103,28 +110,107 @@ def merge_mode(article_bytes: Column, prompt_chars: Column, budget: int = 80_000
     return F.when((article_bytes >= large) | (prompt_chars > budget), "diff").otherwise("rewrite")
 
 
-def batch_numbers(costs: Column, budget: int) -> Column:
-    """Batch number of each line, given the costs in order; null for a line over the whole budget."""
+def _filled(costs: np.ndarray, budget: int, size: int) -> tuple[np.ndarray, int]:
+    """The batch of each line, from 0 for the one that is open with so much in it, and what is in the last. -1 for a line over the whole budget."""
+    over = costs > budget
+    upto = np.concatenate([[0], np.cumsum(np.where(over, 0, costs))])
+    out, at, number = np.zeros(len(costs), np.int64), 0, 0
+    while True:
+        end = int(np.searchsorted(upto, upto[at] + budget - size, "right")) - 1  # as many lines as fit
+        out[at:end] = number
+        size += int(upto[end] - upto[at])
+        if end >= len(costs):
+            break
+        at, size, number = end, 0, number + 1
+    out[over] = -1
+    return out, size
 
-    def step(s: Column, cost: Column) -> Column:
-        over = cost > budget
-        full = (s["size"] > 0) & (s["size"] + cost > budget)
-        number = F.when(full, s["number"] + 1).otherwise(s["number"])
-        return F.struct(
-            F.when(over, s["number"]).otherwise(number).alias("number"),
-            F.when(over, s["size"]).otherwise(F.when(full, F.lit(0)).otherwise(s["size"]) + cost).alias("size"),
-            F.concat(s["out"], F.array(F.when(~over, number))).alias("out"),
-        )
 
-    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(costs, start, step, lambda s: s["out"])
+def _outcomes(costs: np.ndarray, budget: int) -> list[tuple[int, int, int]]:
+    """What a stretch of lines does to any size it may start with: (least size, batches closed, size at the end), by size.
+
+    A size decides only where the first batch closes, so there are no more cases than lines that one batch holds, and one in which none closes.
+    """
+    kept = costs[costs <= budget]
+    upto = np.cumsum(kept)
+    total = int(upto[-1]) if len(kept) else 0
+    cases: list[tuple[int, int, int]] = []
+    first = int(np.searchsorted(upto, budget, "right"))  # the first line that cannot join a batch that begins here
+    for i in range(min(first, len(kept) - 1), -1, -1) if len(kept) else ():
+        least = max(1, budget - int(upto[i]) + 1)  # from this size on, line i opens a batch
+        numbers, size = _filled(kept[i:], budget, 0)
+        cases.append((least, int(numbers[-1]) + 1, size))
+    by_size: dict[int, tuple[int, int, int]] = {}
+    for case in cases:  # earlier lines, at greater sizes, come later
+        by_size[case[0]] = case
+    open_end = [(0, 0, -1)] if total <= budget else []
+    if not open_end:
+        numbers, size = _filled(kept, budget, 0)
+        open_end = [(0, int(numbers[-1]), size)]
+    return open_end + sorted(by_size.values())
 
 
 def pack_batches(lines: DataFrame, budget: int, group: str, order: list[str]) -> DataFrame:
-    """Catalog lines in batches, group by group; a group is what one model prompt series covers, and holds numbers only."""
-    rows = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, (F.length("line") + 1).alias("cost")))).alias("rows"))
-    numbered = rows.select(group, "rows", batch_numbers(F.transform("rows", lambda r: r["cost"]), budget).alias("b"))
-    return numbered.select(group, F.explode(F.arrays_zip("rows", "b")).alias("z")).select(group, *(F.col(f"z.rows.{c}").alias(c) for c in order), F.col("z.b").alias("batch"))
+    """Lines in batches within the budget, group by group and in order; null for a line over the whole budget. Where a batch closes depends on all before
+    it, yet no group is gathered: lines are sorted over ranges, each range says what it does to any size it may start with (a short table,
+    and one row a range reaches the driver), the tables are applied one after another, and each range is then filled from its own start.
+    """
+    spark = lines.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys = [group, *order]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select(*keys, (F.length("line") + 1).cast("long").alias("cost")).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).checkpoint()  # both passes see the same ranges
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray] | None:
+        """A range's lines, their costs, and where its groups begin and end."""
+        parts = list(batches)
+        table = pa.Table.from_batches(parts) if parts else None
+        if table is None or not table.num_rows:
+            return None
+        code = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        return table, table.column(table.num_columns - 1).to_numpy(), np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := stretches(batches)) is not None:
+            table, costs, cuts = found
+            numbers, size = _filled(costs[cuts[-2] :], budget, 0)
+            name = [str(table.column(0)[i].as_py()) + ("" if table.column(0)[i].is_valid else "\0") for i in (0, table.num_rows - 1)]
+            cases = [list(c) for c in _outcomes(costs[: cuts[1]], budget)]
+            row = {"range": TaskContext.get().partitionId(), "first": name[0], "last": name[1], "single": len(cuts) == 2, "cases": cases, "sum": int(costs[: cuts[1]][costs[: cuts[1]] <= budget].sum()), "number": int(max(numbers.max(), 0)), "size": size}
+            yield pa.RecordBatch.from_pylist([row], schema=_SEEN)
+
+    seen = sorted(dealt.mapInArrow(look, "range int, first string, last string, single boolean, cases array<array<long>>, sum long, number long, size long").collect(), key=lambda r: r["range"])
+    starts: dict[int, tuple[int, int]] = {}
+    open_group, number, size = None, 0, 0
+    for r in seen:
+        if r["first"] == open_group:
+            starts[r["range"]] = (number, size)
+            least, closed, end = next(c for c in reversed(r["cases"]) if c[0] <= size)
+            if r["single"]:
+                number, size = number + closed, size + r["sum"] if end < 0 else end
+        elif r["single"]:
+            number, size = r["number"], r["size"]
+        if not r["single"]:
+            number, size = r["number"], r["size"]
+        open_group = r["last"]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := stretches(batches)) is not None:
+            table, costs, cuts = found
+            out = np.zeros(len(costs), np.int64)
+            number, size = starts.get(TaskContext.get().partitionId(), (0, 0))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                numbers, _ = _filled(costs[a:b], budget, size)
+                out[a:b] = np.where(numbers < 0, -1, numbers + number)
+                number = size = 0
+            batch = pa.array(out.astype(np.int32), mask=out < 0)
+            yield from table.drop_columns(["cost"]).append_column("batch", batch).to_batches(10_000)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "cost")
+    return dealt.mapInArrow(fill, f"{schema}, batch int")
+
+
+_SEEN = pa.schema([("range", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("single", pa.bool_()), ("cases", pa.list_(pa.list_(pa.int64()))), ("sum", pa.int64()), ("number", pa.int64()), ("size", pa.int64())])
 
 
 def halving_fit(sizes: Column, budget: Column | int) -> Column:

@@ -21,7 +21,7 @@ def _ranked(sets: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def _frequency(*sets: DataFrame) -> DataFrame:
-    _ensure_checkpoint_dir(sets[0].sparkSession)
+    ensure_checkpoint_dir(sets[0].sparkSession)
     tokens = functools.reduce(DataFrame.union, [s.select(F.explode("tokens").alias("token")) for s in sets])
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).checkpoint()
 
@@ -77,7 +77,7 @@ def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8) -> DataFrame:
     give, in rounds. A link that is the strongest at both of its groups can be taken at once, since whatever comes before it in
     order touches neither. A link between groups that together pass the cap never counts again, as groups only grow.
     """
-    _ensure_checkpoint_dir(pairs.sparkSession)
+    ensure_checkpoint_dir(pairs.sparkSession)
     one = F.lit(1)
     edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).checkpoint()
     labels = sets.select("id", F.col("id").alias("group_id")).checkpoint()
@@ -103,7 +103,7 @@ def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
     undecided earlier one overlaps and drops those these overlap; its result is checkpointed. A chain in which each set overlaps
     just the next takes a round for every second link.
     """
-    _ensure_checkpoint_dir(titles.sparkSession)
+    ensure_checkpoint_dir(titles.sparkSession)
     rows = titles.select("id", F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
     firsts = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("first")).checkpoint()
     pairs = overlap_pairs(firsts.select(F.col("first").alias("id"), "tokens"), threshold).checkpoint()
@@ -121,7 +121,7 @@ def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
     return out.select("id", (F.col("id") == F.col("merged_into")).alias("kept"), "merged_into")
 
 
-def _ensure_checkpoint_dir(spark) -> None:
+def ensure_checkpoint_dir(spark) -> None:
     import re
     import tempfile
 

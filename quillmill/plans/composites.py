@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, merging
+from quillmill.streaming import leases
+
+from . import extraction, knowledge, merging
 from .compiled import _chunks_sql
 from .registry import REL_PATH, query, raw_documents, table
 
@@ -16,7 +18,7 @@ class Lengths:
     name = "lengths-1"
 
     def complete(self, task: str, payload: dict) -> str:
-        n = len(payload["text"])
+        n = len(payload.get("text") or payload.get("history") or payload.get("summary") or "")
         if task == "extract":
             return json.dumps({"summary": f"c{n}", "topics": [f"t{n % 3}"]})
         if task == "extract_group":
@@ -25,6 +27,10 @@ class Lengths:
             return f"```\n{payload['text']}|{payload['summary']}\n```"
         if task == "merge_diff":
             return json.dumps({"patches": [{"action": "append_to_section", "section": "## Nowhere", "content": payload["summary"]}]}) if n % 2 else "no patches"
+        if task in ("select", "filter"):
+            return json.dumps(sorted(path for path, line in payload["catalog"] if payload["question"] in line))
+        if task == "answer":
+            return " ".join(f"See [{title}]({path})." for path, title in payload["articles"]) or "nothing"
         return f"{task[0]}{n}"
 
 
@@ -54,3 +60,91 @@ def merge_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = docs.select("path", F.concat(F.lit("new "), "lang").alias("summary"), F.array("lang").alias("topics"), F.array(F.lit("raw/n.md")).alias("refs"))
     merged = merging.merge_into_articles(docs.select("path", "text"), news, Lengths(), large=5000, today="2024-06-01")
     return merged.select("path", "mode", F.md5("text").alias("digest"))
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN 'r' || length(text) ELSE 'what of ' || conv_id || ', ' || turn END AS asked FROM conversations""")
+def rewritten_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with a history are rewritten; those without one are asked as they are."""
+    said = table(spark, sf_dir, "conversations")
+    question = F.concat(F.lit("what of "), F.col("conv_id").cast("string"), F.lit(", "), F.col("turn").cast("string"))
+    rows = said.select("conv_id", "turn", question.alias("question"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("history"))
+    return knowledge.rewrite(rows, Lengths()).select("conv_id", "turn", "asked")
+
+
+_KINDS = ("submit", "claim", "heartbeat", "nack", "claim", "ack", "claim", "cancel")
+
+
+@query("""
+    WITH RECURSIVE k AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, ['submit', 'claim', 'heartbeat', 'nack', 'claim', 'ack', 'claim', 'cancel'][(event_id * 5 % 8)::INT + 1] AS kind, 'w' || event_id % 2 AS owner,
+            row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+    r(user_id, event_id, i, kind, accepted, status, owner, lease, attempts) AS (
+        SELECT user_id, 0::BIGINT, 0::BIGINT, '', false, 'absent', '', 0::BIGINT, 0 FROM (SELECT DISTINCT user_id FROM k)
+        UNION ALL
+        SELECT n.user_id, n.event_id, n.i, n.kind, n.ok,
+            CASE WHEN NOT n.ok THEN n.st ELSE CASE n.kind WHEN 'submit' THEN 'pending' WHEN 'claim' THEN 'running' WHEN 'heartbeat' THEN 'running' WHEN 'ack' THEN 'succeeded' WHEN 'nack' THEN CASE WHEN n.attempts < 3 THEN 'pending' ELSE 'failed' END ELSE 'cancelled' END END,
+            CASE WHEN NOT n.ok THEN n.ow ELSE CASE n.kind WHEN 'claim' THEN n.asker WHEN 'nack' THEN '' ELSE n.ow END END,
+            CASE WHEN NOT n.ok THEN n.ls ELSE CASE WHEN n.kind IN ('claim', 'heartbeat') THEN n.ms + 40000000 WHEN n.kind = 'submit' THEN n.ls ELSE 0 END END,
+            CASE WHEN n.ok AND n.kind = 'claim' THEN n.attempts + 1 ELSE n.attempts END
+        FROM (SELECT x.*, CASE x.kind WHEN 'submit' THEN x.st = 'absent' WHEN 'claim' THEN x.st = 'pending' WHEN 'cancel' THEN x.st IN ('pending', 'running') ELSE x.st = 'running' AND x.ow = x.asker END AS ok
+              FROM (SELECT k.user_id, k.event_id, k.i, k.kind, k.owner AS asker, k.ms, r.attempts,
+                        CASE WHEN r.status = 'running' AND 0 < r.lease AND r.lease <= k.ms THEN 'pending' ELSE r.status END AS st,
+                        CASE WHEN r.status = 'running' AND 0 < r.lease AND r.lease <= k.ms THEN '' ELSE r.owner END AS ow,
+                        CASE WHEN r.status = 'running' AND 0 < r.lease AND r.lease <= k.ms THEN 0 ELSE r.lease END AS ls
+                    FROM r JOIN k ON k.user_id = r.user_id AND k.i = r.i + 1) x) n)
+    SELECT event_id AS seq, kind, accepted, status, attempts::BIGINT AS attempts FROM r WHERE i > 0""")
+def task_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the log of a task: leases taken, kept, lost and given back; late results refused."""
+    k = F.col("event_id")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (k * 5 % 8).cast("int"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), k.alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), kind.alias("kind"), F.concat(F.lit("w"), (k % 2).cast("string")).alias("owner"), F.lit(40_000_000).cast("long").alias("ttl_ms"))
+    return leases.replay(log).select("seq", "kind", "accepted", "status", "attempts")
+
+
+@query(f"""
+    WITH o AS (SELECT doc_id, {REL_PATH} AS ref, 'wiki/concept/a' || doc_id // 5 || '.md' AS path FROM documents)
+    SELECT path, 'T' || arg_min(doc_id, ref) AS title, 'w' || (sum(length('about ' || doc_id) + 1) - 1)::BIGINT AS text, string_agg(ref, ',' ORDER BY ref) AS sources FROM o GROUP BY path""")
+def written_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8, A3, A10: an article composed of five documents each."""
+    d = F.col("doc_id").cast("string")
+    docs = raw_documents(spark, sf_dir).select("doc_id", "rel_path")
+    found = docs.select("rel_path", F.concat(F.lit("about "), d).alias("summary"), F.array(F.lit("t")).alias("topics"))
+    path = F.concat(F.lit("wiki/concept/a"), F.floor(F.col("doc_id") / 5).cast("string"), F.lit(".md"))
+    ops = docs.select("rel_path", F.lit("create").alias("action"), path.alias("path"), F.lit("concept").alias("type"), F.concat(F.lit("T"), d).alias("title"))
+    return knowledge.write(ops, found, Lengths()).select("path", "title", "text", F.array_join("sources", ",").alias("sources"))
+
+
+def _base(**tables: DataFrame) -> knowledge.KnowledgeBase:
+    return knowledge.KnowledgeBase(**{f: tables.get(f) for f in ("raw", "extractions", "articles", "catalog", "rejects")})
+
+
+@query("""
+    SELECT '/n' || n_nationkey || '.md' AS question, 'See [' || n_name || '](wiki/n' || n_nationkey || '.md).' AS answer, 1 AS rank, 'wiki/n' || n_nationkey || '.md' AS path, n_name AS title FROM nation""")
+def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every nation, answered from a catalog of all of them."""
+    key = F.col("n_nationkey").cast("string")
+    nations = table(spark, sf_dir, "nation")
+    catalog = nations.select(F.concat(F.lit("wiki/n"), key, F.lit(".md")).alias("path"), F.col("n_name").alias("title"), F.lit("a nation").alias("summary"))
+    answers, cited = knowledge.ask(_base(catalog=catalog), nations.select(F.concat(F.lit("/n"), key, F.lit(".md")).alias("question")), Lengths())
+    return answers.withColumnRenamed("text", "answer").join(cited, "question")
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {REL_PATH} AS ref FROM documents),
+    a AS (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN [ref, '../out' || doc_id] ELSE [ref, 'raw/none' || doc_id || '.md'] END) AS ref FROM d WHERE doc_id % 10 = 7)
+    SELECT a.ref, CASE WHEN a.ref LIKE '..%' THEN 'escapes_kb' WHEN a.ref LIKE 'raw/none%' THEN 'document_missing' WHEN doc_id % 4 = 0 THEN 'no extraction' WHEN doc_id % 4 = 1 THEN 'extraction is of another version' ELSE 'copied' END AS status FROM a""")
+def derived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a topic takes along, and why the rest stays. The topic is articles that end in 7."""
+    d = F.col("doc_id")
+    s = d.cast("string")
+    docs = raw_documents(spark, sf_dir).select("doc_id", "rel_path")
+    path = F.concat(F.lit("wiki/d"), s, F.lit(".md"))
+    other = F.when(d % 3 == 0, F.concat(F.lit("../out"), s)).otherwise(F.concat(F.lit("raw/none"), s, F.lit(".md")))
+    base = _base(
+        raw=docs.select("rel_path", F.lit("new").alias("checksum")),
+        extractions=docs.where("doc_id % 4 <> 0").select("rel_path", F.when(d % 4 == 1, "old").otherwise("new").alias("source_checksum")),
+        articles=docs.select(path.alias("path"), F.array("rel_path", other).alias("sources")),
+        catalog=docs.select(path.alias("path"), F.concat(F.lit("d"), s).alias("title"), F.lit("x").alias("summary")),
+    )
+    _, copied, skipped = knowledge.derive(base, "7.md", Lengths())
+    return copied.select(F.col("rel_path").alias("ref"), F.lit("copied").alias("status")).union(skipped.select("ref", "reason"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text
 from quillmill.operators import chunking, compose
-from quillmill.operators.overlap import _ensure_checkpoint_dir
+from quillmill.operators.overlap import ensure_checkpoint_dir
 from quillmill.sources import extractions
 
 from .model import ModelEndpoint, call
@@ -25,7 +25,7 @@ SECOND_LEVEL = 5
 
 def kept(df: DataFrame) -> DataFrame:
     """What a model said is written before it is used twice."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

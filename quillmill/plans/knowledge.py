@@ -137,7 +137,7 @@ def _catalog_column(kb: KnowledgeBase) -> DataFrame:
 
 def _asked_of_catalog(kb: KnowledgeBase, questions: DataFrame) -> DataFrame:
     """A row for each question and each prompt's worth of the catalog: every question reads all of it. Questions are dealt to the catalog's parts, and meet its prompts there by an equi join."""
-    rows = questions.select("question", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).cast("long").alias("part"))
+    rows = questions.select("question", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))).alias("part"))
     return rows.join(_catalog_column(kb), "part").select("question", (F.col("part") * 1_000_000 + F.col("batch")).alias("batch"), "catalog")
 
 

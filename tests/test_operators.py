@@ -196,7 +196,30 @@ def test_transcript(spark):
 
 
 def test_budgets(spark):
-    assert one(spark, chunking.batch_numbers(F.transform(F.split("t", ","), lambda x: x.cast("int")), 10), t="4,6,1,99,8,3") == [0, 0, 1, None, 1, 2]
+    lines = [4, 6, 1, 99, 8, 3]
+    df = spark.createDataFrame([("s", i, "x" * (n - 1)) for i, n in enumerate(lines)], "source string, path int, line string")
+    assert [r.batch for r in chunking.pack_batches(df, 10, "source", ["path"]).orderBy("path").collect()] == [0, 0, 1, None, 1, 2]
+
+
+def test_batches_over_ranges_are_those_of_a_plain_loop(spark):
+    rng = random.Random(12)
+    rows = [(g, i, "x" * rng.randint(0, 25)) for g, n in (("hot", 3000), ("b", 40), (None, 200), ("c", 1)) for i in range(n)]
+    want = {}
+    for g in ("hot", "b", None, "c"):
+        number = size = 0
+        for _, i, line in (r for r in rows if r[0] == g):
+            cost = len(line) + 1
+            if cost > 20:
+                want[g, i] = None
+                continue
+            if size and size + cost > 20:
+                number, size = number + 1, 0
+            size += cost
+            want[g, i] = number
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "source string, path int, line string")
+    got = chunking.pack_batches(df, 20, "source", ["path"])
+    assert {(r.source, r.path): r.batch for r in got.collect()} == want and got.columns == ["source", "path", "batch"]
+    assert chunking.pack_batches(df.limit(0), 20, "source", ["path"]).count() == 0
     assert one(spark, chunking.halving_fit(F.array_repeat(F.lit(9), 37), 100)) == 9
     assert one(spark, chunking.halving_fit(F.array_repeat(F.lit(200), 3), 100)) == 0
     assert one(spark, chunking.strategy(F.lit("auto"), F.lit(3))) == "summarize"
