@@ -176,7 +176,8 @@ def string_list(answer: Column, most: int = 3) -> Column:
     return F.slice(F.coalesce(strings, F.array().cast("array<string>")), 1, most)
 
 
-STUB_MARK = "<!-- person-stub -->"
+#: Fixed value: what the body of a page made by us starts with.
+STUB_MARK = "<!-- kb:stub -->"
 
 
 def is_stub(page: Column, mark: str = STUB_MARK) -> Column:
@@ -226,3 +227,10 @@ def head_of(content: Column, size: int = 1 << 20) -> Column:
     cut = F.substring(content.cast("binary"), 1, size)
     back = F.coalesce(*(F.when(F.is_valid_utf8(F.substring(cut, F.lit(1), F.length(cut) - k)), F.substring(cut, F.lit(1), F.length(cut) - k)) for k in range(4)))
     return F.when(whole, content).otherwise(back.cast("string"))
+
+
+def section_items(value: Column) -> tuple[Column, Column]:
+    """the items of a section kept as JSON, none if it is blank, and an error if it is anything but a list."""
+    blank = F.coalesce(F.trim(value), F.lit("")) == ""
+    items = F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda v: v.cast("string"))
+    return F.when(blank, F.array().cast("array<string>")).otherwise(items), F.when(~blank & items.isNull(), F.lit("not a list"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import paths
 
 #: The categories of a knowledge base that names none.
-CATEGORIES = ("concept", "entity", "project", "decision", "reference", "meeting")
+CATEGORIES = ("concept", "decision", "project", "reference", "guide", "person")
 
 
 # ---- stores
@@ -144,3 +144,16 @@ def with_missing(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         blank = F.lit("") if kind == "string" else F.lit(0).cast(kind)
         rows = rows.withColumn(name, F.coalesce(F.col(name), blank) if name in rows.columns else blank)
     return rows
+
+
+def write_articles(old: DataFrame, new: DataFrame, path: str, version: int, read_only: bool = False) -> str:
+    """K2: the articles with the new ones in place of those of the same path, as a new version. Both: path, text. Refused on a base that is only read."""
+    if read_only:
+        raise PermissionError("this knowledge base is read-only")
+    return save(upserted(old, new, "path"), path, version)
+
+
+def listed(bases: DataFrame, parent: str | None = None) -> DataFrame:
+    """Derived bases that are shown: those compiled, of one parent on request. bases: slug, parent, compiled."""
+    shown = bases.where("compiled")
+    return shown if parent is None else shown.where(F.col("parent") == parent)

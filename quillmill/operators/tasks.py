@@ -104,3 +104,10 @@ def breaker_states(outcomes: DataFrame, key: str, order: list[str], seconds: str
 
     folded = rows.select(key, "os", F.aggregate("os", start, step, lambda s: s["out"]).alias("states"))
     return folded.select(key, F.explode(F.arrays_zip("os", "states")).alias("z")).select(key, *(F.col(f"z.os.{c}").alias(c) for c in order), F.col("z.states").alias("state"))
+
+
+def log_lines(operations: DataFrame) -> DataFrame:
+    """A line for each operation of a run: '[op] target: prompt+completion tokens, $cost', four digits; an alert where it failed. operations: op, target, prompt, completion, cost, error."""
+    tokens = F.concat(F.col("prompt").cast("string"), F.lit("+"), F.col("completion").cast("string"), F.lit(" tokens"))
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("ALERT "), F.col("error"))).otherwise(F.concat(tokens, F.lit(", $"), F.format_string("%.4f", F.col("cost"))))
+    return operations.select("op", "target", F.concat(F.lit("["), "op", F.lit("] "), "target", F.lit(": "), said).alias("line"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths, text
-from quillmill.operators import chunking, compose, retrieval, state
+from quillmill.operators import chunking, compose, retrieval, state, tasks
 from quillmill.sources import extractions, raw, sinks
 
 from .registry import REL_PATH, SUM16, query, raw_documents, table
@@ -356,3 +356,44 @@ def selected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = raw_documents(spark, sf_dir).select(F.concat(F.lit("wiki/a"), _s(_D("doc_id") % 20), F.lit(".md")).alias("path"), _D("rel_path").alias("ref"))
     picked = spark.range(2).select(F.concat(F.lit("wiki/a"), _s(_D("id") * 4 + 3), F.lit(".md")).alias("path"))
     return articles.join(picked, "path", "left_semi")
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 0 END::INT AS n, CASE WHEN p_partkey % 4 = 3 THEN 'not a list' END AS error FROM part""")
+def loaded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5."""
+    k = _D("p_partkey") % 4
+    value = F.when(k == 0, " ").when(k == 1, F.concat(F.lit('["'), "p_brand", F.lit('", 4]'))).when(k == 2, "[]").otherwise(F.concat(F.lit('{"a": "'), "p_brand", F.lit('"}')))
+    items, error = text.section_items(value)
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(items.isNotNull(), F.size(items)).alias("n"), error.alias("error"))
+
+
+@query("SELECT o_orderkey, '[write] wiki/' || o_custkey || ': ' || CASE WHEN o_orderstatus = 'F' THEN 'ALERT failed' ELSE o_orderkey % 1000 || '+' || o_orderkey % 77 || ' tokens, $' || printf('%.4f', (o_orderkey % 1000) / 16.0::DOUBLE) END AS line FROM orders")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10."""
+    k = _D("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.lit("write").alias("op"), F.concat(F.lit("wiki/"), _s(_D("o_custkey"))).alias("where"), k.alias("key"), (k % 1000).alias("prompt"), (k % 77).alias("completion"), ((k % 1000) / 16.0).alias("cost"), F.when(_D("o_orderstatus") == "F", "failed").alias("error")
+    )
+    lines = tasks.log_lines(rows.withColumn("target", F.concat("where", F.lit("#"), _s(_D("key")))))
+    return lines.select(F.regexp_extract("target", r"#(\d+)$", 1).cast("long").alias("o_orderkey"), F.regexp_replace("line", r"#\d+:", ":").alias("line"))
+
+
+@query("SELECT c_custkey AS slug FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey = 7")
+def listed_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P23."""
+    bases = table(spark, sf_dir, "customer").select(_D("c_custkey").alias("slug"), _s(_D("c_nationkey")).alias("parent"), (_D("c_custkey") % 3 != 0).alias("compiled"))
+    return state.listed(bases, "7").select("slug")
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_partkey % 3 = 0 AS renewed, p_name, p_type FROM part)
+    SELECT 'wiki/' || p_partkey || '.md' AS path, CASE WHEN renewed THEN p_type ELSE p_name END AS text FROM p UNION ALL SELECT 'wiki/new' || p_partkey || '.md', p_type FROM p WHERE p_partkey % 5 = 0""")
+def renewed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K6: what a new version of the articles holds."""
+    k = _D("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    path = lambda prefix: F.concat(F.lit(prefix), _s(k), F.lit(".md")).alias("path")
+    old = parts.select(path("wiki/"), _D("p_name").alias("text"))
+    new = parts.where(k % 3 == 0).select(path("wiki/"), _D("p_type").alias("text")).union(parts.where(k % 5 == 0).select(path("wiki/new"), _D("p_type").alias("text")))
+    return state.upserted(old, new, "path")

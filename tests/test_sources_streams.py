@@ -3,8 +3,10 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillmill.operators import state
 from quillmill.plans import knowledge
 from quillmill.plans.model import OfflineEndpoint
 from quillmill.sources import extractions, html, raw, sinks
@@ -187,3 +189,15 @@ def test_classify_shows_every_candidate(spark):
             ("raw/c.md", "create", "wiki/concept/alone.md"),
         }
         assert rejects.count() == 0
+
+
+def test_state_versions(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert state.load(spark, f"{path}/v0", "path string, text string").count() == 0
+    old = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, text string")
+    one = state.write_articles(old, spark.createDataFrame([("b", "3"), ("c", "4")], old.schema), path, 1)
+    assert {tuple(r) for r in state.load(spark, one, "path string, text string").collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
+    with pytest.raises(PermissionError):
+        state.write_articles(old, old, path, 2, read_only=True)
+    assert state.frozen_categories(None, None) == (list(state.CATEGORIES), False)
+    assert state.frozen_categories(["a"], None) == (["a"], False) and state.frozen_categories(["a"], ["b"]) == (["b"], True)
