@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,30 +73,77 @@ def relevance(items: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
     return shared.withColumn("score", score).select(F.col("a").alias("item_id"), rank.alias("rank"), F.col("b").alias("article_id"), "score").where(F.col("rank") <= k)
 
 
-def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8) -> DataFrame:
-    """Groups of at most cap, strongest links first: what taking all links in descending order of (overlap, i, j) would
-    give, in rounds. A link that is the strongest at both of its groups can be taken at once, since whatever comes before it in
-    order touches neither. A link between groups that together pass the cap never counts again, as groups only grow.
+def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """A component's links taken one after another: for every group that is joined to another, where it goes."""
+    frame = frame.sort_values(["overlap", "i", "j"], ascending=False)
+    size: dict[int, int] = {}
+    into: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in into:
+            x = into[x]
+        return x
+
+    for a, na, b, nb in zip(*(frame[c].tolist() for c in ("a", "na", "b", "nb")), strict=True):
+        size.setdefault(a, na)
+        size.setdefault(b, nb)
+        x, y = sorted((top(a), top(b)))
+        if x != y and size[x] + size[y] <= cap:
+            into[y] = x
+            size[x] += size[y]
+    return pd.DataFrame({"g": list(into), "to": [top(g) for g in into]}, dtype="int64")
+
+
+def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 100_000, rounds: int = 4) -> DataFrame:
+    """Groups of at most cap, strongest links first: what taking all links in descending order of (overlap, i, j) would give.
+
+    Components of at most in_task links are done in a task each. In larger ones, a link that is the strongest at both of its
+    groups can be taken at once, since whatever comes before it in order touches neither; and a link between groups that
+    together pass the cap never counts again, as groups only grow. After some rounds of this they are taken apart anew. Large
+    cliques of equal overlap give few such links a round, and take long.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     one = F.lit(1)
     edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).checkpoint()
     labels = sets.select("id", F.col("id").alias("group_id")).checkpoint()
+    relabel = lambda moved: labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).checkpoint()
     while not edges.isEmpty():
-        best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).checkpoint()
-        chosen = edges.join(best.toDF("a", "s"), ["a", "s"], "left_semi").join(best.toDF("b", "s"), ["b", "s"], "left_semi")
-        joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).checkpoint()
-        moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).checkpoint()
-        labels = labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).checkpoint()
-        for x, n in (("a", "na"), ("b", "nb")):
-            edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
-        edges = edges.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
-        turned = F.col("a") > F.col("b")
-        edges = edges.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
-        edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).checkpoint()
+        rooted = edges.join(components(edges.select("a", "b")).select(F.col("id").alias("a"), "root"), "a").checkpoint()
+        sizes = rooted.groupBy("root").agg(F.count(one).alias("n")).checkpoint()
+        small = rooted.join(sizes.where(F.col("n") <= in_task).select("root"), "root", "left_semi").select("root", "a", "na", "b", "nb", "s.*")
+        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long").checkpoint()
+        labels = relabel(moved)
+        edges = rooted.join(sizes.where(F.col("n") > in_task).select("root"), "root", "left_semi").drop("root").checkpoint()
+        for _ in range(rounds):
+            if edges.isEmpty():
+                break
+            best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).checkpoint()
+            chosen = edges.join(best.toDF("a", "s"), ["a", "s"], "left_semi").join(best.toDF("b", "s"), ["b", "s"], "left_semi")
+            joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).checkpoint()
+            moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).checkpoint()
+            labels = relabel(moved)
+            for x, n in (("a", "na"), ("b", "nb")):
+                edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
+            edges = edges.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
+            turned = F.col("a") > F.col("b")
+            edges = edges.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
+            edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).checkpoint()
     return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of edges (a, b), root the least node of a component: labels spread and jump to their own label's label until none changes."""
+    both = edges.toDF("i", "j").union(edges.select("b", "a")).distinct().checkpoint()
+    labels = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("root")).toDF("id", "root").checkpoint()
+    while True:
+        near = both.join(labels.toDF("j", "root"), "j").groupBy("i").agg(F.min("root").alias("near"))
+        spread = labels.join(near.toDF("id", "near"), "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
+        labels = spread.join(labels.toDF("new", "jump"), "new").select("id", F.least("new", "jump").alias("root"), "old").checkpoint()
+        if labels.where("root <> old").isEmpty():
+            return labels.select("id", "root")
+        labels = labels.select("id", "root")
+
+
 def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
     """First writer wins. Items (id, tokens) in order of id; one is kept unless it overlaps an already kept one.
 
