@@ -156,7 +156,7 @@ def test_merged_articles_keep_their_text_and_long_ones_are_cut(spark):
     first = knowledge.compile_kb(docs.where("rel_path = 'raw/a.md'"), OfflineEndpoint())
     old = first.articles.collect()
     existing = first.articles.unionByName(spark.createDataFrame([("wiki/concept/other.md", "Other", "concept", "untouched", ["raw/z.md"])], first.articles.schema))
-    kb = knowledge.compile_kb(docs.where("rel_path = 'raw/b.md'").unionByName(spark.createDataFrame([("raw/c.md", "zebra zebra again")], docs.schema)), OfflineEndpoint(), existing=existing)
+    kb = knowledge.compile_kb(docs.where("rel_path = 'raw/b.md'").unionByName(spark.createDataFrame([("raw/c.md", "zebra zebra once more")], docs.schema)), OfflineEndpoint(), existing=existing)
     got = {r.path: r for r in kb.articles.collect()}
     assert set(got) == {old[0].path, "wiki/concept/other.md", "wiki/concept/walrus.md"} and got["wiki/concept/other.md"].text == "untouched"
     merged = got[old[0].path]
