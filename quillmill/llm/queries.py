@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, media, mixing, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import collocations, line_quality, media, mixing, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES = {
         op8_media_columns,
         op9_toxicity,
         op10_simhash,
+        op11_collocations,
     )
 }
 
@@ -108,4 +113,23 @@ ORACLE_SQL = {
         g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
         SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
         FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op11_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+        f1 AS (SELECT lang, w[i] AS x, count(*) AS f FROM i GROUP BY ALL),
+        f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM i WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM i WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        covered AS (SELECT lang, x, y, max(f) AS longer FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+        two AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, l.f AS l, r.f AS r, (1000000::HUGEINT * f2.f * f2.f) // (l.f::HUGEINT * r.f) AS score
+                FROM f2 JOIN f1 AS l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 AS r ON r.lang = f2.lang AND r.x = f2.y
+                LEFT JOIN covered AS c ON c.lang = f2.lang AND c.x = f2.x AND c.y = f2.y WHERE coalesce(100 * c.longer < 50 * f2.f, true)),
+        cuts AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.f AS a, l.f AS l1, r.f AS r1, l2.f AS l2, r2.f AS r2,
+                        (1000000::HUGEINT * f3.f * f3.f) // (l.f::HUGEINT * r.f) AS s1, (1000000::HUGEINT * f3.f * f3.f) // (l2.f::HUGEINT * r2.f) AS s2
+                 FROM f3 JOIN f1 AS l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 AS r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+                 JOIN f2 AS l2 ON l2.lang = f3.lang AND l2.x = f3.x AND l2.y = f3.y JOIN f1 AS r2 ON r2.lang = f3.lang AND r2.x = f3.z),
+        three AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, least(s1, s2) AS score FROM cuts),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM three))
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
