@@ -1,8 +1,13 @@
 """Files in and out, streams, and the composite pipelines with the offline endpoint."""
 
 import io
+import re
+import time
 import zipfile
+from collections import Counter
+from html import unescape
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +84,36 @@ def test_html():
     assert html.visible(page) == ("A & B", "One two\nThree [link](/x)\na | b")
 
 
+def test_html_main_content_of_pages(sf_dir):
+    pages = [r["html"] for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pylist()]
+    kept = right = wanted = 0
+    for page in pages:
+        inner = page[page.index("<article>") : page.index("</article>")]
+        want = Counter(x for x in (" ".join(unescape(re.sub("<[^>]*>", "", y)).split()) for y in re.split("<p>|</p>|<h1>|</h1>", inner)) if x)
+        got = Counter(html.visible(page)[1].split("\n"))
+        kept, right, wanted = kept + got.total(), right + (got & want).total(), wanted + want.total()
+    assert right / kept > 0.95 and right / wanted > 0.95
+
+
+def test_html_main_content_without_telling_elements():
+    text = "A paragraph that has a good many words, as paragraphs of articles have, and ends like one."
+    page = f'<div><a href=/>Home</a> <a href=/b>All</a></div><h2>On it</h2><p>{text}</p><p>Short.</p><p>{text} <a href="/y">More</a></p><div class="side-bar"><p>{text}</p></div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>'
+    assert html.visible(page)[1] == f"On it\n{text}\nShort.\n{text} [More](/y)"
+    assert html.visible("") == html.visible("<nav>menu</nav>") == ("", "") and html.visible("a < b &amp; c <3 d") == ("", "a < b & c <3 d")
+
+
+@pytest.mark.parametrize("part", ["<", "<script ", "<!--", '<a href="', '<a href="x">y', "<b>", "<div>", "</div>", "<p><b>", "<li><td>", "<title>", "&amp", "<a ='", '<div class="ad x">t'])
+def test_html_time_is_linear(part):
+    def seconds(size):
+        page = part * (size // len(part))
+        began = time.process_time()
+        html.visible(page)
+        return time.process_time() - began
+
+    few = seconds(300_000)
+    assert seconds(1_200_000) < 9 * few + 0.5
+
+
 def test_event_lines(spark):
     frames = spark.createDataFrame([('data: {"type": "delta", "text": "x"}\n\ndata: {"type": "odd"}\n\n',)], "value string")
     assert [r.type for r in sinks.parse_events(frames).collect()] == ["delta", None]
