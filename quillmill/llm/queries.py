@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, line_quality, media, mixing, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import collocations, divergence, html_extract, line_quality, media, mixing, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -60,6 +60,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +82,8 @@ QUERIES = {
         op9_toxicity,
         op10_simhash,
         op11_collocations,
+        op12_html_extract,
+        op13_source_divergence,
     )
 }
 
@@ -132,4 +142,21 @@ ORACLE_SQL = {
         three AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, least(s1, s2) AS score FROM cuts),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM three))
         SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        cells AS (SELECT g.lang, g.source, k.term, k.c AS in_lang FROM groups AS g JOIN kept AS k ON k.lang = g.lang),
+        counted AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+        counts AS (SELECT cells.*, coalesce(counted.c, 0) AS c FROM cells LEFT JOIN counted USING (lang, source, term)),
+        sums AS (SELECT lang, source, sum(c)::BIGINT AS n FROM counts GROUP BY ALL),
+        p AS (SELECT c.lang, c.source, c.term, c.c, 1 + (1000000000::HUGEINT * (c.c + 1)) // (s.n + v.v) AS p, 1 + (1000000000::HUGEINT * (c.in_lang + 1)) // (v.n + v.v) AS q
+              FROM counts AS c JOIN sums AS s ON s.lang = c.lang AND s.source = c.source JOIN v ON v.lang = c.lang),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        bare AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::BIGINT AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quillmill.llm import collocations, queries
+from quillmill.llm import collocations, divergence, queries
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,54 @@ def test_collocations_over_many_blocks_and_a_tight_rank(spark, sf_dir, monkeypat
 
 def test_collocations_match_their_sql(spark, sf_dir, db):
     same_as_sql(spark, sf_dir, db, "op11_collocations")
+
+
+def plain_divergence(rows, k=200):
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))) for lang, source, text in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        here = [d for d in docs if d[0] == lang]
+        kept = {t for t, n in Counter(t for d in here for t in set(d[2])).items() if n >= 3}
+        counts = {s: Counter() for s in {d[1] for d in here}}
+        for _, s, terms in here:
+            counts[s].update(t for t in terms if t in kept)
+        whole = sum(counts.values(), Counter())
+        v = len(kept)
+        p = lambda c, t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + v)  # noqa: B023, E731
+        f = lambda p, q: (p - q) ** 2 // q
+        probability = {s: {t: p(c, t) for t in kept} for s, c in counts.items()}
+        of_lang = {t: p(whole, t) for t in kept}
+        for s, c in counts.items():
+            pair = [(-sum(f(probability[s][t], probability[o][t]) for t in kept), o.encode(), o) for o in counts if o != s]
+            term = [(-f(probability[s][t], of_lang[t]), t.encode(), t) for t in kept if c[t] and probability[s][t] > of_lang[t]]
+            for part, found in (("pair", sorted(pair)), ("term", sorted(term)[:k])):
+                out += [(lang, s, part, item, -value, i + 1) for i, (value, _, item) in enumerate(found)]
+    return sorted(out)
+
+
+ODD_SOURCES = [
+    ("en", "a", None), (None, None, "alpha beta ALPHA"), ("", "", "alpha-beta, gamma2alpha"), (None, "b", "alpha Beta"), ("en", "a", "x y"), ("en", "b", ""), ("de", "only", "Öl öl Öl"), ("de", "only", "ÖL öl"), ("de", "only", "Öl öl"),
+    *[("fr", f"s{i % 3}", " ".join(f"w{chr(97 + j)}{chr(97 + i % 5)} common " for j in range(20)) + "é" * i) for i in range(30)], *[("fr", "s9", "")] * 2, *[("es", s, "uno") for s in "ab"],
+]
+
+
+def test_divergence_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in ODD_SOURCES], "lang string, source string, text string, rank int, term string")
+    for k, settle in ((200, 4096), (7, 3), (3, 1)):
+        got = sorted(tuple(r) for r in divergence.divergence(docs.repartition(3), k=k, settle=settle).collect())
+        assert got == plain_divergence(ODD_SOURCES, k)
+    assert {r.value for r in divergence.divergence(docs.where("lang = 'es'")).collect()} == {0}
+    assert divergence.divergence(docs.limit(0)).count() == 0
+
+
+def test_radix_select_ranks_large_values_and_ties_by_bytes(spark):
+    rows = [("g", f"{'long prefix ' * 9}{i % 97:03d}é{i}", (i % 5) << 60 if i % 3 else i) for i in range(900)] + [("h", "one", 0), ("h", "", 0)] + [("t", "a" * i, 7) for i in range(1, 40)]
+    table = spark.createDataFrame(rows, "g string, item string, value long")
+    for k in (1, 60, 200, 899, 2000):
+        got = {tuple(r) for r in divergence.top(table, ["g"], k, settle=2).select("g", "item", "value").collect()}
+        want = {r for g in "ght" for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1].encode()))[:k]}
+        assert got == want
+
+
+def test_divergence_matches_its_sql(spark, sf_dir, db):
+    same_as_sql(spark, sf_dir, db, "op13_source_divergence")
