@@ -14,18 +14,24 @@ tasks; a group's window sees bins, 65,536 at most, and at the end ``k`` rows. So
 
 Defined results: null text, lang and source are ''. Repeated rows are documents of their own. A group without terms has none
 ranked, but is compared as any other; where a language keeps no term (V = 0), every pair's value is 0. A language of one source
-has no pairs. An empty table gives an empty result. Other columns are not read. A very long text is one array of its terms in
-the task that reads it.
+has no pairs. An empty table gives an empty result. Other columns are not read. A very long text is read in stretches, and
+takes some 30 bytes for each of its terms in the task that reads it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, materialise
+from .common import discard, materialise, returning
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes that are of no term as spaces, A-Z as a-z. Terms match [^\x00-\x40\x5B-\x60\x7B-\x7F]+.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 UNIT = 1_000_000_000
 GROUP = ["lang", "source"]
 
@@ -34,13 +40,58 @@ def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, count, docs (how many documents have it)."""
-    terms = F.array_sort(F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(f"({TERM})"), F.lit(1)))
-    rows = docs.select(_blank("lang"), _blank("source"), terms.alias("terms"))
-    runs = F.transform("terms", lambda x, i: F.struct(x.alias("term"), (F.when(i == 0, True).otherwise(F.get("terms", i - 1) != x)).alias("new")))
-    each = rows.select("lang", "source", F.explode(runs).alias("t")).select("lang", "source", "t.term", "t.new")
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("new").cast("long")).alias("docs"))
+def _words(text: str, piece: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The terms of a text, a stretch after another, so that a very long one is never a list as a whole."""
+    data = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
+    at = 0
+    while at < len(data):
+        end = at + piece
+        if end < len(data):
+            end = data.rfind(b" ", at + 1, end)
+            end = data.find(b" ", at + piece) if end < 0 else end
+            end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def _counted(texts: list[str], group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """terms; and (group, term, count, docs) of those that each group of texts has."""
+    found: defaultdict[bytes, int] = defaultdict()
+    found.default_factory = found.__len__
+    ids, sizes = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        for words in _words(text):
+            ids.append(np.fromiter(map(found.__getitem__, words), np.int64, len(words)))
+            sizes[i] += len(words)
+    term, n = np.concatenate(ids), max(1, len(found))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    pairs, times = np.unique(doc * n + term, return_counts=True)
+    keys, at = np.unique(group[pairs // n] * n + pairs % n, return_inverse=True)
+    return list(found), *np.divmod(keys, n), np.bincount(at, times, len(keys)).astype(np.int64), np.bincount(at, minlength=len(keys))
+
+
+def term_counts(docs: DataFrame, portion: int = 4_000_000) -> DataFrame:
+    """lang, source, term, count, docs (how many documents have it). Portions of texts are counted in the tasks, and their counts summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= portion):
+                    size += len(texts[end])
+                    end += 1
+                pairs = list(zip(batch.column(0)[at:end].to_pylist(), batch.column(1)[at:end].to_pylist(), strict=True))
+                groups = {g: i for i, g in enumerate(dict.fromkeys(pairs))}
+                terms, g, t, count, docs_with = _counted(texts[at:end], np.array([groups[p] for p in pairs], np.int64))
+                names = [pa.array([x[i] for x in groups], pa.string()).take(pa.array(g)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(t)), pa.array(count), pa.array(docs_with)], ["lang", "source", "term", "count", "docs"])
+                at = end
+
+    rows = docs.select(_blank("lang"), _blank("source"), F.coalesce("text", F.lit("")).alias("text"))
+    each = rows.mapInArrow(returning(run), "lang string, source string, term string, count long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:

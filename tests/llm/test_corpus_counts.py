@@ -121,6 +121,13 @@ def test_divergence_of_odd_rows(spark):
     assert divergence.divergence(docs.limit(0)).count() == 0
 
 
+def test_terms_of_long_texts_in_stretches():
+    for text in ("", "a", "ab cd", "x" * 40, "ab,Cd " * 9 + "é1É" * 5, " " * 30, "abcdefgh " * 4 + "z" * 50 + " y"):
+        want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate({i: i + 32 for i in range(65, 91)}))
+        for piece in (1, 2, 3, 7, 16, 100):
+            assert [w.decode() for part in divergence._words(text, piece) for w in part] == want
+
+
 def test_radix_select_ranks_large_values_and_ties_by_bytes(spark):
     rows = [("g", f"{'long prefix ' * 9}{i % 97:03d}é{i}", (i % 5) << 60 if i % 3 else i) for i in range(900)] + [("h", "one", 0), ("h", "", 0)] + [("t", "a" * i, 7) for i in range(1, 40)]
     table = spark.createDataFrame(rows, "g string, item string, value long")
