@@ -5,8 +5,8 @@ on a fixed labelled table of some hundred URLs, so training does not grow with t
 reads the url column alone and shuffles nothing.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the model
-(whose features are then empty, leaving the intercept). Repeated rows are judged alike. An empty table gives an empty
-result. Columns of the input other than the id and the url are ignored, whatever their names.
+(whose features are then those of two empty strings). A very long url is judged whole, in time that grows with its length.
+Repeated rows are judged alike. An empty table gives an empty result. Columns of the input other than the id and the url are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,10 +78,9 @@ def ngrams(host: Column, path: Column, sizes: Sequence[int] = (3, 4)) -> Column:
     """Character n-grams, marked by where they come from; both strings get a mark at either end."""
 
     def of(mark: str, text: Column, n: int) -> Column:
-        text = F.concat(F.lit("^"), text, F.lit("$"))
-        last = F.length(text) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+        # a match takes one character and looks ahead for n, so that time grows with the text and not with its square
+        grams = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
+        return F.transform(grams, lambda g: F.concat(F.lit(mark), g))
 
     return F.array_distinct(F.concat(*(of(m, t, n) for m, t in (("h:", host), ("p:", path)) for n in sizes)))
 

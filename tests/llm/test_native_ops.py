@@ -1,8 +1,11 @@
 """URL filter, quality rules and mixing against plain-Python versions."""
 
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillmill.llm import mixing, quality_rules, queries, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +82,24 @@ def test_url_rules_and_model(spark, sf_dir):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_ngrams_of_any_text_and_in_linear_time(spark):
+    texts = ["", "a", "ab", "abc\ndé😀f", "😀" * 5, "x" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", url_filter.ngrams(F.col("t"), F.lit("")).alias("g")).collect():
+        marked = f"^{r.t}$"
+        assert set(r.g) == {f"h:{marked[i : i + n]}" for n in (3, 4) for i in range(len(marked) - n + 1)} and len(set(r.g)) == len(r.g)
+
+    def seconds(size):
+        url = spark.range(1).select(F.concat(F.lit("http://a.net/"), F.repeat(F.lit("abcdefghij"), size // 10)).alias("url"))
+        began = time.perf_counter()
+        url_filter.judge(url.withColumn("page_id", F.lit(1)), model).collect()
+        return time.perf_counter() - began
+
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    seconds(1000)
+    assert seconds(1_000_000) < 20  # a quadratic one would take hours
+
+
 def test_url_model_on_hosts_it_has_not_seen(spark):
     model = url_filter.fit(url_filter.labelled_urls(spark))
     bad = ["casino-bets", "super-pills", "adult-clips", "ads-click", "spam-spins", "meds-pills"]
