@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def _ranked(sets: DataFrame, frequency: DataFrame) -> DataFrame:
     """(id, token, size, rank): rank 1 is the rarest token of its set. frequency is a table, so that Spark can split the join at a common token."""
@@ -24,7 +26,7 @@ def _ranked(sets: DataFrame, frequency: DataFrame) -> DataFrame:
 def _frequency(*sets: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(sets[0].sparkSession)
     tokens = functools.reduce(DataFrame.union, [s.select(F.explode("tokens").alias("token")) for s in sets])
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).checkpoint()
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).transform(written)
 
 
 def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
@@ -64,13 +66,50 @@ def best_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.7, ea
     return best.select(F.col("a").alias("new_id"), "match_id", "overlap")
 
 
+def _scored(pairs: DataFrame, items: DataFrame, articles: DataFrame) -> DataFrame:
+    """(a, b, score) of the pairs (a, b)."""
+    x, y = items.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), articles.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    score = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", score.alias("score"))
+
+
 def relevance(items: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
-    """The k articles whose titles share most with an item's topics; those that share nothing are left out."""
-    ex = lambda d, x: d.select(F.col("id").alias(x), F.size("tokens").alias(f"n{x}"), F.explode("tokens").alias("token"))
-    shared = ex(items, "a").join(ex(articles, "b"), "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    score = F.col("c") / F.least("na", "nb")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return shared.withColumn("score", score).select(F.col("a").alias("item_id"), rank.alias("rank"), F.col("b").alias("article_id"), "score").where(F.col("rank") <= k)
+    """The k articles whose titles share most with an item's topics, of equals those of smaller id; those that share nothing are left out.
+
+    Top-k by a rising bound. Each token lists its articles by size and id; the first k of a list are looked at, which gives every
+    item a kth score that the result cannot fall below (an item that sees fewer has seen all there are). An article of n tokens
+    then needs so many shared tokens to reach that score, or to tie with it at a smaller id; it has one of them among the item's
+    rarest tokens but so many less one. So the item's common tokens meet only articles so small that one or two shared tokens are
+    enough, and of these only where the kth score does not exclude them. Both: id, tokens (distinct).
+    """
+    return _top(_seen(items, articles, k), k).select(F.col("a").alias("item_id"), "rank", F.col("b").alias("article_id"), "score")
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
+
+
+def _seen(items: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """(a, b, score) of all pairs that the bound does not exclude; each item's k best are among them."""
+    frequency = _frequency(articles)
+    postings = articles.select(F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("token")).transform(written)
+    listed = F.row_number().over(Window.partitionBy("token").orderBy("nb", "b"))
+    heads = postings.withColumn("at", listed).where(F.col("at") <= k).select("token", "b").transform(written)
+    ranked = _ranked(items, frequency).select(F.col("id").alias("a"), "token", F.col("size").alias("na"), "rank").transform(written)  # tokens that no article has are not ranked
+    first = _scored(ranked.join(heads, "token").select("a", "b").distinct(), items, articles).transform(written)
+    least = _top(first, k).where(F.col("rank") == k).select("a", F.col("score").alias("kth"), F.col("b").alias("kth_id"))
+    # what more a listed article could give: only lists that were cut off have more
+    more = ranked.join(frequency.where(F.col("f") > k).select("token"), "token", "left_semi").join(least, "a").join(ranked.groupBy("a").agg(F.count(F.lit(1)).alias("known")), "a")
+    widest = postings.agg(F.max("nb")).first()[0] or 0
+    sized = more.withColumn("nb", F.explode(F.sequence(F.lit(1), F.lit(widest))))
+    smaller = F.least("na", "nb")
+    reach = F.ceil(F.col("kth") * smaller - 1e-9)  # shared tokens that reach the kth score
+    ties = F.abs(reach - F.col("kth") * smaller) < 1e-9
+    last = F.col("known") - reach + 1
+    by_id = ties & ((reach == smaller) | (F.col("rank") == last))  # those that share more have an earlier token in common, or there is no more to share
+    some = sized.where(F.col("rank") <= last).select("a", "token", "nb", F.when(by_id, F.col("kth_id")).alias("below"))
+    second = some.join(postings, ["token", "nb"]).where("below IS NULL OR b < below").select("a", "b").distinct()
+    return first.union(_scored(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), items, articles))
 
 
 def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
@@ -104,41 +143,41 @@ def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 100_
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     one = F.lit(1)
-    edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).checkpoint()
-    labels = sets.select("id", F.col("id").alias("group_id")).checkpoint()
-    relabel = lambda moved: labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).checkpoint()
+    edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).transform(written)
+    labels = sets.select("id", F.col("id").alias("group_id")).transform(written)
+    relabel = lambda moved: labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).transform(written)
     while not edges.isEmpty():
-        rooted = edges.join(components(edges.select("a", "b")).select(F.col("id").alias("a"), "root"), "a").checkpoint()
-        sizes = rooted.groupBy("root").agg(F.count(one).alias("n")).checkpoint()
+        rooted = edges.join(components(edges.select("a", "b")).select(F.col("id").alias("a"), "root"), "a").transform(written)
+        sizes = rooted.groupBy("root").agg(F.count(one).alias("n")).transform(written)
         small = rooted.join(sizes.where(F.col("n") <= in_task).select("root"), "root", "left_semi").select("root", "a", "na", "b", "nb", "s.*")
-        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long").checkpoint()
+        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long").transform(written)
         labels = relabel(moved)
-        edges = rooted.join(sizes.where(F.col("n") > in_task).select("root"), "root", "left_semi").drop("root").checkpoint()
+        edges = rooted.join(sizes.where(F.col("n") > in_task).select("root"), "root", "left_semi").drop("root").transform(written)
         for _ in range(rounds):
             if edges.isEmpty():
                 break
-            best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).checkpoint()
+            best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).transform(written)
             chosen = edges.join(best.toDF("a", "s"), ["a", "s"], "left_semi").join(best.toDF("b", "s"), ["b", "s"], "left_semi")
-            joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).checkpoint()
-            moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).checkpoint()
+            joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).transform(written)
+            moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).transform(written)
             labels = relabel(moved)
             for x, n in (("a", "na"), ("b", "nb")):
                 edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
             edges = edges.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
             turned = F.col("a") > F.col("b")
             edges = edges.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
-            edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).checkpoint()
+            edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).transform(written)
     return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of the nodes of edges (a, b), root the least node of a component: labels spread and jump to their own label's label until none changes."""
-    both = edges.toDF("i", "j").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("root")).toDF("id", "root").checkpoint()
+    both = edges.toDF("i", "j").union(edges.select("b", "a")).distinct().transform(written)
+    labels = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("root")).toDF("id", "root").transform(written)
     while True:
         near = both.join(labels.toDF("j", "root"), "j").groupBy("i").agg(F.min("root").alias("near"))
         spread = labels.join(near.toDF("id", "near"), "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
-        labels = spread.join(labels.toDF("new", "jump"), "new").select("id", F.least("new", "jump").alias("root"), "old").checkpoint()
+        labels = spread.join(labels.toDF("new", "jump"), "new").select("id", F.least("new", "jump").alias("root"), "old").transform(written)
         if labels.where("root <> old").isEmpty():
             return labels.select("id", "root")
         labels = labels.select("id", "root")
@@ -153,14 +192,14 @@ def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     ensure_checkpoint_dir(titles.sparkSession)
     rows = titles.select("id", F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))
-    firsts = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("first")).checkpoint()
-    pairs = overlap_pairs(firsts.select(F.col("first").alias("id"), "tokens"), threshold).checkpoint()
+    firsts = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("first")).transform(written)
+    pairs = overlap_pairs(firsts.select(F.col("first").alias("id"), "tokens"), threshold).transform(written)
     left, lost = pairs.select("i", "j"), pairs.select("j").limit(0)
     while not left.isEmpty():
         held = left.select("i").distinct().join(left.select(F.col("j").alias("i")), "i", "left_anti")
-        out = left.join(held, "i", "left_semi").select("j").distinct().checkpoint()
-        left = left.join(out, "j", "left_anti").join(out.toDF("i"), "i", "left_anti").checkpoint()
-        lost = lost.union(out).checkpoint()
+        out = left.join(held, "i", "left_semi").select("j").distinct().transform(written)
+        left = left.join(out, "j", "left_anti").join(out.toDF("i"), "i", "left_anti").transform(written)
+        lost = lost.union(out).transform(written)
     ends = pairs.select(F.col("i").alias("first"), F.col("j").alias("to"), "overlap").union(pairs.select("j", "i", "overlap"))
     near = ends.join(lost.toDF("first"), "first", "left_semi").join(lost.toDF("to"), "to", "left_anti").groupBy("first", "overlap").agg(F.min("to").alias("to"))
     best = near.groupBy("first").agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("less"), "to"))).alias("near"))

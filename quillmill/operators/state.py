@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,66 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save(rows: DataFrame, path: str, version: int) -> str:
-    """K6: a new version beside the old ones, committed as a whole; readers take the version they were told."""
+    """K6: a new version beside the old ones, committed as a whole; readers take the version they were told. A version that is there stays: writing it again is an error."""
     out = f"{path}/v{version}"
-    rows.write.mode("overwrite").parquet(out)
+    rows.write.mode("error").parquet(out)
     return out
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """The last committed version of a table; 0 before the first."""
+    store, place = _place(spark, f"{root}/commits")
+    return max((int(f.getPath().getName()) for f in store.listStatus(place)), default=0) if store.exists(place) else 0
+
+
+def committed(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
+    """A version of a table; empty for version 0."""
+    if not version:
+        return spark.createDataFrame([], schema)
+    store, place = _place(spark, f"{root}/commits/{version:012}")
+    for _ in range(600):  # its writer may have made the name, and be about to say where the data is
+        with_name = store.open(place)
+        try:
+            name = bytes(with_name.readNBytes(64)).decode()
+        finally:
+            with_name.close()
+        if len(name) == 32:
+            return spark.read.schema(schema).parquet(f"{root}/data/{name}")
+        time.sleep(0.05)
+    raise RuntimeError(f"version {version} of {root} has no data: its writer broke off between its commit's name and content")
+
+
+def commit(spark: SparkSession, root: str, schema: str, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:
+    """K2, K6: the next version of a table, made of the last by ``change``; returns its number. No writer's rows are lost.
+
+    Data is written first, under a name of its own; then a commit of the next number is made, which only one writer can do. Who
+    comes second drops its data, reads the winner's version, and makes its change to that. Readers see whole versions only.
+    Needs a store that can create a file only if it is absent (HDFS and local files can).
+    """
+    for _ in range(tries):
+        version = latest(spark, root)
+        name = uuid.uuid4().hex
+        change(committed(spark, root, version, schema)).write.mode("error").parquet(f"{root}/data/{name}")
+        store, place = _place(spark, f"{root}/commits/{version + 1:012}")
+        try:
+            out = store.create(place, False)
+        except Exception:  # noqa: BLE001  any store's way to say that the file is there
+            if not store.exists(place):
+                raise
+            data = _place(spark, f"{root}/data/{name}")[1]
+            store.delete(data, True)
+            continue
+        out.write(bytearray(name.encode()))
+        out.close()
+        return version + 1
+    raise RuntimeError(f"{root}: {tries} other writers came first")
+
+
 def upserted(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """State with the rows of new in place of those of the same key."""
     return state.join(new.select(key), key, "left_anti").unionByName(new.select(*state.columns))
@@ -146,11 +202,11 @@ def with_missing(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows
 
 
-def write_articles(old: DataFrame, new: DataFrame, path: str, version: int, read_only: bool = False) -> str:
-    """K2: the articles with the new ones in place of those of the same path, as a new version. Both: path, text. Refused on a base that is only read."""
+def write_articles(spark: SparkSession, root: str, new: DataFrame, read_only: bool = False) -> int:
+    """K2: a base's articles (path, text) with the new ones in place of those of the same path, as a new version; its number. Refused on a base that is only read."""
     if read_only:
         raise PermissionError("this knowledge base is read-only")
-    return save(upserted(old, new, "path"), path, version)
+    return commit(spark, root, "path string, text string", lambda old: upserted(old, new, "path"))
 
 
 def listed(bases: DataFrame, parent: str | None = None) -> DataFrame:

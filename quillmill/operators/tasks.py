@@ -86,26 +86,6 @@ def longest_runs(rows: DataFrame, key: str, order: list[str], hit: Column) -> Da
     return runs.groupBy(key).agg(F.max("n").alias("longest_run"))
 
 
-def breaker_states(outcomes: DataFrame, key: str, order: list[str], seconds: str, failed: Column, threshold: int = 5, cooldown: float = 30.0) -> DataFrame:
-    """The state a circuit breaker is in after each call, by key. A call that comes while it is open is rejected and leaves no trace.
-
-    The state depends on all before it, so each key's calls are folded in order, inside the row.
-    """
-    rows = outcomes.select(key, F.struct(*order, F.col(seconds).alias("at"), failed.alias("failed")).alias("o")).groupBy(key).agg(F.sort_array(F.collect_list("o")).alias("os"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("fails"), F.lit(0.0).alias("opened"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, o: Column) -> Column:
-        rejected = (s["state"] == "open") & (o["at"] - s["opened"] < cooldown)
-        probe = s["state"] == "open"
-        fails = F.when(rejected, s["fails"]).when(o["failed"], F.when(probe, s["fails"]).otherwise(s["fails"] + 1)).otherwise(0)
-        state = F.when(rejected, "open").when(~o["failed"], "closed").when(probe | (fails >= threshold), "open").otherwise("closed")
-        opened = F.when(~rejected & (state == "open"), o["at"].cast("double")).otherwise(s["opened"])
-        return F.struct(state.alias("state"), fails.alias("fails"), opened.alias("opened"), F.concat(s["out"], F.array(F.when(rejected, "rejected").otherwise(state))).alias("out"))
-
-    folded = rows.select(key, "os", F.aggregate("os", start, step, lambda s: s["out"]).alias("states"))
-    return folded.select(key, F.explode(F.arrays_zip("os", "states")).alias("z")).select(key, *(F.col(f"z.os.{c}").alias(c) for c in order), F.col("z.states").alias("state"))
-
-
 def log_lines(operations: DataFrame) -> DataFrame:
     """A line for each operation of a run: '[op] target: prompt+completion tokens, $cost', four digits; an alert where it failed. operations: op, target, prompt, completion, cost, error."""
     tokens = F.concat(F.col("prompt").cast("string"), F.lit("+"), F.col("completion").cast("string"), F.lit(" tokens"))

@@ -65,13 +65,38 @@ def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.relevance(_topics(spark, sf_dir), _titles(spark, sf_dir))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE {_TOPICS},
+    x AS (SELECT id, w, count(*) OVER (PARTITION BY id) AS n FROM w1 WHERE r <= 12),
+    p AS (SELECT a.id AS i, b.id AS j, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND a.id < b.id
+          GROUP BY 1, 2 HAVING count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) >= 0.5),
+    nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM (SELECT i AS id FROM p UNION SELECT j FROM p)),
+    links AS (SELECT row_number() OVER (ORDER BY overlap DESC, i DESC, j DESC) AS k, a.pos AS a, b.pos AS b FROM p JOIN nodes AS a ON a.id = i JOIN nodes AS b ON b.id = j),
+    r(k, labels) AS (
+        SELECT 0::BIGINT, (SELECT list(pos ORDER BY pos) FROM nodes)
+        UNION ALL
+        SELECT l.k, CASE WHEN r.labels[l.a] <> r.labels[l.b] AND len(list_filter(r.labels, lambda x: x = r.labels[l.a] OR x = r.labels[l.b])) <= 8
+            THEN list_transform(r.labels, lambda x: CASE WHEN x = greatest(r.labels[l.a], r.labels[l.b]) THEN least(r.labels[l.a], r.labels[l.b]) ELSE x END) ELSE r.labels END
+        FROM r JOIN links AS l ON l.k = r.k + 1),
+    done AS (SELECT labels FROM r ORDER BY k DESC LIMIT 1)
+    SELECT doc_id, coalesce(g.id, doc_id) AS group_id FROM documents LEFT JOIN nodes AS n ON n.id = doc_id LEFT JOIN done ON n.id IS NOT NULL LEFT JOIN nodes AS g ON g.pos = done.labels[n.pos]""")
 def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _topics(spark, sf_dir)
     return overlap.cluster(overlap.overlap_pairs(sets, 0.5), sets).select(F.col("id").alias("doc_id"), "group_id")
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE {_TITLES},
+    p AS (SELECT a.id AS id, b.id AS j, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND b.id < a.id
+          GROUP BY 1, 2 HAVING count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) >= 0.7),
+    near AS (SELECT id, list(j ORDER BY overlap DESC, j) AS js FROM p GROUP BY id),
+    o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(js, []) AS js FROM documents LEFT JOIN near ON near.id = doc_id),
+    r(k, id, kept, into_id) AS (
+        SELECT 0::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT
+        UNION ALL
+        SELECT k, id, CASE WHEN hit IS NULL THEN list_append(kept, id) ELSE kept END, coalesce(hit, id)
+        FROM (SELECT o.k, o.id, r.kept, list_filter(o.js, lambda j: list_contains(r.kept, j))[1] AS hit FROM r JOIN o ON o.k = r.k + 1))
+    SELECT id AS doc_id, id = into_id AS kept, into_id AS merged_into FROM r WHERE k > 0""")
 def dedup_elect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.elect(_titles(spark, sf_dir)).select(F.col("id").alias("doc_id"), "kept", "merged_into")
 

@@ -27,7 +27,9 @@ class Lengths:
             return f"```\n{payload['text']}|{payload['summary']}\n```"
         if task == "merge_diff":
             return json.dumps({"patches": [{"action": "append_to_section", "section": "## Nowhere", "content": payload["summary"]}]}) if n % 2 else "no patches"
-        if task in ("select", "filter"):
+        if task == "select":
+            return json.dumps([sorted(path for path, line in payload["catalog"] if question in line) for question in payload["questions"]])
+        if task == "filter":
             return json.dumps(sorted(path for path, line in payload["catalog"] if payload["question"] in line))
         if task == "answer":
             return " ".join(f"See [{title}]({path})." for path, title in payload["articles"]) or "nothing"

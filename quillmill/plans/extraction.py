@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text
 from quillmill.operators import chunking, compose
-from quillmill.operators.overlap import ensure_checkpoint_dir
+from quillmill.operators.tables import written
 from quillmill.sources import extractions
 
-from .model import ModelEndpoint, call
+from .model import ModelEndpoint, answered
 
 FIELDS = ("summary", "topics", *extractions.LISTS)
 #: Which fields each of two or three parallel prompts owns.
@@ -25,8 +25,7 @@ SECOND_LEVEL = 5
 
 def kept(df: DataFrame) -> DataFrame:
     """What a model said is written before it is used twice."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return written(df)
 
 
 def chunks(docs: DataFrame, limit: int = chunking.LIMIT, threshold: int = 3) -> DataFrame:
@@ -54,7 +53,7 @@ def _folded(parsed: DataFrame, joiner: str) -> DataFrame:
 
 def chunked(rows: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
     """M1, M6: each chunk asked for all fields. rows: rel_path, no, chunk."""
-    answers = kept(call(rows.select("rel_path", "no", F.col("chunk").alias("text")), endpoint, "extract", ["rel_path", "no"], "rel_path string, no int"))
+    answers = answered(rows.select("rel_path", "no", F.col("chunk").alias("text")), endpoint, "extract", ["rel_path", "no"], "rel_path string, no int")
     return _folded(extractions.from_model(answers), " ")
 
 
@@ -65,7 +64,7 @@ def _joined(summaries: Column) -> Column:
 def summaries(rows: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
     """M3, M4: rel_path, n (chunks that could be summarised), text: their summaries in order; many of them are first merged by fives,
     and a five that cannot be merged is joined as it is. A document all of whose chunks fail has no row."""
-    said = kept(call(rows.select("rel_path", "no", F.col("chunk").alias("text")), endpoint, "summarize", ["rel_path", "no"], "rel_path string, no int"))
+    said = answered(rows.select("rel_path", "no", F.col("chunk").alias("text")), endpoint, "summarize", ["rel_path", "no"], "rel_path string, no int")
     good = said.where("error IS NULL AND answer <> ''").select("rel_path", "no", F.col("answer").alias("s"))
     whole = kept(good.groupBy("rel_path").agg(F.count(F.lit(1)).cast("int").alias("n"), _joined(F.collect_list(F.struct("no", "s"))).alias("text")))
     plan = whole.select("*", chunking.fan_out(F.col("n"), F.length("text")).alias("p"))
@@ -73,7 +72,7 @@ def summaries(rows: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
     large = plan.where("p.second_level").select("rel_path", "n", F.col("p.groups").alias("groups"))
     fives = good.join(large.select("rel_path"), "rel_path", "left_semi").groupBy("rel_path", F.floor(F.col("no") / SECOND_LEVEL).alias("five")).agg(_joined(F.collect_list(F.struct("no", "s"))).alias("text"))
     fives = kept(fives)
-    merged = kept(call(fives, endpoint, "merge_summaries", ["rel_path", "five"], "rel_path string, five long"))
+    merged = answered(fives, endpoint, "merge_summaries", ["rel_path", "five"], "rel_path string, five long")
     second = fives.join(merged, ["rel_path", "five"]).select("rel_path", F.col("five").alias("no"), F.when(F.col("error").isNull(), F.col("answer")).otherwise(F.col("text")).alias("s"))
     folded = second.groupBy("rel_path").agg(_joined(F.collect_list(F.struct("no", "s"))).alias("text"))
     return small.unionByName(large.join(folded, "rel_path"))
@@ -83,7 +82,7 @@ def summarised(rows: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
     """M2, M5: extraction from summaries, by one, two or three prompts that own fields each. A prompt that fails leaves its fields
     empty; a document of which all prompts or all summaries fail is unreadable."""
     parts = summaries(rows, endpoint).select("rel_path", "groups", F.col("text"), F.explode(F.slice(F.array(*map(F.lit, "ABC")), F.lit(1), F.col("groups"))).alias("part"))
-    answers = kept(call(parts.select("rel_path", "groups", "part", "text"), endpoint, "extract_group", ["rel_path", "groups", "part"], "rel_path string, groups int, part string"))
+    answers = answered(parts.select("rel_path", "groups", "part", "text"), endpoint, "extract_group", ["rel_path", "groups", "part"], "rel_path string, groups int, part string")
     parsed = kept(extractions.from_model(answers))
     out = None
     for k, owners in OWNERS.items():

@@ -8,17 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions import paths, text
+from quillmill.functions import text
 from quillmill.operators import catalog, chunking, compose, gates, overlap, retrieval, state
 
-from . import extraction, merging
+from . import extraction, merging, serial
 from .extraction import kept as _kept
-from .model import ModelEndpoint, call
-
-_CLASSES = "merge_into ARRAY<STRING>, create_new ARRAY<STRUCT<path:STRING, type:STRING, title:STRING>>"
+from .model import ModelEndpoint, answered
 
 
 @dataclass
@@ -28,6 +26,7 @@ class KnowledgeBase:
     articles: DataFrame  # path, title, type, text, sources
     catalog: DataFrame  # path, title, summary
     rejects: DataFrame  # ref, reason
+    cache: DataFrame | None = None  # key, answer: what classification asked in this run
 
 
 def extract(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, prompt_version: str = "p1", limit: int = chunking.LIMIT) -> DataFrame:
@@ -45,42 +44,6 @@ def extract(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = N
     return known.join(new.select("rel_path"), "rel_path", "left_anti").join(raw.select("rel_path"), "rel_path", "left_semi").select(*new.columns).unionByName(new)
 
 
-def classify(found: DataFrame, existing: DataFrame, endpoint: ModelEndpoint, per_prompt: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Operations (rel_path, action, path, type, title), and rejected paths.
-
-    A prompt shows per_prompt of the articles whose titles share words with the document's topics, those that overlap them most
-    first; more articles take more prompts. A document merges into what any prompt chose. What a document with several prompts
-    creates is said by one more, which shows all that was chosen, since an article for it may have stood in any of them.
-    """
-    items = found.select(F.col("rel_path").alias("id"), F.filter(F.flatten(F.transform("topics", text.title_words)), lambda w: w != "").alias("tokens"))
-    titles = existing.select(F.col("path").alias("id"), text.title_words(F.col("title")).alias("tokens"))
-    words = items.select("id", F.array_distinct("tokens").alias("tokens"))
-    shared = words.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w")).join(titles.select(F.col("id").alias("path"), F.size("tokens").alias("m"), F.explode("tokens").alias("w")), "w")
-    scored = shared.groupBy("id", "path").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("overlap"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "path"))
-    ranked = scored.select(F.col("id").alias("rel_path"), "path", rank.alias("rank")).withColumn("part", F.floor((F.col("rank") - 1) / per_prompt))
-    menus = ranked.groupBy("rel_path", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("catalog"))
-    none = F.array().cast("array<string>")
-    rows = found.select("rel_path", "topics").join(menus, "rel_path", "left").select("rel_path", F.coalesce("part", F.lit(0)).alias("part"), "topics", F.coalesce("catalog", none).alias("catalog"))
-    asked = _kept(call(rows, endpoint, "classify", ["rel_path", "part"], "rel_path string, part long"))
-    parsed = asked.select("rel_path", "part", F.from_json("answer", _CLASSES).alias("c"))
-    several = parsed.where("part > 0").select("rel_path").distinct()
-    chosen = parsed.join(several, "rel_path", "left_semi").groupBy("rel_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("c.merge_into", none))))).alias("catalog"))
-    last = _kept(call(found.select("rel_path", "topics").join(chosen, "rel_path").select("rel_path", "topics", "catalog"), endpoint, "classify", ["rel_path"], "rel_path string"))
-    said = F.from_json("answer", _CLASSES)
-    merged = chosen.select("rel_path", F.col("catalog").alias("into")).join(last.select("rel_path", said.alias("c")), "rel_path")
-    single = parsed.join(several, "rel_path", "left_anti").select("rel_path", "c")
-    c = single.unionByName(merged.select("rel_path", F.struct(F.array_union("into", F.coalesce("c.merge_into", none)).alias("merge_into"), F.col("c.create_new").alias("create_new")).alias("c")))
-    merges = c.select("rel_path", F.explode("c.merge_into").alias("path")).select("rel_path", F.lit("merge").alias("action"), "path", paths.type_of(F.col("path")).alias("type"), paths.title_of(F.col("path")).alias("title"))
-    creates = c.select("rel_path", F.explode("c.create_new").alias("n")).select("rel_path", F.lit("create").alias("action"), "n.path", "n.type", "n.title")
-    ops = merges.unionByName(creates)
-    valid = paths.is_article(F.col("path"))
-    # of equal paths the first create stays a create; the rest merge into it
-    first = ops.where(F.col("action") == "create").groupBy("path").agg(F.min("rel_path").alias("owner"))
-    settled = ops.where(valid).join(first, "path", "left").withColumn("action", F.when((F.col("action") == "create") & (F.col("rel_path") != F.col("owner")), "merge").otherwise(F.col("action"))).drop("owner")
-    return settled, ops.where(~valid).select(F.col("rel_path").alias("ref"), F.lit("bad article path").alias("reason"))
-
-
 def dedup_titles(ops: DataFrame, threshold: float = 0.7) -> DataFrame:
     """J10, W11 over the created titles: a title that overlaps an earlier one merges into its article."""
     created = ops.where("action = 'create'").select("path", "title").dropDuplicates(["path"])
@@ -101,7 +64,7 @@ def write(ops: DataFrame, found: DataFrame, endpoint: ModelEndpoint, existing: D
     whole = _kept(compose.combine(rows, "path", ["rel_path"]))
     head = ops.groupBy("path").agg(F.min_by("title", F.struct(F.when(F.col("action") == "create", 0).otherwise(1), "rel_path")).alias("title"), F.min("type").alias("type"))
     fresh = whole if existing is None else whole.join(existing.select("path"), "path", "left_anti")
-    made = _kept(call(fresh.join(head, "path"), endpoint, "write", ["path", "title", "type", "refs"], "path string, title string, type string, refs array<string>"))
+    made = answered(fresh.join(head, "path"), endpoint, "write", ["path", "title", "type", "refs"], "path string, title string, type string, refs array<string>")
     new = made.where("error IS NULL").select("path", "title", "type", text.strip_fence(F.col("answer")).alias("text"), F.col("refs").alias("sources"))
     if existing is None:
         return new
@@ -111,73 +74,93 @@ def write(ops: DataFrame, found: DataFrame, endpoint: ModelEndpoint, existing: D
     return new.unionByName(changed).unionByName(existing.select(*new.columns).join(merged.select("path"), "path", "left_anti"))
 
 
-def compile_kb(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, existing: DataFrame | None = None) -> KnowledgeBase:
-    """raw: rel_path, text. Extraction, classification, title dedup, writing and merging, and the catalog. existing: the articles there are (path, title, type, text, sources)."""
+def compile_kb(raw: DataFrame, endpoint: ModelEndpoint, known: DataFrame | None = None, existing: DataFrame | None = None, cache: DataFrame | None = None) -> KnowledgeBase:
+    """raw: rel_path, text. Extraction, classification (serial within clusters of like documents), title dedup, writing and merging, and the catalog.
+
+    existing: the articles there are (path, title, type, text, sources). cache: answers of earlier classifications (key, answer).
+    """
     spark = raw.sparkSession
     raw = raw.select("rel_path", "text", text.checksum(F.col("text")).alias("checksum"))
     found = _kept(extract(raw, endpoint, known))
     titles = existing if existing is not None else spark.createDataFrame([], "path string, title string")
-    ops, rejects = classify(found.where("NOT bad_answer"), titles, endpoint)
-    articles = write(_kept(dedup_titles(ops)), found, endpoint, existing)
+    readable = found.where("NOT bad_answer").withColumnRenamed("source_checksum", "checksum")
+    done = serial.classify(readable, titles.select("path", "title"), endpoint, serial.clusters(readable), cache)
+    articles = write(_kept(dedup_titles(done.ops)), found, endpoint, existing)
     body = text.split_frontmatter(F.col("text"))[1]
     entries = articles.select("path", "title", text.summary(F.lit(None).cast("string"), body, 150).alias("summary"))
     bad = found.where("bad_answer").select(F.col("rel_path").alias("ref"), F.lit("unreadable answer").alias("reason"))
-    return KnowledgeBase(raw, found, articles, entries, rejects.unionByName(bad))
+    return KnowledgeBase(raw, found, articles, entries, done.rejects.unionByName(bad), done.cache)
 
 
-_PARTS = 64
+_PARTS, _LINE_BUDGET = 64, 40_000
 
 
-def _catalog_column(kb: KnowledgeBase) -> DataFrame:
-    """The catalog as one row a batch of lines that fits a prompt."""
-    lines = kb.catalog.select("path", text.catalog_line(F.col("path"), F.col("title"), F.col("summary")).alias("line"), F.pmod(F.xxhash64("path"), F.lit(_PARTS)).alias("part"))
-    packed = chunking.pack_batches(lines, 40_000, "part", ["path"]).where("batch IS NOT NULL").join(lines.select("path", "line"), "path")
+def _catalog_prompts(kb: KnowledgeBase) -> DataFrame:
+    """The catalog as one row a batch of lines that fits a prompt; a line longer than that is cut to it."""
+    line = F.substring(text.catalog_line(F.col("path"), F.col("title"), F.col("summary")), 1, _LINE_BUDGET - 1)
+    lines = _kept(kb.catalog.select("path", line.alias("line"), F.pmod(F.xxhash64("path"), F.lit(_PARTS)).alias("part")))
+    packed = chunking.pack_batches(lines, _LINE_BUDGET, "part", ["path"]).join(lines.select("path", "line"), "path")
     return packed.groupBy("part", "batch").agg(F.array_sort(F.collect_list(F.array("path", "line"))).alias("catalog"))
 
 
-def _asked_of_catalog(kb: KnowledgeBase, questions: DataFrame) -> DataFrame:
-    """A row for each question and each prompt's worth of the catalog: every question reads all of it. Questions are dealt to the catalog's parts, and meet its prompts there by an equi join."""
-    rows = questions.select("question", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))).alias("part"))
-    return rows.join(_catalog_column(kb), "part").select("question", (F.col("part") * 1_000_000 + F.col("batch")).alias("batch"), "catalog")
-
+def retrieve(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint, k: int = 6, per_prompt: int = 50) -> DataFrame:
+    """Question, rank, path, title of each question, asked once however often it is there.
 
-def retrieve(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint, k: int = 6) -> DataFrame:
-    """Question, rank, path, title. questions: question. A prompt that fails chooses nothing."""
-    answers = _kept(call(_asked_of_catalog(kb, questions).withColumn("k", F.lit(k)), endpoint, "select", ["question"], "question string"))
-    chosen = answers.select("question", F.coalesce(F.from_json("answer", "array<string>"), F.array().cast("array<string>")).alias("paths"))
-    merged = chosen.groupBy("question").agg(F.flatten(F.array_sort(F.collect_list("paths"))).alias("paths"))
+    Every question reads the whole catalog, ``per_prompt`` of them at once: a prompt has a block of questions and as much of the
+    catalog as fits, and its answer a list of paths for each. A prompt that fails chooses nothing.
+    """
+    once = questions.where("question IS NOT NULL").select("question").distinct()
+    count = once.count()
+    blocks = once.groupBy(F.pmod(F.xxhash64("question"), F.lit(max(1, -(-count // per_prompt)))).alias("block")).agg(F.array_sort(F.collect_list("question")).alias("questions"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))))
+    prompts = _kept(blocks.join(_catalog_prompts(kb), "part").select("block", (F.col("part") * 1_000_000 + F.col("batch")).alias("batch"), "questions", "catalog", F.lit(k).alias("k")))
+    answers = answered(prompts, endpoint, "select", ["block", "batch"], "block long, batch long")
+    said = _kept(prompts.select("block", "batch", "questions").join(answers, ["block", "batch"]).select("batch", "questions", F.from_json("answer", "array<array<string>>").alias("lists")))
+    none = F.array().cast("array<string>")
+    chosen = said.select("batch", F.posexplode("questions").alias("i", "question"), "lists").select("batch", "question", F.coalesce(F.get("lists", F.col("i")), none).alias("paths"))
+    merged = chosen.groupBy("question").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch", "paths"))), lambda x: x["paths"])).alias("paths"))
     return retrieval.titled(catalog.selected(merged, kb.catalog, k), kb.catalog)
 
 
 def rewrite(questions: DataFrame, endpoint: ModelEndpoint) -> DataFrame:
     """Questions (question, history) with asked, what they say without their history. Without history that is the question, and no model is called; so too where a call fails."""
     blank = F.coalesce(F.trim("history"), F.lit("")) == ""
-    answers = _kept(call(questions.where(~blank).select("question", "history"), endpoint, "rewrite", ["question", "history"], "question string, history string"))
+    answers = answered(questions.where(~blank).select("question", "history").distinct(), endpoint, "rewrite", ["question", "history"], "question string, history string")
     said = answers.where("error IS NULL AND trim(answer) <> ''").select("question", "history", F.trim("answer").alias("asked"))
     return questions.join(said, ["question", "history"], "left").withColumn("asked", F.coalesce("asked", "question"))
 
 
 def ask(kb: KnowledgeBase, questions: DataFrame, endpoint: ModelEndpoint) -> tuple[DataFrame, DataFrame]:
-    """Answers (question, text) and their citations. questions: question, and history if there is one."""
+    """Answers (question, text) and their citations. questions: question, and history if there is one. A question that is there several times is answered once for each history it has."""
     if "history" in questions.columns:
-        rewritten = _kept(rewrite(questions, endpoint).select("question", "asked"))
-        hits = retrieve(kb, rewritten.select(F.col("asked").alias("question")).distinct(), endpoint)
-        found = _kept(rewritten.join(hits.withColumnRenamed("question", "asked"), "asked").drop("asked"))
-        questions = questions.select("question")
+        asked = _kept(rewrite(questions.select("question", "history").distinct(), endpoint).select("question", "asked").distinct())
     else:
-        found = _kept(retrieve(kb, questions, endpoint))
-    context = found.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "title"))).alias("a"))
-    rows = questions.join(context, "question", "left").select("question", F.transform(F.coalesce("a", F.array().cast("array<struct<rank:int,path:string,title:string>>")), lambda x: F.array(x["path"], x["title"])).alias("articles"))
-    answers = _kept(call(rows, endpoint, "answer", ["question"], "question string")).select("question", F.col("answer").alias("text"))
+        asked = _kept(questions.select("question", F.col("question").alias("asked")).distinct())
+    hits = retrieve(kb, asked.select(F.col("asked").alias("question")), endpoint)
+    found = _kept(asked.join(hits.withColumnRenamed("question", "asked"), "asked"))
+    context = found.groupBy("question", "asked").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "title"))).alias("a"))
+    none = F.array().cast("array<struct<rank:int,path:string,title:string>>")
+    rows = asked.join(context, ["question", "asked"], "left").select("question", "asked", F.transform(F.coalesce("a", none), lambda x: F.array(x["path"], x["title"])).alias("articles"))
+    answers = answered(rows, endpoint, "answer", ["question", "asked"], "question string, asked string").select("question", F.col("answer").alias("text"))
     return answers, retrieval.citations(answers, found.select("path", "title").distinct(), ["question"])
 
 
+#: What a pass over a catalog asks for: whatever could contribute to a topic, or only what is about it.
+RECALL, PRECISION = "recall", "precision"
+
+
+def on_topic(kb: KnowledgeBase, topic: str, endpoint: ModelEndpoint, mode: str = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The catalog's paths of a topic in order of mention, and how many were made up. All that any prompt chose counts; a prompt without an answer is an error, since a selection that is empty by mistake would lose everything."""
+    if mode not in (RECALL, PRECISION):
+        raise ValueError(f"unknown filter mode: {mode!r}")
+    rows = _catalog_prompts(kb).select((F.col("part") * 1_000_000 + F.col("batch")).alias("batch"), F.lit(topic).alias("question"), F.lit(mode).alias("mode"), "catalog")
+    answers = answered(rows, endpoint, "filter", ["batch"], "batch long")
+    return state.selected_batches(answers.select("batch", F.from_json("answer", "array<string>").alias("paths")), kb.catalog)
+
+
 def derive(kb: KnowledgeBase, topic: str, endpoint: ModelEndpoint) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents behind the articles of a topic, those copied with a matching extraction, and what was skipped. All that any prompt chose counts; a prompt without an answer is an error."""
-    spark = kb.raw.sparkSession
-    asked = _asked_of_catalog(kb, spark.range(1).select(F.lit(topic).alias("question")))
-    answers = _kept(call(asked, endpoint, "filter", ["batch"], "batch long"))
-    chosen = state.selected_batches(answers.select("batch", F.from_json("answer", "array<string>").alias("paths")), kb.catalog)[0]
+    """Documents behind the articles that could contribute to a topic, those copied with a matching extraction, and what was skipped."""
+    chosen = on_topic(kb, topic, endpoint, RECALL)[0]
     picked = kb.articles.join(chosen.select("path"), "path", "left_semi")
     refs = catalog.resolve_documents(picked, kb.raw)
     docs = kb.raw.join(refs.where("status = 'ok'").select(F.col("ref").alias("rel_path")), "rel_path", "left_semi")
@@ -186,6 +169,12 @@ def derive(kb: KnowledgeBase, topic: str, endpoint: ModelEndpoint) -> tuple[Data
     return docs, copied, skipped
 
 
+def focus(kb: KnowledgeBase, topic: str, endpoint: ModelEndpoint) -> tuple[DataFrame, DataFrame]:
+    """Of a derived base the catalog entries that are about its topic, and those that are not: its documents all came from the topic, so this pass asks narrowly."""
+    keep = _kept(on_topic(kb, topic, endpoint, PRECISION)[0])
+    return kb.catalog.join(keep.select("path"), "path", "left_semi"), prune(kb, keep)
+
+
 def prune(kb: KnowledgeBase, keep: DataFrame) -> DataFrame:
     """Articles off topic: catalog entries without a place in keep."""
     return catalog.off_topic(kb.catalog, keep)

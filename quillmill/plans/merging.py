@@ -11,7 +11,7 @@ from quillmill.functions import text
 from quillmill.operators import chunking, compose
 
 from .extraction import kept
-from .model import ModelEndpoint, call
+from .model import ModelEndpoint, answered
 
 _PATCHES = "patches ARRAY<STRUCT<action:STRING, section:STRING, after:STRING, heading:STRING, content:STRING>>"
 
@@ -26,12 +26,12 @@ def merge_into_articles(articles: DataFrame, news: DataFrame, endpoint: ModelEnd
     sized = articles.join(news, "path").withColumn("mode", chunking.merge_mode(F.octet_length("text"), F.length("text") + F.length("summary"), budget, large))
     sized = kept(sized)
     payload = ["path", "text", "summary", "topics", "refs"]
-    whole = kept(call(sized.where("mode = 'rewrite'").select(*payload), endpoint, "merge", ["path"], "path string"))
+    whole = answered(sized.where("mode = 'rewrite'").select(*payload), endpoint, "merge", ["path"], "path string")
     rewritten = whole.join(sized.select("path", F.col("text").alias("old")), "path")
     rewritten = rewritten.select("path", F.when(F.col("error").isNull() & (F.trim("answer") != ""), text.strip_fence(F.col("answer"))).otherwise(F.col("old")).alias("text"), F.lit("rewrite").alias("mode"))
     patched = sized.where("mode = 'diff'")
     shown = compose.cut_by_sections(patched.select(*payload), int(budget * 0.7))
-    answers = kept(call(shown, endpoint, "merge_diff", ["path"], "path string"))
+    answers = answered(shown, endpoint, "merge_diff", ["path"], "path string")
     none = F.array().cast("array<struct<action:string,section:string,after:string,heading:string,content:string>>")
     patches = answers.select("path", F.coalesce(F.from_json("answer", _PATCHES)["patches"], none).alias("patches"))
     changed = compose.apply_patches(patched.select("path", "text", F.array_join("refs", ", ").alias("source")).join(patches, "path"), today or datetime.date.today().isoformat())

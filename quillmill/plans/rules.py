@@ -33,16 +33,17 @@ def completed_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.completed(before, now).select(_D("rel_path").cast("long").alias("doc_id"), F.array_join("ops", ",").alias("ops"))
 
 
-@query(f"SELECT doc_id, {SUM16} || '-a' || doc_id % 5 || '-' || lang AS key, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 < 3 THEN 'answer ' || doc_id END AS answer FROM documents")
+@query(f"""
+    WITH i AS (SELECT doc_id, {SUM16} || '-a' || doc_id % 5 || '-' || lang AS key FROM documents),
+    c AS (SELECT key, min('answer ' || doc_id) AS answer FROM i WHERE doc_id % 3 <> 0 AND doc_id % 5 < 3 GROUP BY key)
+    SELECT doc_id, key, answer FROM i LEFT JOIN c USING (key)""")
 def classify_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the cache; null where a model has to be asked."""
+    """What the cache holds for each document's text, articles and categories; null where a model has to be asked. Equal texts share a key."""
     docs = table(spark, sf_dir, "documents")
-    items = docs.select("doc_id", "text", state.cache_key(text.checksum(_D("text")), F.concat(F.lit("a"), _s(_D("doc_id") % 5)), _D("lang")).alias("key")).drop("text")
-    answers = items.where("doc_id % 3 <> 0 AND doc_id % 5 < 3")
-    cache = answers.select("key", F.concat(F.lit("answer "), _s(_D("doc_id"))).alias("answer")).groupBy("key").agg(F.min("answer").alias("answer"))
-    own = F.when(_D("answer").isNotNull(), F.concat(F.lit("answer "), _s(_D("doc_id"))))  # equal texts share a key
+    items = docs.select("doc_id", state.cache_key(text.checksum(_D("text")), F.concat(F.lit("a"), _s(_D("doc_id") % 5)), _D("lang")).alias("key"))
+    cache = items.where("doc_id % 3 <> 0 AND doc_id % 5 < 3").groupBy("key").agg(F.min(F.concat(F.lit("answer "), _s(_D("doc_id")))).alias("answer"))
     hit, miss = state.cached(items, cache)
-    return hit.select("doc_id", "key", F.when((_D("doc_id") % 3 != 0) & (_D("doc_id") % 5 < 3), own).alias("answer")).union(miss.select("doc_id", "key", F.lit(None).cast("string")))
+    return hit.select("doc_id", "key", "answer").union(miss.select("doc_id", "key", F.lit(None).cast("string")))
 
 
 @query("SELECT p_partkey, substr(sha256(strlen(p_name) || ':' || p_name || strlen(p_type) || ':' || p_type || '0:'), 1, 12) AS digest FROM part")
@@ -196,14 +197,14 @@ def extraction_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_documents(spark, sf_dir).select("doc_id", text.extraction_size(_D("rel_path"), {"summary": _D("text"), "action_items": items}).alias("size"))
 
 
-@query("SELECT doc_id, (strlen(text) <= 1000) AS whole, starts_with(text, text) AS part, CASE WHEN strlen(text) <= 1000 THEN strlen(text) END AS bytes FROM documents")
+@query("""
+    WITH h AS (SELECT doc_id, strlen(text) <= 1000 AS whole, CASE WHEN strlen(text) <= 1000 THEN text ELSE substr(text, 1, list_max(list_filter(range(250, 1001), lambda n: strlen(substr(text, 1, n::INT)) <= 1000))::INT) END AS head FROM documents)
+    SELECT doc_id, whole, strlen(head) AS bytes, md5(head) AS digest FROM h""")
 def task_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A head is the start of its text, and the text itself if that is short; no character is cut."""
+    """As many characters of a text as fit a thousand bytes."""
     head = text.head_of(_D("text"), 1000)
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", head.alias("h"))
-    whole = F.octet_length("text") <= 1000
-    sound = _D("text").startswith(_D("h")) & (whole | F.octet_length("h").between(997, 1000))
-    return rows.select("doc_id", whole.alias("whole"), sound.alias("part"), F.when(whole, F.octet_length("h").cast("long")).alias("bytes"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") <= 1000).alias("whole"), head.alias("h"))
+    return rows.select("doc_id", "whole", F.octet_length("h").cast("long").alias("bytes"), F.md5("h").alias("digest"))
 
 
 @query("""

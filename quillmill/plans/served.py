@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths, text
-from quillmill.operators import retrieval, tasks
+from quillmill.operators import folds, retrieval, tasks
 from quillmill.sources import html
 
 from .registry import REL_PATH, query, raw_documents, table
@@ -200,10 +200,22 @@ def miss_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", seconds, F.col("event_type").isin("error", "click").alias("failed"))
-    out = tasks.breaker_states(events, "user_id", ["ts", "event_id"], "at", F.col("failed"), threshold=2, cooldown=3000.0)
+    out = folds.breaker_states(events, "user_id", ["ts", "event_id"], "at", "failed", threshold=2, cooldown=3000.0)
     return out.select("user_id", "event_id", "state")
 
 
+@query("""
+    WITH e AS (SELECT user_id % 40 AS model, event_id, ts, event_type IN ('purchase', 'signup') AS hit FROM events),
+    m AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS i, sum(hit::INT) OVER (PARTITION BY model ORDER BY ts, event_id) AS island FROM e),
+    r AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY model, island ORDER BY i) AS missed FROM m),
+    f AS (SELECT model, min(i) FILTER (missed >= 10) AS off FROM r GROUP BY model)
+    SELECT model, event_id, off IS NULL OR i <= off AS cached FROM r JOIN f USING (model)""")
+def cache_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every call whether its model's prompt cache was on: off from ten misses in a row on."""
+    calls = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("model"), "ts", "event_id", F.col("event_type").isin("purchase", "signup").alias("hit"))
+    return folds.cache_states(calls, "model", ["ts", "event_id"], "hit").select("model", "event_id", "cached")
+
+
 @query()
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(table(spark, sf_dir, "pages"))

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths, text
-from quillmill.operators import catalog, chunking, compose, gates, grounding, overlap, retrieval, tasks
+from quillmill.operators import catalog, chunking, compose, folds, gates, grounding, overlap, retrieval, tasks
 
 
 def one(spark, expr, **columns):
@@ -114,6 +115,25 @@ def test_relevance(spark):
     assert got == [(1, 1, 1.0), (2, 2, 1.0)]
 
 
+def test_relevance_equals_all_pairs_and_meets_few(spark):
+    rng = random.Random(5)
+    words = [f"r{i}" for i in range(60)] + ["the", "of"] * 40
+    make = lambda n, most: [(7 * i % 1009, sorted(set(rng.choices(words, k=rng.randint(0, most))))) for i in range(n)]
+    items, articles = make(60, 7), make(400, 5)
+    a, b = (spark.createDataFrame(x, "id long, tokens array<string>") for x in (items, articles))
+    for k in (1, 3, 20):
+        want = set()
+        for i, t in items:
+            scored = sorted((-len(set(t) & set(u)) / min(len(t), len(u)), j) for j, u in articles if set(t) & set(u))
+            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])}
+        assert {tuple(r) for r in overlap.relevance(a, b, k).collect()} == want
+    # a word of all titles: only titles that hold the kth score off are met
+    common = spark.createDataFrame([(i, ["all", f"w{i}"]) for i in range(2000)], "id long, tokens array<string>")
+    asked = spark.createDataFrame([(i, ["all", f"w{i}", f"w{i + 1}", "none"]) for i in range(0, 1000, 10)], "id long, tokens array<string>")
+    assert {(r.item_id, r["rank"], r.article_id) for r in overlap.relevance(asked, common, 2).collect()} == {(i, j + 1, i + j) for i in range(0, 1000, 10) for j in (0, 1)}
+    assert overlap._seen(asked, common, 2).count() <= 100 * 4
+
+
 def test_cluster_cap(spark):
     df = sets(spark, *["xyz"] * 10)
     got = overlap.cluster(overlap.overlap_pairs(df, 0.3), df, cap=4).groupBy("group_id").count().collect()
@@ -297,10 +317,45 @@ def test_prices(spark):
     assert [r.input for r in tasks.resolve_prices(df, [("gpt-4o", 2.5, 10.0)]).collect()] == [3.0, 5.0, 2.5, 2.5]
 
 
+def test_folds_over_ranges_equal_a_walk(spark):
+    rng = random.Random(8)
+    rows, at = [], 0.0
+    for i in range(1500):
+        at += rng.choice([0, 0, 1, 4, 40])
+        rows.append(("hot" if i % 5 else f"k{i % 4}", i, at, rng.random() < 0.55))
+    rows.append((None, 5000, 1.0, True))
+    df = spark.createDataFrame(rows, "k string, i long, at double, bad boolean").repartition(7)
+    breaker, toggle = folds.Breaker(3, 30.0), folds.Toggle(4)
+    want_states, want_cached = {}, {}
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k]
+        seen = breaker.walk(breaker.start, np.array([r[2] for r in mine]), np.array([r[3] for r in mine]))[0]
+        want_states |= {r[1]: s for r, s in zip(mine, seen, strict=True)}
+        want_cached |= {r[1]: s for r, s in zip(mine, toggle.walk(toggle.start, np.array([r[3] for r in mine]))[0], strict=True)}
+    out = folds.breaker_states(df, "k", ["i"], "at", "bad", 3, 30.0)
+    assert {r.i: r.state for r in out.collect()} == want_states and {"open", "closed", "rejected"} == set(want_states.values())
+    assert {r.i: r.cached for r in folds.cache_states(df, "k", ["i"], "bad", 4).collect()} == want_cached
+    assert folds.cache_states(df.limit(0), "k", ["i"], "bad").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_fold_tables_say_what_walks_do(seed):
+    rng = random.Random(seed)
+    n, threshold, cooldown = rng.randint(1, 14), rng.randint(1, 4), rng.choice([0.0, 1.0, 3.0, 10.0])
+    at, failed = np.sort(np.array([rng.choice([0, 1, 2, 3, 5, 8, 13]) + rng.random() * rng.choice([0, 1]) for _ in range(n)])), np.array([rng.random() < 0.6 for _ in range(n)])
+    breaker, toggle = folds.Breaker(threshold, cooldown), folds.Toggle(threshold)
+    plain = lambda s: (s[0], s[1] if s[0] else 0, 0 if s[0] else s[2])
+    for state in [[False, 0.0, k] for k in range(threshold)] + [[True, at[0] - x, threshold] for x in (0, 0.5, 1, 2.9, 3, 9, 20)]:
+        assert plain(breaker.apply(breaker.table(at, failed), state)) == plain(breaker.walk(state, at, failed)[1])
+    for state in [[k, False] for k in range(threshold)] + [[threshold, True]]:
+        got, want = toggle.apply(toggle.table(failed), state), toggle.walk(state, failed)[1]
+        assert got[1] == want[1] and (want[1] or got[0] == want[0])
+
+
 def test_breaker(spark):
     outcomes = [(0, True), (1, True), (2, False), (3, True), (4, True), (5, True), (10, False), (36, True), (50, False), (70, False), (71, True)]
     df = spark.createDataFrame([("k", i, float(at), bad) for i, (at, bad) in enumerate(outcomes)], "k string, i int, at double, bad boolean")
-    got = [r.state for r in tasks.breaker_states(df, "k", ["i"], "at", F.col("bad"), threshold=3).orderBy("i").collect()]
+    got = [r.state for r in folds.breaker_states(df, "k", ["i"], "at", "bad", threshold=3).orderBy("i").collect()]
     assert got == ["closed", "closed", "closed", "closed", "closed", "open", "rejected", "open", "rejected", "closed", "closed"]
 
 
