@@ -202,7 +202,7 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_terms: int, ri
     return p[:n_terms], np.cumsum(np.concatenate([p[n_terms : n_terms + 1], np.exp(p[n_terms + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, max_terms: int = 2000, ridge: float = 0.3) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, max_terms: int = 2000, ridge: float = 1.0) -> Model | None:
     """None if the labelled rows lack a class."""
     sample = _sample(docs, labels, max_toxic, max_clean).persist()
     try:
@@ -235,11 +235,17 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
     return Model(vocabulary, *_fit(x, y, len(vocabulary), ridge))
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """docs, whole, with severity (expected grade), p_toxic, grade (the likeliest) and toxic (p_toxic reaches the threshold)."""
+#: A toxic document that stays costs as much as four others that go: rejecting pays from this probability on. Where labels make
+#: even a text without any telling term likely to be toxic, twice its probability is asked for, a half at most.
+THRESHOLD = 0.2
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, whole, with severity (expected grade), p_toxic, grade (the likeliest) and toxic (p_toxic reaches the threshold, see THRESHOLD)."""
     docs = docs.drop(*(c.split()[0] for c in SCORES.split(", ")))
     if model is None:
         return docs.selectExpr("*", "0.0D AS severity", "0.0D AS p_toxic", "0 AS grade", "false AS toxic")
+    least = max(threshold, min(0.5, 2 * (1 - float(model.distribution(np.zeros(1))[0, 0]))))
     at = docs.columns.index("text")
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -251,7 +257,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
             window, ids, n, sizes, first = counts.of(pc.fill_null(batch.column(at), ""))
             total = np.maximum.reduceat(np.bincount(window, np.log1p(n) * model.weights[ids], len(sizes)), first[:-1])
             p = model.distribution(total)
-            added = [pa.array(p @ np.arange(GRADES)), pa.array(1 - p[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(1 - p[:, 0] >= threshold)]
+            added = [pa.array(p @ np.arange(GRADES)), pa.array(1 - p[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(1 - p[:, 0] >= least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*columns, "severity", "p_toxic", "grade", "toxic"])
 
     return docs.mapInArrow(run, f"{schema}, {SCORES}")
