@@ -49,7 +49,7 @@ def test_entry(spark):
 
 
 def test_native_operators_have_no_python_in_their_plans(spark, sf_dir):
-    python = ("patch_apply", "page_text", "chunked_extract", "merge_articles", "pack_batches", "task_replay", "rewritten_questions", "written_articles", "cited_answers", "derived_documents")
+    python = ("patch_apply", "page_text", "chunked_extract", "merge_articles", "pack_batches", "task_replay", "rewritten_questions", "written_articles", "cited_answers", "derived_documents", "breaker_trace", "cache_toggle", "serial_classes")
     for name in sorted(set(QUERIES) - set(python)):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
