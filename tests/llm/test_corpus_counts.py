@@ -114,7 +114,7 @@ ODD_SOURCES = [
 
 def test_divergence_of_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in ODD_SOURCES], "lang string, source string, text string, rank int, term string")
-    for k, settle in ((200, 4096), (7, 3), (3, 1)):
+    for k, settle in ((200, 4096), (3, 1)):
         got = sorted(tuple(r) for r in divergence.divergence(docs.repartition(3), k=k, settle=settle).collect())
         assert got == plain_divergence(ODD_SOURCES, k)
     assert {r.value for r in divergence.divergence(docs.where("lang = 'es'")).collect()} == {0}
@@ -131,7 +131,7 @@ def test_terms_of_long_texts_in_stretches():
 def test_radix_select_ranks_large_values_and_ties_by_bytes(spark):
     rows = [("g", f"{'long prefix ' * 9}{i % 97:03d}é{i}", (i % 5) << 60 if i % 3 else i) for i in range(900)] + [("h", "one", 0), ("h", "", 0)] + [("t", "a" * i, 7) for i in range(1, 40)]
     table = spark.createDataFrame(rows, "g string, item string, value long")
-    for k in (1, 60, 200, 899, 2000):
+    for k in (1, 200, 899):
         got = {tuple(r) for r in divergence.top(table, ["g"], k, settle=2).select("g", "item", "value").collect()}
         want = {r for g in "ght" for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1].encode()))[:k]}
         assert got == want
