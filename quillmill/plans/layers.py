@@ -17,7 +17,7 @@ from .registry import REL_PATH, SUM16, query, raw_documents
 
 
 def _records(docs: DataFrame) -> DataFrame:
-    """An extraction of each document: every line that is not blank is a claim, every heading a concept."""
+    """An extraction of each document: every line that is not blank is a claim, and the first two are concepts."""
     empty = {f.name: f.dataType for f in extractions.SCHEMA.fields}
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     made = {
