@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ ELLIPSIS = "…"
 NOTICE = "\n\n[truncated: article exceeds the context budget]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it: inside lambdas Spark would compute it again each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def newline_normalised(text: Column) -> Column:
     """Universal newlines, before anything is hashed."""
     return F.regexp_replace(text, r"\r\n?", "\n")

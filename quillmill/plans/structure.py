@@ -123,7 +123,7 @@ def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT doc_id, max(m) AS kept FROM t WHERE m > 0 AND list_sum(list_transform(ws[1:m], lambda x: length(x) + 1)) - 1 <= 600 GROUP BY 1)
     SELECT doc_id, coalesce(kept, 0)::INT AS topics, least(total, greatest(600 - coalesce(list_sum(list_transform(ws[1:coalesce(kept, 0)], lambda x: length(x) + 1)), 0), 0))::INT AS summary_chars FROM w LEFT JOIN f USING (doc_id)""")
 def fit_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
     kept = chunking.fit_fields({"topics": (F.col("w"), True), "summary": (F.col("text"), False)}, 600)
     return table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w")).select("doc_id", F.size(kept["topics"]).alias("topics"), F.length(kept["summary"]).alias("summary_chars"))
 

@@ -242,6 +242,10 @@ def test_batches_over_ranges_are_those_of_a_plain_loop(spark):
     assert chunking.pack_batches(df.limit(0), 20, "source", ["path"]).count() == 0
     assert one(spark, chunking.halving_fit(F.array_repeat(F.lit(9), 37), 100)) == 9
     assert one(spark, chunking.halving_fit(F.array_repeat(F.lit(200), 3), 100)) == 0
+    words = spark.createDataFrame([(["a", "bc", "d", "e"], "text")], "w array<string>, t string")
+    fitted = words.select(*chunking.fit_fields({"w": (F.col("w"), True), "t": (F.col("t"), False)}, 6).values())
+    assert tuple(fitted.first()) == (["a", "bc"], "t")
+    assert "<= aggregate(" not in fitted._jdf.queryExecution().optimizedPlan().toString()  # what fits is counted once, not for every try
     assert one(spark, chunking.strategy(F.lit("auto"), F.lit(3))) == "summarize"
     with pytest.raises(Exception, match="unknown strategy"):
         one(spark, chunking.strategy(F.lit("odd"), F.lit(3)))
