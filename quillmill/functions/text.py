@@ -61,7 +61,8 @@ def summary(declared: Column, body: Column, limit: int = 200) -> Column:
 def capped_list(items: Column, limit: int, mark: str = ", " + ELLIPSIS) -> Column:
     """Items joined by ', ' while they fit; a cut leaves whole items and the mark. The last item may use all of the limit."""
     n = F.size(items)
-    ends = F.transform(items, lambda x, i: F.aggregate(F.slice(items, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y) + 2) - 2)
+    first = F.slice(items, 1, limit // 2 + 2)  # each takes two characters at least, so one of these does not fit, or there are no more
+    ends = F.transform(first, lambda x, i: F.aggregate(F.slice(items, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y) + 2) - 2)
     fits = F.transform(ends, lambda e, i: e <= F.when(i < n - 1, F.lit(limit - len(mark))).otherwise(F.lit(limit)))
     stop = F.array_position(fits, F.lit(False))
     kept = F.when(stop == 0, n).otherwise((stop - 1).cast("int"))

@@ -311,6 +311,10 @@ def test_people(spark):
     articles = spark.createDataFrame([("wiki/a.md", "A", "[[AL|x]] [[Bobby]] [[nobody]]"), ("wiki/b.md", "B", "[[ann lee]]")], "path string, title string, text string")
     assert {tuple(r) for r in retrieval.mentions(articles, people).collect()} == {("Bob", 2, 1), ("Ann Lee", 1, 1)}
     own = spark.createDataFrame([("wiki/people/bob.md", False)], "path string, is_stub boolean")
+    many = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("path"), F.format_string("t%04d", "id").alias("title"), F.lit("[[Ann Lee]] [[ann]]").alias("text"))
+    stubs = retrieval.person_stubs(many, people.where("canonical = 'Ann Lee'").withColumn("aliases", F.array(F.lit("ann"))), own)
+    assert stubs.first().summary == "Person stub, 2000 mentions in: " + ", ".join(f"t{i:04}" for i in range(22)) + ", …"
+    assert "collect_set" not in stubs._jdf.queryExecution().optimizedPlan().toString()  # a person's titles are not brought together
     assert [tuple(r) for r in retrieval.person_stubs(articles, people, own).collect()] == [("wiki/people/ann-lee.md", "Ann Lee", "Person stub, 1 mention in: B")]
 
 
