@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -58,58 +58,75 @@ def overlap_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def best_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.7, earlier: bool = False) -> DataFrame:
     """For each new title the existing one it overlaps most; of equals, the earliest. Both: id, tokens. On request only those of smaller id."""
-    frequency = _frequency(new, existing)
-    a, b = _ranked(new, frequency), _ranked(existing, frequency)
-    found = _candidates(a, b, threshold).union(_candidates(b, a, threshold).select("b", "a")).distinct()
-    scored = _overlaps(found.where("b < a") if earlier else found, new, existing, threshold)
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("overlap", -F.col("b"))).alias("match_id"), F.max("overlap").alias("overlap"))
-    return best.select(F.col("a").alias("new_id"), "match_id", "overlap")
+    best = _nearest(new, existing, 1, earlier).select(F.col("a").alias("new_id"), F.get("best", F.lit(0)).alias("m"))
+    return best.select("new_id", F.col("m.b").alias("match_id"), (-F.col("m.less")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
-def _scored(pairs: DataFrame, items: DataFrame, articles: DataFrame) -> DataFrame:
-    """(a, b, score) of the pairs (a, b)."""
-    x, y = items.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), articles.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    score = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", score.alias("score"))
+def relevance(items: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
+    """The k articles whose titles share most with an item's topics, of equals those of smaller id; those that share nothing are left out. Both: id, tokens (distinct)."""
+    rows = _nearest(items, articles, k).select(F.col("a").alias("item_id"), F.posexplode("best").alias("at", "m"))
+    return rows.select("item_id", (F.col("at") + 1).alias("rank"), F.col("m.b").alias("article_id"), (-F.col("m.less")).alias("score"))
 
 
-def relevance(items: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
-    """The k articles whose titles share most with an item's topics, of equals those of smaller id; those that share nothing are left out.
+def _coded(sets: DataFrame, codes: DataFrame) -> DataFrame:
+    """id, n (the set's size) and t, the codes of its tokens that have one, rarest first; sets without any are left out."""
+    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(codes.select("token", "code"), "token")
+    return rows.groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("t")).transform(written)
+
+
+def _codes(frequency: DataFrame) -> DataFrame:
+    """frequency with code: numbers that ascend with frequency."""
+    return frequency.orderBy("f", "token").withColumn("code", F.monotonically_increasing_id()).transform(written)
+
+
+def _longer(rows: DataFrame, last: Column) -> DataFrame:
+    """rows (t, s, p) with s, of which the last is t's item p, longer by each later item of t as far as index last; those that were not longer go."""
+    reach = F.when(F.col("p") < last, F.sequence(F.col("p") + 1, last))
+    return rows.withColumn("p", F.explode(reach)).withColumn("s", F.concat("s", F.array(F.get("t", "p"))))
 
-    Top-k by a rising bound. Each token lists its articles by size and id; the first k of a list are looked at, which gives every
-    item a kth score that the result cannot fall below (an item that sees fewer has seen all there are). An article of n tokens
-    then needs so many shared tokens to reach that score, or to tie with it at a smaller id; it has one of them among the item's
-    rarest tokens but so many less one. So the item's common tokens meet only articles so small that one or two shared tokens are
-    enough, and of these only where the kth score does not exclude them. Both: id, tokens (distinct).
+
+def _nearest(items: DataFrame, articles: DataFrame, k: int, earlier: bool = False) -> DataFrame:
+    """(a, best): for each item that shares a token with an article the k articles of highest overlap, of equals those of smaller id; best has structs of less (the overlap, negative) and b."""
+    return _seen(items, articles, k, earlier).groupBy("a").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list("m"))), 1, k).alias("best"))
+
+
+def _seen(items: DataFrame, articles: DataFrame, k: int, earlier: bool = False) -> DataFrame:
+    """(a, m): the pairs that are made, some more than once; each item's k best are among them.
+
+    Lists of articles by what they have in common. Tokens s that an article has list it, by its size and id. If s is all that an
+    article shares with an item, others of its size on that list share as much or more; so unless it is among the first k of them, k
+    others precede it in the result. It is then enough to see the first k by size of each list whose tokens an item has. Lists of
+    no more than k are seen whole, and longer s need not be looked at; nor such that list the same articles as s without its last
+    token. Work grows with the lists, and no pair of an item and an article that is not first on one is made.
+    With earlier, only articles of smaller id than the item count: if the first on a list does not, no other does; k is 1 then.
     """
-    return _top(_seen(items, articles, k), k).select(F.col("a").alias("item_id"), "rank", F.col("b").alias("article_id"), "score")
-
-
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
-
-
-def _seen(items: DataFrame, articles: DataFrame, k: int) -> DataFrame:
-    """(a, b, score) of all pairs that the bound does not exclude; each item's k best are among them."""
-    frequency = _frequency(articles)
-    postings = articles.select(F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("token")).transform(written)
-    listed = F.row_number().over(Window.partitionBy("token").orderBy("nb", "b"))
-    heads = postings.withColumn("at", listed).where(F.col("at") <= k).select("token", "b").transform(written)
-    ranked = _ranked(items, frequency).select(F.col("id").alias("a"), "token", F.col("size").alias("na"), "rank").transform(written)  # tokens that no article has are not ranked
-    first = _scored(ranked.join(heads, "token").select("a", "b").distinct(), items, articles).transform(written)
-    least = _top(first, k).where(F.col("rank") == k).select("a", F.col("score").alias("kth"), F.col("b").alias("kth_id"))
-    # what more a listed article could give: only lists that were cut off have more
-    more = ranked.join(frequency.where(F.col("f") > k).select("token"), "token", "left_semi").join(least, "a").join(ranked.groupBy("a").agg(F.count(F.lit(1)).alias("known")), "a")
-    widest = postings.agg(F.max("nb")).first()[0] or 0
-    sized = more.withColumn("nb", F.explode(F.sequence(F.lit(1), F.lit(widest))))
-    smaller = F.least("na", "nb")
-    reach = F.ceil(F.col("kth") * smaller - 1e-9)  # shared tokens that reach the kth score
-    ties = F.abs(reach - F.col("kth") * smaller) < 1e-9
-    last = F.col("known") - reach + 1
-    by_id = ties & ((reach == smaller) | (F.col("rank") == last))  # those that share more have an earlier token in common, or there is no more to share
-    some = sized.where(F.col("rank") <= last).select("a", "token", "nb", F.when(by_id, F.col("kth_id")).alias("below"))
-    second = some.join(postings, ["token", "nb"]).where("below IS NULL OR b < below").select("a", "b").distinct()
-    return first.union(_scored(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), items, articles))
+    codes = _codes(_frequency(articles))
+    posts = _coded(articles, codes).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("t").alias("p", "code"), "t").select("b", "nb", "t", "p", F.array("code").alias("s"))
+    asked = _coded(items, codes).select(F.col("id").alias("a"), F.col("n").alias("na"), F.posexplode("t").alias("p", "code"), "t").select("a", "na", "t", "p", F.array("code").alias("s"))
+    end = F.size("t") - 1
+    found, parents = None, None
+    while True:
+        posts = posts.transform(written)
+        counted = posts.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+        if parents is not None:
+            shorter = parents.select(F.col("s").alias("_s"), F.col("m").alias("_m"))
+            counted = counted.join(shorter, F.slice("s", F.lit(1), F.size("s") - 1) == F.col("_s")).where("m < _m").select("s", "m")
+        counted = counted.transform(written)
+        at = F.row_number().over(Window.partitionBy("s", "nb").orderBy("b"))
+        heads = posts.withColumn("at", at).where(F.col("at") <= k).groupBy("s").agg(F.collect_list(F.struct("nb", "b", "t")).alias("heads"))
+        lists = counted.join(heads, "s").transform(written)
+        met = asked.join(lists, "s")
+        scored = F.transform("heads", lambda h: F.struct((-F.size(F.array_intersect("t", h["t"])) / F.least("na", h["nb"])).alias("less"), h["b"].alias("b")))
+        scored = F.filter(scored, lambda x: x["b"] < F.col("a")) if earlier else scored
+        here = met.select("a", "na", "t", "p", "s", "m", F.slice(F.sort_array(scored), 1, k).alias("best")).transform(written)
+        some = here.where(F.size("best") > 0).select("a", "best")
+        found = some if found is None else found.union(some)
+        parents = counted.where(F.col("m") > k)
+        posts = _longer(posts.join(parents.select("s"), "s", "left_semi"), end).select("b", "nb", "t", "p", "s")
+        asked = _longer(here.where(F.col("m") > k), end).select("a", "na", "t", "p", "s")
+        if parents.isEmpty() or posts.isEmpty():
+            break
+    return found.select("a", F.explode("best").alias("m"))
 
 
 def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:

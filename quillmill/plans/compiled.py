@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text
 from quillmill.operators import chunking, compose, grounding, overlap
+from quillmill.operators.tables import written
 
 from .registry import REL_PATH, query, raw_documents, table
 
@@ -39,7 +40,11 @@ def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text's title is made of its four most frequent long words."""
-    return _topics(spark, sf_dir, 4).select("id", text.title_words(F.array_join("tokens", " ")).alias("tokens"))
+    return _topics(spark, sf_dir, 4).select("id", _title_words(F.col("tokens")).alias("tokens"))
+
+
+def _title_words(topics: Column) -> Column:
+    return text.title_words(F.array_join(topics, " "))
 
 
 _TITLES = rf"""{_TOPICS},
@@ -62,7 +67,8 @@ def title_dedup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT y.id AS item_id, x.id AS article_id, count(*)::DOUBLE / least(any_value(y.n), any_value(x.n)) AS score FROM y JOIN x ON x.w = y.w GROUP BY 1, 2)
     SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, article_id)::INT AS rank, article_id, score FROM s QUALIFY rank <= 5""")
 def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.relevance(_topics(spark, sf_dir), _titles(spark, sf_dir))
+    topics = _topics(spark, sf_dir).transform(written)
+    return overlap.relevance(topics, topics.select("id", _title_words(F.slice("tokens", 1, 4)).alias("tokens")))
 
 
 @query(rf"""

@@ -132,6 +132,13 @@ def test_relevance_equals_all_pairs_and_meets_few(spark):
     asked = spark.createDataFrame([(i, ["all", f"w{i}", f"w{i + 1}", "none"]) for i in range(0, 1000, 10)], "id long, tokens array<string>")
     assert {(r.item_id, r["rank"], r.article_id) for r in overlap.relevance(asked, common, 2).collect()} == {(i, j + 1, i + j) for i in range(0, 1000, 10) for j in (0, 1)}
     assert overlap._seen(asked, common, 2).count() <= 100 * 4
+    # words of half of all titles: only the first titles of what an item has in common with them are met
+    pairs = [(i, [f"a{i % 2}", f"b{i % 3}", f"w{i}"]) for i in range(1200)]
+    titles = spark.createDataFrame(pairs, "id long, tokens array<string>")
+    some = spark.createDataFrame(pairs[:120], "id long, tokens array<string>")
+    nearest = lambda t: sorted((-len(set(t) & set(u)) / 3, j) for j, u in pairs if set(t) & set(u))[:3]
+    assert {(r.item_id, r["rank"], r.article_id) for r in overlap.relevance(some, titles, 3).collect()} == {(i, r + 1, j) for i, t in pairs[:120] for r, (_, j) in enumerate(nearest(t))}
+    assert overlap._seen(some, titles, 3).count() <= 120 * 12
 
 
 def test_cluster_cap(spark):
