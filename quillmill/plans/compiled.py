@@ -57,7 +57,7 @@ _TITLES = rf"""{_TOPICS},
     s AS (SELECT a.id AS new_id, b.id AS match_id, count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) AS overlap FROM x a JOIN x b ON a.w = b.w AND b.id < a.id GROUP BY 1, 2)
     SELECT new_id, match_id, overlap FROM s WHERE overlap >= 0.7 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, match_id) = 1""")
 def title_dedup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = _titles(spark, sf_dir)
+    titles = _titles(spark, sf_dir).transform(written)
     return overlap.best_matches(titles, titles, earlier=True)
 
 

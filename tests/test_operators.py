@@ -107,6 +107,15 @@ def test_overlap_pairs(spark):
 def test_best_match_ties_go_to_the_earliest(spark):
     new, old = sets(spark, "ab"), spark.createDataFrame([(7, ["a", "b"]), (3, ["a", "b", "c"]), (5, ["a", "b"])], "id long, tokens array<string>")
     assert [tuple(r) for r in overlap.best_matches(new, old).collect()] == [(0, 3, 1.0)]
+    # titles that share common words: each meets the first of every list it is on, not all
+    titles = [(i, [f"a{i % 2}", f"b{i % 3}", f"c{i % 5}", f"w{i // 3}"]) for i in range(600)]
+    df = spark.createDataFrame(titles, "id long, tokens array<string>")
+    want = set()
+    for i, t in titles:
+        s, j = min(((-len(set(t) & set(u)) / 4, j) for j, u in titles[:i]), default=(0, 0))
+        want |= {(i, j, -s)} if s <= -0.7 else set()
+    assert {tuple(r) for r in overlap.best_matches(df, df, earlier=True).collect()} == want and want
+    assert overlap._seen(df, df, 1, True).count() <= 600 * 15
 
 
 def test_relevance(spark):
