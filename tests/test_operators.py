@@ -118,6 +118,20 @@ def test_best_match_ties_go_to_the_earliest(spark):
     assert overlap._seen(df, df, 1, True).count() <= 600 * 15
 
 
+def test_pairs_by_several_shared_words_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "_MET", 3)  # so that few sets crowd a word
+    rng = random.Random(7)
+    words = [f"r{i}" for i in range(40)] + ["a", "b", "c", "d"] * 15
+    made = [(i, sorted(set(rng.choices(words, k=rng.randint(0, 8))))) for i in range(150)]
+    made += [(200 + i, made[3 * (i % 2)][1]) for i in range(20)]  # copies
+    df = spark.createDataFrame(made, "id long, tokens array<string>")
+    for threshold in (0.3, 0.7):
+        score = {(i, j): len(set(t) & set(u)) / min(len(t), len(u)) for i, t in made for j, u in made if i < j and set(t) & set(u)}
+        pairs = overlap.overlap_pairs(df, threshold)
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted((i, j, s) for (i, j), s in score.items() if s >= threshold)
+        assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()  # what meets is judged in the join, not gathered first
+
+
 def test_relevance(spark):
     article = spark.createDataFrame([(1, ["pricing", "model"]), (2, ["pricing"]), (3, ["other"])], "id long, tokens array<string>")
     got = [(r["rank"], r.article_id, r.score) for r in overlap.relevance(sets(spark, ["pricing", "model"]), article).orderBy("rank").collect()]
