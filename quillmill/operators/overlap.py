@@ -154,8 +154,13 @@ def _seen(items: DataFrame, articles: DataFrame, k: int, earlier: bool = False)
 
 
 def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """A component's links taken one after another: for every group that is joined to another, where it goes."""
+    """A part's links taken one after another: for every group that is joined with another, where it goes and that group's size.
+
+    A link that is not within the part may be taken or not, so nothing is done after it at the group it ends at, nor at any that a later
+    link joins to that; unless the two pass the cap, as groups only grow.
+    """
     frame = frame.sort_values(["overlap", "i", "j"], ascending=False)
+    waits: set[int] = set()
     size: dict[int, int] = {}
     into: dict[int, int] = {}
 
@@ -164,23 +169,30 @@ def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
             x = into[x]
         return x
 
-    for a, na, b, nb in zip(*(frame[c].tolist() for c in ("a", "na", "b", "nb")), strict=True):
+    for a, na, b, nb, within in zip(*(frame[c].tolist() for c in ("a", "na", "b", "nb", "within")), strict=True):
         size.setdefault(a, na)
         size.setdefault(b, nb)
         x, y = sorted((top(a), top(b)))
-        if x != y and size[x] + size[y] <= cap:
-            into[y] = x
-            size[x] += size[y]
-    return pd.DataFrame({"g": list(into), "to": [top(g) for g in into]}, dtype="int64")
+        if x == y or size[x] + size[y] > cap:
+            continue
+        if not within or x in waits or y in waits:
+            waits |= {x, y}
+            continue
+        into[y] = x
+        size[x] += size[y]
+    ends = {g: top(g) for g in into}
+    ends |= {g: g for g in ends.values()}
+    return pd.DataFrame({"g": list(ends), "to": list(ends.values()), "n": [size[g] for g in ends.values()]}, dtype="int64")
 
 
 def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 100_000, rounds: int = 4) -> DataFrame:
     """Groups of at most cap, strongest links first: what taking all links in descending order of (overlap, i, j) would give.
 
-    Components of at most in_task links are done in a task each. In larger ones, a link that is the strongest at both of its
-    groups can be taken at once, since whatever comes before it in order touches neither; and a link between groups that
-    together pass the cap never counts again, as groups only grow. After some rounds of this they are taken apart anew. Large
-    cliques of equal overlap give few such links a round, and take long.
+    Components of at most in_task links are done in a task each. Larger ones are done in rounds: each group's strongest link leads to
+    another group, which makes trees, and a task takes a tree's links in order, until one that leaves the tree decides what comes next;
+    of trees with more than in_task links, that link which is the strongest at both of its groups. A clique of equal overlap is
+    one tree. A link between groups that together pass the cap never counts again, as groups only grow. After some rounds the components are
+    taken anew.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     one = F.lit(1)
@@ -190,17 +202,24 @@ def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 100_
     while not edges.isEmpty():
         rooted = edges.join(components(edges.select("a", "b")).select(F.col("id").alias("a"), "root"), "a").transform(written)
         sizes = rooted.groupBy("root").agg(F.count(one).alias("n")).transform(written)
-        small = rooted.join(sizes.where(F.col("n") <= in_task).select("root"), "root", "left_semi").select("root", "a", "na", "b", "nb", "s.*")
-        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long").transform(written)
+        small = rooted.join(sizes.where(F.col("n") <= in_task).select("root"), "root", "left_semi").select("root", "a", "na", "b", "nb", F.lit(True).alias("within"), "s.*")
+        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long, n long").transform(written)
         labels = relabel(moved)
         edges = rooted.join(sizes.where(F.col("n") > in_task).select("root"), "root", "left_semi").drop("root").transform(written)
         for _ in range(rounds):
             if edges.isEmpty():
                 break
-            best = edges.select(F.col("a").alias("g"), "s").union(edges.select("b", "s")).groupBy("g").agg(F.max("s").alias("s")).transform(written)
-            chosen = edges.join(best.toDF("a", "s"), ["a", "s"], "left_semi").join(best.toDF("b", "s"), ["b", "s"], "left_semi")
-            joined = chosen.select("a", "b", F.least("a", "b").alias("to"), (F.col("na") + F.col("nb")).alias("n")).transform(written)
-            moved = joined.select(F.col("a").alias("g"), "to", "n").union(joined.select("b", "to", "n")).transform(written)
+            ends = edges.select(F.col("a").alias("g"), F.col("b").alias("to"), "s").union(edges.select("b", "a", "s"))
+            best = ends.groupBy("g").agg(F.max_by("to", "s").alias("to"), F.max("s").alias("s")).transform(written)
+            trees = components(best.select(F.col("g").alias("a"), F.col("to").alias("b")))
+            both = edges.join(trees.toDF("a", "ra"), "a").join(trees.toDF("b", "rb"), "b").transform(written)
+            part = lambda root, within: [F.col(root).alias("root"), "a", "na", "b", "nb", within.alias("within"), "s"]
+            parts = both.select(*part("ra", F.col("ra") == F.col("rb"))).union(both.where("ra <> rb").select(*part("rb", F.lit(False))))
+            wide = parts.groupBy("root").agg(F.count(one).alias("n")).where(F.col("n") > in_task).select("root").transform(written)
+            mutual = best.where("g < to").join(best.select(F.col("g").alias("to"), F.col("to").alias("g"), "s"), ["g", "to", "s"], "left_semi").select(F.col("s").alias("s"))
+            strongest = both.join(mutual, "s", "left_semi").join(wide.withColumnRenamed("root", "ra"), "ra", "left_semi").select(*part("ra", F.lit(True)))
+            taken = parts.join(wide, "root", "left_anti").union(strongest).select("root", "a", "na", "b", "nb", "within", "s.*")
+            moved = taken.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long, n long").transform(written)
             labels = relabel(moved)
             for x, n in (("a", "na"), ("b", "nb")):
                 edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")

@@ -87,7 +87,7 @@ def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     done AS (SELECT labels FROM r ORDER BY k DESC LIMIT 1)
     SELECT doc_id, coalesce(g.id, doc_id) AS group_id FROM documents LEFT JOIN nodes AS n ON n.id = doc_id LEFT JOIN done ON n.id IS NOT NULL LEFT JOIN nodes AS g ON g.pos = done.labels[n.pos]""")
 def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _topics(spark, sf_dir)
+    sets = _topics(spark, sf_dir).transform(written)
     return overlap.cluster(overlap.overlap_pairs(sets, 0.5), sets).select(F.col("id").alias("doc_id"), "group_id")
 
 
@@ -104,7 +104,7 @@ def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT o.k, o.id, r.kept, list_filter(o.js, lambda j: list_contains(r.kept, j))[1] AS hit FROM r JOIN o ON o.k = r.k + 1))
     SELECT id AS doc_id, id = into_id AS kept, into_id AS merged_into FROM r WHERE k > 0""")
 def dedup_elect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.elect(_titles(spark, sf_dir)).select(F.col("id").alias("doc_id"), "kept", "merged_into")
+    return overlap.elect(_titles(spark, sf_dir).transform(written)).select(F.col("id").alias("doc_id"), "kept", "merged_into")
 
 
 # ---- chunks and budgets

@@ -170,6 +170,15 @@ def test_cluster_cap(spark):
     assert sum(r["count"] for r in got) == 10 and max(r["count"] for r in got) <= 4
 
 
+def test_parts_stop_where_links_leave_them():
+    import pandas as pd
+
+    links = [(1, 2, True, 0.9), (2, 9, False, 0.8), (1, 3, True, 0.7), (3, 4, True, 0.6), (5, 6, True, 0.5), (6, 8, False, 0.4)]
+    frame = pd.DataFrame([(a, 1, b, 1, within, s, a, b) for a, b, within, s in links], columns=["a", "na", "b", "nb", "within", "overlap", "i", "j"])
+    got = overlap._merged_in_order(frame, 4)
+    assert {tuple(r) for r in got.itertuples(index=False)} == {(2, 1, 2), (1, 1, 2), (6, 5, 2), (5, 5, 2)}  # 1 and 2 wait for 9, so 3 waits, and 4 for 3
+
+
 def test_clusters_are_those_of_links_taken_in_order(spark):
     rng = random.Random(8)
     pairs = sorted({(rng.choice([0.5, 0.6, 0.75, 1.0]), *sorted(rng.sample(range(30), 2))) for _ in range(50)}, reverse=True)
