@@ -15,6 +15,7 @@ An empty table gives an empty result. Columns other than doc_id and text are ign
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialise, returning
 
 CAPACITY, END_ID = 2048, 0
+#: Fixed value: texts go to Python in batches of this many bytes, about one portion each.
+BATCH_BYTES = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only can be encoded word by word: no combining marks, no unusual white space or controls, and lower-casing keeps the length.
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
@@ -46,6 +49,7 @@ def _tokenizer(path: str) -> tuple:
     """The tokenizer, and which of its ids end a unit."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads beside it would each hold memory
     out = Tokenizer.from_file(path)
     ends = np.zeros(out.get_vocab_size(), bool)
     ends[[i for token, i in out.get_vocab().items() if token.endswith(_LAST)]] = True
@@ -271,7 +275,7 @@ def place(pieces: DataFrame, patterns: list[Pattern], buckets: int) -> DataFrame
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    pieces = materialise(tokenised(docs, vocabulary, capacity, end_id, with_ids))
+    pieces = materialise(tokenised(docs, vocabulary, capacity, end_id, with_ids), BATCH_BYTES)
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     buckets = max(64, sum(histogram.values()) // 200_000)
     return place(pieces, best_two_fit(histogram, capacity), buckets)
