@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salts
+from .common import returning, salts, sliced
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("outside", "id", "name", "secret")
@@ -387,8 +387,9 @@ def redact(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     crf = crf or default_crf()
     at = docs.columns.index("text")
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             new = [None if t is None else redacted(t, s) if s else t for t, s in zip(texts, find([t or "" for t in texts], crf), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)

@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillmill.llm import pii, simhash
-from quillmill.llm.common import materialise
+from quillmill.llm import packing, pii, simhash
+from quillmill.llm.common import materialise, sliced
 
 
 def test_stages(spark, sf_dir):
@@ -44,3 +47,18 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir):
         assert bool(got) == bool(made) and all(len(r.ids) == 4 * r.length for r in got)
         if made:
             assert {r.doc_id for r in got} >= {3, 5, 6, 7, None}
+
+
+def test_python_gets_bounded_batches(spark, monkeypatch):
+    """packing once had a batch of any number of bytes in executor and worker."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    seen = []
+    monkeypatch.setattr(packing, "tokenised", lambda docs, *_: docs.mapInArrow(sizes, "n long"))
+    monkeypatch.setattr(packing, "materialise", lambda df, *a: seen.append(max(r.n for r in materialise(df, *a).collect())) or df.selectExpr("1L AS length"))
+    monkeypatch.setattr(packing, "place", lambda pieces, *_: pieces)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    packing.pack(docs, "")
+    assert seen[0] < 2 * packing.BATCH_BYTES and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    parts = list(sliced(iter([pa.record_batch([list(range(2500))], ["x"]), pa.record_batch([pa.array([], pa.int64())], ["x"])])))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500] and pa.Table.from_batches(parts)["x"].to_pylist() == list(range(2500))
