@@ -17,7 +17,8 @@ _SPLIT = r"[^\x20\x09-\x0D]"
 def _topics(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
     """(id, tokens): the n most frequent words of five characters and more of each whole text, most frequent first; none for a text without any."""
     docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_SPLIT}{{5,}})"), F.lit(1))).alias("w"))
+    found = F.sort_array(F.regexp_extract_all(F.lower("text"), F.lit(f"({_SPLIT}{{5,}})"), F.lit(1)))  # in order they shuffle smaller
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(found).alias("w")).repartition("id")  # once, for all that follows
     counted = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "w"))).where(F.col("r") <= n)
     lists = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("tokens"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
+from quillmill.operators.tables import written
 from quillmill.sources import extractions, markdown
 
 from . import serial
@@ -83,7 +84,7 @@ class Rules:
 def serial_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in groups of six, classified in waves; a twentieth of their titles are articles that were there."""
     docs = raw_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "rel_path")
-    found = docs.join(_topics(spark, sf_dir, 4), "id").select("id", "rel_path", F.col("rel_path").alias("checksum"), F.col("tokens").alias("topics"))
+    found = docs.join(_topics(spark, sf_dir, 4), "id").select("id", "rel_path", F.col("rel_path").alias("checksum"), F.col("tokens").alias("topics")).transform(written)
     there = found.where("id % 20 = 0").select(F.concat(F.lit("wiki/concept/d"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), F.array_join("topics", " ").alias("title"))
     groups = docs.select("rel_path", F.floor(F.col("id") / 6).alias("group_id"), (F.col("id") % 6).cast("int").alias("wave"))
     return serial.classify(found, there, Rules(), groups, shown=3).ops.select("rel_path", "action", "path")

@@ -89,6 +89,7 @@ def classify(found: DataFrame, existing: DataFrame, endpoint: ModelEndpoint, gro
     rejected and create nothing. found may have documents whose groups lack: they are not classified.
     """
     spark = found.sparkSession
+    found, existing = kept(found.select("rel_path", "checksum", "topics")), kept(existing.select("path", "title"))  # read again below, however they are made
     none = F.array().cast("array<string>")
     keyed = state.cache_key(F.col("checksum"), F.lit(inputs_hash(existing)), F.lit(",".join(categories)))
     key = F.when(F.coalesce("checksum", F.lit("")) == "", F.concat(F.lit("?"), "rel_path")).otherwise(keyed)  # without a checksum nothing is remembered

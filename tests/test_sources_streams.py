@@ -434,6 +434,22 @@ def test_serial_classification_equals_a_plain_loop(spark):
     assert serial.classify(found.limit(0), articles, titles(), groups).ops.count() == 0
 
 
+def test_classify_reads_what_it_is_given_once(spark):
+    """Each of its steps made the topics anew, however costly, before."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    kind = "rel_path string, checksum string, topics array<string>"
+    found = spark.createDataFrame([(f"raw/{i}.md", str(i), ["zeta", f"word{i}"]) for i in range(3)], kind).mapInPandas(counting, kind)
+    existing = found.selectExpr("concat('wiki/concept/', checksum, '.md') AS path", "concat('Old ', topics[1]) AS title")
+    serial.classify(found, existing, OfflineEndpoint(), grouped(spark, ("raw/0.md", 0, 0), ("raw/1.md", 0, 1), ("raw/2.md", 1, 0))).ops.count()
+    assert reads.value == 6  # three documents, once as such and once as articles
+
+
 def test_clusters_keep_to_their_cap_and_order(spark):
     rows = [(f"raw/{i}.md", ["same", f"t{i}"], []) for i in range(9)] + [("raw/x.md", ["alone"], [("Same", "")]), ("raw/y.md", [], None)]
     found = spark.createDataFrame(rows, "rel_path string, topics array<string>, concepts array<struct<title:string,summary:string>>")
