@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,80 +43,100 @@ _SPECIAL = "<|"
 #: Fixed value: what the tokenizer encodes on its own, and how it marks the last token of each.
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LAST = "</w>"
+#: Words of these letters with these signs around them are cut into units without the pattern.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower())
+_SIGNS = string.punctuation
 
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, and which of its ids end a unit."""
-    from tokenizers import Tokenizer
+    """The tokenizer, one of the same model for lower-case units with spaces between, and which ids end a unit."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads beside it would each hold memory
     out = Tokenizer.from_file(path)
+    units = Tokenizer(out.model)  # nothing is left to normalise or to be found by a pattern
+    units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends = np.zeros(out.get_vocab_size(), bool)
     ends[[i for token, i in out.get_vocab().items() if token.endswith(_LAST)]] = True
-    return out, ends
+    return out, units, ends
+
+
+def _gather(ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids holds lists of n ids one after another: those of the lists at, likewise, and how many each has."""
+    found = n[at]
+    upto = np.cumsum(found)
+    return ids[np.repeat((np.cumsum(n) - n)[at] - (upto - found), found) + np.arange(int(found.sum()))], found
+
+
+def _apart(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all words in order, and which word each is of. Arrow cuts signs off letters, the pattern is for other words."""
+    core = pc.utf8_trim(words, _SIGNS)
+    core = pc.if_else(pc.equal(core, ""), words, core)  # signs only: one unit
+    lead = pc.utf8_rtrim(pc.utf8_rtrim(words, _SIGNS), _LETTERS)
+    tail = pc.utf8_ltrim(pc.utf8_ltrim(words, _SIGNS), _LETTERS)
+    size = [pc.binary_length(p).to_numpy(zero_copy_only=False) for p in (lead, core, tail, words)]
+    # an apostrophe before letters may be a unit with them
+    easy = pc.and_(pc.or_(pc.utf8_is_alpha(core), pc.equal(pc.utf8_trim(core, _SIGNS), "")), pc.invert(pc.match_substring(lead, "'"))).to_numpy(zero_copy_only=False)
+    easy &= size[0] + size[1] + size[2] == size[3]
+    of = [np.flatnonzero(easy & (n > 0)) for n in size[:3]]
+    parts = [p.take(pa.array(i)) for p, i in zip((lead, core, tail), of, strict=True)]
+    hard = np.flatnonzero(~easy)
+    cut = [_UNIT.findall(w) for w in words.take(pa.array(hard)).to_numpy(zero_copy_only=False).tolist()]
+    parts.append(pa.array([u for us in cut for u in us], pa.large_string()))
+    of.append(np.repeat(hard, np.fromiter(map(len, cut), np.int64, len(cut))))
+    owner = np.concatenate(of)
+    order = np.argsort(owner, kind="stable")
+    return pa.concat_arrays(parts).take(pa.array(order)), owner[order]
 
 
 class Encoder:
-    """Token ids of texts as bytes (unsigned 32-bit, little-endian). Remembers the ids of up to max_words words, in flat arrays.
+    """Token ids of texts as bytes (unsigned 32-bit, little-endian). Remembers the ids of up to max_words units, in flat arrays.
 
     The tokenizer cuts a text into units (runs of letters, single digits, runs of signs) and encodes each on its own. Plain texts
-    are cut into words by Arrow; the different words of a portion that are not yet known are put together of their units, the
-    units not yet known are encoded, and the ids of all occurrences are gathered in numpy. Other texts, and those that may hold
-    a special token, go to the tokenizer as they are.
+    are cut into words by Arrow, the different words of a portion into units; the units not yet known are encoded, the ids of
+    words are put together of their units', and those of all occurrences are gathered in numpy. Units are looked up once a
+    portion, since each look-up has Arrow index all that are known. Other texts, and those that may hold a special token, go to
+    the tokenizer as they are.
     """
 
     def __init__(self, path: str, max_words: int = 500_000) -> None:
-        self.tokenizer, self.ends = _tokenizer(path)
+        self.tokenizer, self.unit_tokenizer, self.ends = _tokenizer(path)
         self.max_words = max_words
         self._forget()
 
     def _forget(self) -> None:
-        self.words = pa.array([""], pa.large_string())
-        self.ids, self.n = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-
-    def _add(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
-        self.words = pa.concat_arrays([self.words, words])
+        self.units = pa.array([], pa.large_string())
+        self.ids, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _learn(self, units: pa.Array, block: int = 500) -> None:
+        listed = units.to_numpy(zero_copy_only=False).tolist()
+        found = self.unit_tokenizer.encode_batch_fast([" ".join(listed[i : i + block]) for i in range(0, len(listed), block)], add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
+        n = np.diff(np.concatenate([[-1], np.flatnonzero(self.ends[ids])]))
+        self.units = pa.concat_arrays([self.units, units])
         self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
 
-    def _find(self, words: pa.Array) -> np.ndarray:
-        """Where the words stand, -1 for those not known."""
-        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known words one after another, and how many each has."""
-        n = self.n[at]
-        upto = np.cumsum(n)
-        return self.ids[np.repeat((np.cumsum(self.n) - self.n)[at] - (upto - n), n) + np.arange(int(n.sum()))], n
-
-    def _learn(self, words: pa.Array, block: int = 500) -> None:
-        apart = [_UNIT.findall(w) for w in words.to_pylist()]
-        coded = pa.array([u for us in apart for u in us], pa.large_string()).dictionary_encode()
-        units = coded.dictionary
-        new = units.filter(pa.array(self._find(units) < 0))
-        listed = new.to_pylist()
-        if listed:
-            found = self.tokenizer.encode_batch_fast([" ".join(listed[i : i + block]) for i in range(0, len(listed), block)], add_special_tokens=False)
-            ids = np.concatenate([np.array(f.ids, "<u4") for f in found])
-            self._add(new, ids, np.diff(np.concatenate([[-1], np.flatnonzero(self.ends[ids])])))
-        # the words that are more than one unit, put together
-        many = np.fromiter(map(len, apart), np.int64, len(apart))
-        unit = self._find(units)[coded.indices.to_numpy(zero_copy_only=False)]
-        mixed = many > 1
-        ids, n = self._gather(unit[np.repeat(mixed, many)])
-        per = many[mixed]
-        self._add(words.filter(pa.array(mixed)), ids, np.add.reduceat(n, np.cumsum(per) - per) if len(per) else n)
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Where different units stand among those known, which they all are afterwards."""
+        if len(self.units) > self.max_words:
+            self._forget()
+        at = pc.fill_null(pc.index_in(units, self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        if new.any():
+            at[new] = len(self.units) + np.arange(int(new.sum()))
+            self._learn(units.filter(pa.array(new)))
+        return at
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        coded = split.flatten().dictionary_encode()
-        if len(self.words) > self.max_words:
-            self._forget()
-        at = self._find(coded.dictionary)
-        if (at < 0).any():
-            self._learn(coded.dictionary.filter(pa.array(at < 0)))
-            at = self._find(coded.dictionary)
-        ids, n = self._gather(at[coded.indices.to_numpy(zero_copy_only=False)])
+        words = split.flatten().dictionary_encode()
+        units, owner = _apart(words.dictionary)
+        units = units.dictionary_encode()
+        at = self._places(units.dictionary)[units.indices.to_numpy()]  # before ids and n are read: it may add to both
+        ids, n = _gather(self.ids, self.n, at)
+        per = np.bincount(owner, n, len(words.dictionary)).astype(np.int64)
+        ids, n = _gather(ids, per, words.indices.to_numpy())
         raw = ids.tobytes()
         ends = (4 * np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
