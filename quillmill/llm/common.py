@@ -66,16 +66,32 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns the memory that Arrow and the C library hold for reuse: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def returning(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """What a task does with its batches, after which the memory that Arrow and the C library hold for reuse goes back: Python workers live on between tasks."""
+    """What a task does with its batches, after which spare memory goes back."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
+
+    return run
+
+
+def returning_group(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """What a task does with a group, after which spare memory goes back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        give_back()
+        return out
 
     return run
 
