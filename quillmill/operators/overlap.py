@@ -185,62 +185,44 @@ def _merged_in_order(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
     return pd.DataFrame({"g": list(ends), "to": list(ends.values()), "n": [size[g] for g in ends.values()]}, dtype="int64")
 
 
-def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 100_000, rounds: int = 4) -> DataFrame:
+def cluster(pairs: DataFrame, sets: DataFrame, cap: int = 8, in_task: int = 500_000) -> DataFrame:
     """Groups of at most cap, strongest links first: what taking all links in descending order of (overlap, i, j) would give.
 
-    Components of at most in_task links are done in a task each. Larger ones are done in rounds: each group's strongest link leads to
-    another group, which makes trees, and a task takes a tree's links in order, until one that leaves the tree decides what comes next;
-    of trees with more than in_task links, that link which is the strongest at both of its groups. A clique of equal overlap is
-    one tree. A link between groups that together pass the cap never counts again, as groups only grow. After some rounds the components are
-    taken anew.
+    A round has a task take the strongest in_task or so of the links that are left, in order; then all links are led to the groups they
+    now join, of those between two groups the strongest stays, and those within a group or between groups that together pass the cap
+    go, as groups only grow. Where texts have many links most groups are full after the first, so few of the rest are left to any task.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     one = F.lit(1)
     edges = pairs.select(F.col("i").alias("a"), one.alias("na"), F.col("j").alias("b"), one.alias("nb"), F.struct("overlap", "i", "j").alias("s")).where(F.lit(cap) >= 2).transform(written)
-    labels = sets.select("id", F.col("id").alias("group_id")).transform(written)
-    relabel = lambda moved: labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).transform(written)
-    while not edges.isEmpty():
-        rooted = edges.join(components(edges.select("a", "b")).select(F.col("id").alias("a"), "root"), "a").transform(written)
-        sizes = rooted.groupBy("root").agg(F.count(one).alias("n")).transform(written)
-        small = rooted.join(sizes.where(F.col("n") <= in_task).select("root"), "root", "left_semi").select("root", "a", "na", "b", "nb", F.lit(True).alias("within"), "s.*")
-        moved = small.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long, n long").transform(written)
-        labels = relabel(moved)
-        edges = rooted.join(sizes.where(F.col("n") > in_task).select("root"), "root", "left_semi").drop("root").transform(written)
-        for _ in range(rounds):
-            if edges.isEmpty():
-                break
-            ends = edges.select(F.col("a").alias("g"), F.col("b").alias("to"), "s").union(edges.select("b", "a", "s"))
-            best = ends.groupBy("g").agg(F.max_by("to", "s").alias("to"), F.max("s").alias("s")).transform(written)
-            trees = components(best.select(F.col("g").alias("a"), F.col("to").alias("b")))
-            both = edges.join(trees.toDF("a", "ra"), "a").join(trees.toDF("b", "rb"), "b").transform(written)
-            part = lambda root, within: [F.col(root).alias("root"), "a", "na", "b", "nb", within.alias("within"), "s"]
-            parts = both.select(*part("ra", F.col("ra") == F.col("rb"))).union(both.where("ra <> rb").select(*part("rb", F.lit(False))))
-            wide = parts.groupBy("root").agg(F.count(one).alias("n")).where(F.col("n") > in_task).select("root").transform(written)
-            mutual = best.where("g < to").join(best.select(F.col("g").alias("to"), F.col("to").alias("g"), "s"), ["g", "to", "s"], "left_semi").select(F.col("s").alias("s"))
-            strongest = both.join(mutual, "s", "left_semi").join(wide.withColumnRenamed("root", "ra"), "ra", "left_semi").select(*part("ra", F.lit(True)))
-            taken = parts.join(wide, "root", "left_anti").union(strongest).select("root", "a", "na", "b", "nb", "within", "s.*")
-            moved = taken.groupBy("root").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long, n long").transform(written)
-            labels = relabel(moved)
-            for x, n in (("a", "na"), ("b", "nb")):
-                edges = edges.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
-            edges = edges.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
-            turned = F.col("a") > F.col("b")
-            edges = edges.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
-            edges = edges.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).transform(written)
+    labels = sets.select("id", F.col("id").alias("group_id"))
+    while (first := _strongest(edges, in_task)) is not None:
+        links = edges.where(first).select(F.lit(0).alias("part"), "a", "na", "b", "nb", F.lit(True).alias("within"), "s.*")
+        moved = links.groupBy("part").applyInPandas(lambda frame: _merged_in_order(frame, cap), "g long, to long, n long").transform(written)
+        labels = labels.join(moved.select(F.col("g").alias("group_id"), "to"), "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id")).transform(written)
+        left = edges.where(~first)
+        for x, n in (("a", "na"), ("b", "nb")):
+            left = left.join(moved.toDF(x, "to", "n"), x, "left").withColumns({x: F.coalesce("to", x), n: F.coalesce("n", n)}).drop("to", "n")
+        left = left.where((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= cap))
+        turned = F.col("a") > F.col("b")
+        left = left.select(F.least("a", "b").alias("a"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), "s")
+        edges = left.groupBy("a", "na", "b", "nb").agg(F.max("s").alias("s")).transform(written)
     return labels
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of the nodes of edges (a, b), root the least node of a component: labels spread and jump to their own label's label until none changes."""
-    both = edges.toDF("i", "j").union(edges.select("b", "a")).distinct().transform(written)
-    labels = both.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("root")).toDF("id", "root").transform(written)
-    while True:
-        near = both.join(labels.toDF("j", "root"), "j").groupBy("i").agg(F.min("root").alias("near"))
-        spread = labels.join(near.toDF("id", "near"), "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
-        labels = spread.join(labels.toDF("new", "jump"), "new").select("id", F.least("new", "jump").alias("root"), "old").transform(written)
-        if labels.where("root <> old").isEmpty():
-            return labels.select("id", "root")
-        labels = labels.select("id", "root")
+def _strongest(edges: DataFrame, n: int) -> Column | None:
+    """What the first n or so of edges by descending (overlap, i, j) of s meet, and all with the last one's overlap and i; nothing if there are none."""
+    levels = edges.groupBy("s.overlap").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("overlap")).collect()  # as many as sizes of sets give fractions
+    whole, taken = None, 0
+    for level in levels:
+        if taken + level["c"] > n:
+            here = F.col("s.overlap") == level["overlap"]
+            least = edges.where(here).agg(F.percentile_approx("s.i", 1 - (n - taken) / level["c"])).first()[0]
+            some = here & (F.col("s.i") >= least)
+            return some if whole is None else whole | some
+        taken += level["c"]
+        whole = F.col("s.overlap") >= level["overlap"]
+    return whole
 
 
 def elect(titles: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -194,6 +194,24 @@ def test_clusters_are_those_of_links_taken_in_order(spark):
         assert {r.id: r.group_id for r in got.collect()} == {i: min(g) for i, g in group.items()}
 
 
+def test_clusters_take_few_rounds_where_texts_have_many_links(spark, monkeypatch):
+    import itertools
+
+    pairs = sorted(((1.0 if i % 3 == j % 3 else 0.5, i, j) for i, j in itertools.combinations(range(120), 2)), reverse=True)
+    group = {i: {i} for i in range(120)}
+    for _, i, j in pairs:
+        if group[i] is not group[j] and len(group[i]) + len(group[j]) <= 8:
+            group[i] |= group[j]
+            for x in group[j]:
+                group[x] = group[i]
+    edges = spark.createDataFrame([(i, j, o) for o, i, j in pairs], "i long, j long, overlap double")
+    tables, old = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df: tables.append(0) or old(df))
+    got = overlap.cluster(edges, spark.range(120), in_task=1000)  # one component of 7,140 links
+    assert {r.id: r.group_id for r in got.collect()} == {i: min(g) for i, g in group.items()}
+    assert len(tables) <= 22  # three a round
+
+
 def test_election(spark):
     df = sets(spark, ["foo", "bar"], ["foo", "bar"], ["else"], ["foo", "bar", "baz"])
     got = {r.id: (r.kept, r.merged_into) for r in overlap.elect(df).collect()}
