@@ -1,6 +1,7 @@
 """Operators on hand-made cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -212,6 +213,15 @@ def test_clusters_take_few_rounds_where_texts_have_many_links(spark, monkeypatch
     assert len(tables) <= 22  # three a round
 
 
+def test_pairs_of_one_common_word_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "_CELL", 50)
+    df = sets(spark, *(["common", f"w{i}"] for i in range(300)), ["common"], ["other"])
+    got = overlap.overlap_pairs(df, 0.3).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.i, r.j) for r in got}) == len(got) == 301 * 300 // 2
+    assert all(r.overlap == (1.0 if 300 in (r.i, r.j) else 0.5) for r in got)
+    assert max(Counter(r.task for r in got).values()) < 0.6 * len(got)
+
+
 def test_election(spark):
     df = sets(spark, ["foo", "bar"], ["foo", "bar"], ["else"], ["foo", "bar", "baz"])
     got = {r.id: (r.kept, r.merged_into) for r in overlap.elect(df).collect()}
